@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import squared_distance, threshold
@@ -31,39 +31,27 @@ def confusion(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _on(by: Sequence[str], left: str, right: str, other: DataFrame, base: DataFrame) -> Column:
-    cond = base[left].eqNullSafe(other[right])
-    for b in by:
-        cond = cond & base[b].eqNullSafe(other[b])
-    return cond
-
-
 def class_counts(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """AGG-4: ``(by..., label, tp, fp, fn, tn, support)`` over the union of true and predicted labels."""
+    """AGG-4: ``(by..., label, tp, fp, fn, tn, support)`` over the union of true and predicted labels.
+
+    One aggregation: each matrix cell contributes to its true label's row sum
+    (and diagonal) and to its predicted label's column sum; no joins.
+    """
     by = list(by)
-    labels = (conf.select(*by, F.col("y_true").alias("label"))
-              .unionByName(conf.select(*by, F.col("y_pred").alias("label"))).distinct())
-    rows = conf.groupBy(*by, F.col("y_true").alias("rl")).agg(F.sum("n").alias("support"))
-    cols = conf.groupBy(*by, F.col("y_pred").alias("cl")).agg(F.sum("n").alias("pred_n"))
-    diag = (conf.where(F.col("y_true").eqNullSafe(F.col("y_pred")))
-            .groupBy(*by, F.col("y_true").alias("dl")).agg(F.sum("n").alias("tp")))
-    total = conf.groupBy(*by).agg(F.sum("n").alias("total")) if by else \
-        conf.agg(F.sum("n").alias("total"))
-    m = labels
-    for tbl, key in ((rows, "rl"), (cols, "cl"), (diag, "dl")):
-        t = tbl.select(*[F.col(b).alias(f"_{key}_{b}") for b in by], key, *[c for c in tbl.columns if c not in by + [key]])
-        cond = m["label"].eqNullSafe(t[key])
-        for b in by:
-            cond = cond & m[b].eqNullSafe(t[f"_{key}_{b}"])
-        m = m.join(t, cond, "left").drop(key, *[f"_{key}_{b}" for b in by])
-    m = m.join(F.broadcast(total), by, "left") if by else m.crossJoin(F.broadcast(total))
-    tp = F.coalesce(F.col("tp"), F.lit(0))
-    support = F.coalesce(F.col("support"), F.lit(0))
-    pred_n = F.coalesce(F.col("pred_n"), F.lit(0))
-    return (m.select(*by, "label", tp.cast("long").alias("tp"), (pred_n - tp).cast("long").alias("fp"),
-                     (support - tp).cast("long").alias("fn"),
-                     (F.col("total") - support - pred_n + tp).cast("long").alias("tn"),
-                     support.cast("long").alias("support")))
+    diag = F.when(F.col("y_true").eqNullSafe(F.col("y_pred")), F.col("n")).otherwise(F.lit(0))
+    cells = F.explode(F.array(
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("r"), F.lit(0).cast("long").alias("c"),
+                 diag.cast("long").alias("d")),
+        F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("r"), F.col("n").alias("c"),
+                 F.lit(0).cast("long").alias("d"))))
+    per = (conf.select(*by, cells.alias("x")).select(*by, "x.*")
+           .groupBy(*by, "label").agg(F.sum("r").alias("support"), F.sum("c").alias("pred_n"), F.sum("d").alias("tp")))
+    total = F.sum("support").over(Window.partitionBy(*by))  # labels per group: a tiny window
+    return per.select(*by, "label", F.col("tp").cast("long").alias("tp"),
+                      (F.col("pred_n") - F.col("tp")).cast("long").alias("fp"),
+                      (F.col("support") - F.col("tp")).cast("long").alias("fn"),
+                      (total - F.col("support") - F.col("pred_n") + F.col("tp")).cast("long").alias("tn"),
+                      F.col("support").cast("long").alias("support"))
 
 
 def ratios(tp: Column, fp: Column, fn: Column, tn: Column) -> list[Column]:

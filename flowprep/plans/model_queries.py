@@ -1,5 +1,92 @@
-"""Model-backed registered queries (ML-1..10); checked on row counts only."""
+"""Model-backed registered queries (ML-1..10); model output has no SQL form, so these
+are checked on row counts only."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import encode, metrics, models, split
+from .driver_queries import LINE_KEYS, SCALE_COLS, SEED, r6, table
+
+
+def _embeddings(spark, sf) -> DataFrame:
+    em = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"),
+                                                F.col("label").cast("string").alias("label"))
+    return split.stratified_split(em, "label", "vec_id", [0.6, 0.2, 0.2], seed=SEED)
+
+
+def _lineitem(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(*LINE_KEYS, *SCALE_COLS, F.col("l_returnflag").alias("label"))
+    li = models.assemble(li, SCALE_COLS).drop(*SCALE_COLS)
+    keyed = li.withColumn("_key", F.concat_ws("-", *[F.col(k).cast("string") for k in LINE_KEYS]))
+    return split.stratified_split(keyed, "label", "_key", [0.8, 0.2], ("train", "test"), seed=SEED)
+
+
+def _report(tables: dict) -> DataFrame:
+    cm = tables["class_metrics"]
+    return cm.select("split", "granularity", "label", "support", *[r6(c).alias(c) for c in metrics.RATIOS])
+
+
+def q_forest_eval(spark, sf):
+    """ML-1/2/7/8: forest on embeddings, report per split (multi-class)."""
+    data = _embeddings(spark, sf)
+    codes = encode.fit_label_codes(data)
+    prepared = models.prepare_labelled(data, codes)
+    model, _ = models.train(models.random_forest(num_trees=20, max_depth=8),
+                            prepared.where(F.col("split") == "train"))
+    return _report(models.test_classifier(model, prepared, codes))
+
+
+def q_mlp_eval(spark, sf):
+    """ML-3: multilayer perceptron on embeddings."""
+    data = _embeddings(spark, sf)
+    codes = encode.fit_label_codes(data)
+    prepared = models.prepare_labelled(data, codes)
+    k = codes.count()  # number of classes: the output layer width (one small action)
+    est = models.mlp(64, [32], k, max_iter=50)
+    model, _ = models.train(est, prepared.where(F.col("split") == "train"))
+    return _report(models.test_classifier(model, prepared, codes))
+
+
+def q_pca_reconstruct(spark, sf):
+    """ML-4 + AGG-11: centred PCA fitted on train, reconstruction error of every row."""
+    data = _embeddings(spark, sf)
+    centre, pca = models.fit_pca(data.where(F.col("split") == "train"), 8)
+    rec = models.pca_reconstruct(data, centre, pca)
+    err = metrics.reconstruction_error(rec, "features", "recon")
+    return err.select("vec_id", "split", r6("sq_error_sum").alias("sq_error_sum"))
+
+
+def q_encode_classify(spark, sf):
+    """ML-5 + SPL-4: PCA on the unlabelled quarter of train, classifier on the labelled rest."""
+    data = _embeddings(spark, sf)
+    train = data.where(F.col("split") == "train").drop("split")
+    roles = split.two_part_roles(train, "label", "vec_id", 0.25, seed=SEED)
+    centre, pca = models.fit_pca(roles.where(F.col("role") == "unsup"), 8)
+    codes = encode.fit_label_codes(data)
+    encoded = pca.transform(centre.transform(models.with_vector(data))) \
+        .withColumn("features", models.vector_to_array("code_vec")).drop("fvec", "cvec", "code_vec")
+    prepared = models.prepare_labelled(encoded, codes)
+    sup_ids = roles.where(F.col("role") == "sup").select("vec_id")
+    model, _ = models.train(models.logistic(50), prepared.join(sup_ids, "vec_id", "left_semi"))
+    return _report(models.test_classifier(model, prepared, codes))
+
+
+def q_score_rows(spark, sf):
+    """ML-2/10: forest trained on 80 % of lineitem, every row scored (prediction throughput)."""
+    data = _lineitem(spark, sf)
+    codes = encode.fit_label_codes(data)
+    prepared = models.prepare_labelled(data, codes)
+    model, _ = models.train(models.random_forest(num_trees=10, max_depth=6),
+                            prepared.where(F.col("split") == "train"))
+    return models.score(model, prepared, codes, keep=[*LINE_KEYS, "split", "label"]).drop("probs")
+
+
+QUERIES = {
+    "forest_eval": q_forest_eval,
+    "mlp_eval": q_mlp_eval,
+    "pca_reconstruct": q_pca_reconstruct,
+    "encode_classify": q_encode_classify,
+    "score_rows": q_score_rows,
+}
