@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import one_hot
+from ..session import bounded_broadcast, cut_lineage
 
 MAX_CATEGORY_VALUES = 10_000
 
@@ -58,18 +59,22 @@ def one_hot_encode(frames: Sequence[DataFrame] | DataFrame, columns: Sequence[st
 def fit_label_codes(*frames: DataFrame, label_col: str = "label", start: int = 0) -> DataFrame:
     """ENC-3 / WIN-8: ``(label, code)`` with codes in sorted label order from ``start``.
 
-    The table has one row per class; it stays a DataFrame (no driver round trip).
+    A fit is eager, like an estimator's: the table (one row per class, built
+    by partial aggregation) is written once to the checkpoint folder, so later
+    size checks and joins do not rescan the inputs.  It never passes through
+    the driver.
     """
     parts = [f.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
              for f in frames]
     labels = reduce(lambda a, b: a.unionByName(b), parts).distinct()
-    return labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1 + start).cast("int"))
+    codes = labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1 + start).cast("int"))
+    return cut_lineage(codes)
 
 
 def encode_labels(df: DataFrame, codes: DataFrame, label_col: str = "label",
                   code_col: str = "code") -> DataFrame:
     """ENC-3: attach codes; a label missing from ``codes`` fails the job (as the encoder does)."""
-    c = codes.select(F.col("label").alias("_cl"), F.col("code").alias("_cc"))
+    c = bounded_broadcast(codes.select(F.col("label").alias("_cl"), F.col("code").alias("_cc")))
     joined = df.join(c, F.col(label_col) == F.col("_cl"), "left")
     checked = F.when(F.col("_cc").isNotNull(), F.col("_cc")).otherwise(
         F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(label_col).cast("string"), F.lit("NULL")))))
@@ -86,5 +91,5 @@ def onehot_labels(df: DataFrame, codes: DataFrame, code_col: str = "code",
 def decode_labels(df: DataFrame, codes: DataFrame, code_col: str = "code",
                   out_col: str = "label_decoded") -> DataFrame:
     """ENC-5: inverse transform codes to labels."""
-    c = codes.select(F.col("code").alias("_dc"), F.col("label").alias(out_col))
+    c = bounded_broadcast(codes.select(F.col("code").alias("_dc"), F.col("label").alias(out_col)))
     return df.join(c, F.col(code_col) == F.col("_dc"), "left").drop("_dc")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -25,6 +26,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .encode import encode_labels, fit_label_codes
 from .metrics import evaluate
 
@@ -86,9 +88,19 @@ def prepare_labelled(df: DataFrame, codes: DataFrame, label: str = "label",
 
 
 def train(estimator, train_df: DataFrame, save_path: str | None = None) -> tuple[Model, float]:
-    """ML-7: fit with timing; optionally persist (SNK-7)."""
+    """ML-7: fit with timing; optionally persist (SNK-7).
+
+    Estimators pass over their input several times (metadata, split
+    candidates, then the bagged trees); the input is persisted for the fit so
+    the preparation plan runs once.  A persisted block lost with an executor
+    is recomputed from lineage.
+    """
+    cached = train_df.persist(StorageLevel.MEMORY_AND_DISK)
     t0 = time.perf_counter()
-    model = estimator.fit(train_df)
+    try:
+        model = estimator.fit(cached)
+    finally:
+        cached.unpersist()
     took = time.perf_counter() - t0
     if save_path:
         model.write().overwrite().save(save_path)
@@ -98,8 +110,8 @@ def train(estimator, train_df: DataFrame, save_path: str | None = None) -> tuple
 def score(model: Model, df: DataFrame, codes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """ML-2: class prediction decoded to labels, with the class scores as an array."""
     out = model.transform(df)
-    c = codes.select(F.col("code").alias("_pc"), F.col("label").alias("y_pred"))
-    out = out.join(F.broadcast(c), F.col("pred_idx").cast("int") == F.col("_pc"), "left")
+    c = bounded_broadcast(codes.select(F.col("code").alias("_pc"), F.col("label").alias("y_pred")))
+    out = out.join(c, F.col("pred_idx").cast("int") == F.col("_pc"), "left")
     cols = list(keep) + ["y_pred"]
     if "prob" in out.columns:
         out = out.withColumn("probs", vector_to_array("prob"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode, metrics, models, split
+from ..session import cut_lineage
 from .driver_queries import LINE_KEYS, SCALE_COLS, SEED, r6, table
 
 
@@ -30,7 +31,7 @@ def _report(tables: dict) -> DataFrame:
 
 def q_forest_eval(spark, sf):
     """ML-1/2/7/8: forest on embeddings, report per split (multi-class)."""
-    data = _embeddings(spark, sf)
+    data = cut_lineage(_embeddings(spark, sf))
     codes = encode.fit_label_codes(data)
     prepared = models.prepare_labelled(data, codes)
     model, _ = models.train(models.random_forest(num_trees=20, max_depth=8),
@@ -75,7 +76,9 @@ def q_encode_classify(spark, sf):
 
 def q_score_rows(spark, sf):
     """ML-2/10: forest trained on 80 % of lineitem, every row scored (prediction throughput)."""
-    data = _lineitem(spark, sf)
+    # the split / encoded table feeds the label dictionary, the fit and the scoring:
+    # materialise it once in the reliable checkpoint folder
+    data = cut_lineage(_lineitem(spark, sf))
     codes = encode.fit_label_codes(data)
     prepared = models.prepare_labelled(data, codes)
     model, _ = models.train(models.random_forest(num_trees=10, max_depth=6),

@@ -67,3 +67,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def scratch_dir(prefix: str = "flowprep-") -> str:
     """A fresh local folder for tests only."""
     return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("FLOWPREP_SCRATCH", None))
+
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows; otherwise return it as is.
+
+    The check is a ``limit(max_rows + 1)`` count; call it on a materialised
+    (checkpointed) small table so the check does not recompute its inputs.
+    """
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
