@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bounded_broadcast, cut_lineage
 from ..functions.exprs import (ascii_only, is_number_text, non_finite_to_null, squeeze_blanks,
                                strict_number)
 
@@ -74,11 +75,12 @@ def drop_invalid_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 def drop_unseen_classes(train: DataFrame, other: DataFrame, label_col: str) -> DataFrame:
     """FLT-4 / JOIN-1: rows of ``other`` whose label occurs in ``train`` (left-semi join).
 
-    The distinct-label side is an aggregate; AQE turns the join into a
-    broadcast once it sees the side is small, and splits a skewed partition otherwise.
+    The distinct train labels (one row per class, partial aggregation) are
+    materialised once and broadcast only after a row-count check; above the
+    bound the join stays a shuffle join (AQE splits a skewed partition).
     """
-    seen = train.select(label_col).where(F.col(label_col).isNotNull()).distinct()
-    return other.join(seen, label_col, "left_semi")
+    seen = cut_lineage(train.select(label_col).where(F.col(label_col).isNotNull()).distinct())
+    return other.join(bounded_broadcast(seen), label_col, "left_semi")
 
 
 # ---------------------------------------------------------------------- values

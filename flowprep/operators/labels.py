@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, cut_lineage
+
 # Attack name -> family for the KDD'99 / NSL-KDD five-class
 # setting (train attacks first, then the attacks seen only in the test sets).
 # "normal" is not a key and passes through unchanged.
@@ -95,12 +97,12 @@ def map_labels(df: DataFrame, label_col: str, mapping: Mapping[str, str] | DataF
     """CLN-5 / JOIN-3: map labels through a dictionary; unmapped values stay.
 
     A Python dict becomes a literal map (constant folded, no join).  A mapping
-    table ``(key, value)`` is joined left; AQE broadcasts it when it is small.
+    table ``(key, value)`` is joined left, broadcast after a row-count check.
     """
     out_col = out_col or label_col
     lab = F.col(label_col)
     if isinstance(mapping, DataFrame):
-        m = mapping.select(F.col("key").alias("_mk"), F.col("value").alias("_mv"))
+        m = bounded_broadcast(mapping.select(F.col("key").alias("_mk"), F.col("value").alias("_mv")))
         joined = df.join(m, lab == F.col("_mk"), "left")
         return joined.withColumn(out_col, F.coalesce("_mv", lab)).drop("_mk", "_mv")
     lit_map = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
@@ -127,6 +129,10 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:
-    """Attach AGG-18 weights as a column (for ``weightCol``); joined on the label."""
-    w = class_weights(df, label_col).select(F.col("label").alias(label_col), F.col("weight").alias(weight_col))
-    return df.join(w, label_col, "left")
+    """Attach AGG-18 weights as a column (for ``weightCol``); joined on the label.
+
+    The weight table (one row per class) is materialised, then broadcast after a row-count check.
+    """
+    w = cut_lineage(class_weights(df, label_col)
+                    .select(F.col("label").alias(label_col), F.col("weight").alias(weight_col)))
+    return df.join(bounded_broadcast(w), label_col, "left")

@@ -171,3 +171,15 @@ def sample_with_replacement(df: DataFrame, index_col: str, n_total: int, n: int,
     draws = spark.range(n).select(F.floor(F.rand(seed) * n_total).cast("long").alias(index_col),
                                   F.col("id").alias("draw"))
     return draws.join(df, index_col)
+
+
+def split_manifest(manifest: DataFrame, wide: DataFrame, keys: Sequence[str], label: str = "label",
+                   rates: Sequence[float] = (0.6, 0.2, 0.2), names: Sequence[str] = ("train", "val", "test"),
+                   seed: int | str = DEFAULT_SEED, split_col: str = "split") -> DataFrame:
+    """SPL-3 + JOIN-2: split a narrow manifest ``(keys..., label)``, then fetch the wide rows.
+
+    The join is an equi-join on the unique row keys (no hot key); Spark shuffles
+    both sides on the keys, or broadcasts the manifest when AQE measures it small.
+    """
+    parted = stratified_split(manifest.select(*keys, label), label, list(keys), rates, names, seed, split_col)
+    return wide.join(parted.select(*keys, split_col), list(keys))

@@ -90,3 +90,9 @@ def prediction_timing(score, frames: Sequence[DataFrame]) -> DataFrame:
     spark = frames[0].sparkSession
     return spark.createDataFrame(rows, "rep int, rows long, seconds double") \
         .withColumn("rows_per_sec", F.col("rows") / F.col("seconds"))
+
+
+def dataset_sizes(df: DataFrame, feature_cols: Sequence[str], split_col: str = "split") -> DataFrame:
+    """AGG-10: ``(split, n_rows, n_features)``."""
+    return (df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
+            .withColumn("n_features", F.lit(len(feature_cols))))

@@ -453,3 +453,55 @@ QUERIES = {
     "goal_epoch": q_goal_epoch,
     "spec_params": q_spec_params,
 }
+
+
+# ------------------------------------------------------------------ added coverage
+
+def q_dataset_sizes(spark, sf):
+    """AGG-10: rows per split and the feature count after a 60/20/20 split."""
+    e = events(spark, sf).select("event_id", "event_type", "value", "user_id")
+    parted = split.stratified_split(e, "event_type", "event_id", [0.6, 0.2, 0.2], seed=SEED)
+    return stats.dataset_sizes(parted, ["value", "user_id"])
+
+
+def q_stratified_subset(spark, sf):
+    """SMP-4: stratified 8 % subset."""
+    e = events(spark, sf).select("event_id", "event_type")
+    return split.stratified_subset(e, "event_type", "event_id", 0.08, seed=SEED)
+
+
+def q_binary_confusion(spark, sf):
+    """AGG-7: the 2 x 2 (attack, normal) matrix per split."""
+    return metrics.binary_confusion(_conf(spark, sf), "view", "attack", by=["split"])
+
+
+def q_confusion_wide(spark, sf):
+    """SNK-5 presentation: one column per predicted label (values from the label dictionary)."""
+    from ..sources.io import confusion_wide
+    return confusion_wide(_conf(spark, sf), ["split"], values=EVENT_LABELS)
+
+
+def q_label_numbers(spark, sf):
+    """WIN-8: sorted-label numbers starting at 1."""
+    e = events(spark, sf)
+    codes = encode.fit_label_codes(e, label_col="event_type", start=1)
+    return encode.encode_labels(e.select("event_id", "event_type"), codes, "event_type", "label_number")
+
+
+def q_sequence_sample(spark, sf):
+    """SMP-3: 50 sequences drawn with replacement (row count checked only: the draw is random)."""
+    e = events(spark, sf).select("event_id", "ts", "event_type")
+    seqs = sequence.flow_sequences(e, ["ts", "event_id"], SEQ_LEN, ["event_id", "event_type"])
+    n_seq = seqs.count()
+    drawn = split.sample_with_replacement(seqs, "seq", n_seq, 50, seed=SEED)
+    return drawn.select("draw", "seq", F.size("steps").cast("long").alias("n_steps"))
+
+
+QUERIES.update({
+    "dataset_sizes": q_dataset_sizes,
+    "stratified_subset": q_stratified_subset,
+    "binary_confusion": q_binary_confusion,
+    "confusion_wide": q_confusion_wide,
+    "label_numbers": q_label_numbers,
+    "sequence_sample": q_sequence_sample,
+})

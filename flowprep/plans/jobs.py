@@ -127,10 +127,13 @@ def prepare_ids18(spark: SparkSession, paths: Sequence[str], out: str, *, every_
     if every_kth:
         k = split.sample_step(every_kth)
         df = with_position(df, ["row_id"], "_kpos").where(F.col("_kpos") % k == 0).drop("_kpos")  # SMP-1
-    manifest = df.select("file_key", "row_id", "label")                              # SPL-3 narrow side
-    parted = split.stratified_split(manifest, "label", "row_id", [0.6, 0.2, 0.2], seed=seed)
-    wide = df.join(parted.select("row_id", "split"), "row_id")                       # JOIN-2
-    prepared = scale_and_pack(wide)
+    # SPL-3 in the reference splits a narrow (file, index, label) manifest and fetches
+    # the wide rows back (JOIN-2) to bound memory.  In Spark the class-rank window
+    # already shuffles each row once and spills; splitting the wide rows directly
+    # saves the manifest shuffle and the join (``split.split_manifest`` keeps the
+    # late-materialised form for callers that only hold a manifest).
+    parted = split.stratified_split(df, "label", "row_id", [0.6, 0.2, 0.2], seed=seed)
+    prepared = scale_and_pack(parted)
     io.write_prepared(prepared, out, partition_by=("split", "file_key"))            # SNK-4
     return spark.read.parquet(out)
 

@@ -456,4 +456,21 @@ def oracle_sql() -> dict[str, str]:
         "goal_epoch": _with([HIST_CTE], f"SELECT run, min(CASE WHEN val_loss >= {GOAL} THEN epoch END) AS goal_epoch,"
                                         " max(epoch) AS n_epochs FROM h GROUP BY run"),
         "spec_params": _spec_params(),
+        "dataset_sizes": ("SELECT split, count(*) AS n_rows, 2 AS n_features FROM ("
+                          + split_sql(ev_split_src, "event_type", ["event_id"], ["event_id", "event_type"],
+                                      [0.6, 0.2, 0.2], ["train", "val", "test"]) + ") GROUP BY split"),
+        "stratified_subset": split_sql(ev_split_src, "event_type", ["event_id"], ["event_id", "event_type"],
+                                       [0.08, 0.92], ["keep", "drop"], split_col="_part",
+                                       where_part="_part = 'keep'", out_cols=["event_id", "event_type"]),
+        "binary_confusion": _with([conf_cte("conf0")],
+                                  "SELECT split, CASE WHEN regexp_matches(y_true, '(?i)view') THEN 'view' ELSE 'attack' END"
+                                  " AS y_true, CASE WHEN regexp_matches(y_pred, '(?i)view') THEN 'view' ELSE 'attack' END"
+                                  " AS y_pred, sum(n) AS n FROM conf0 GROUP BY ALL"),
+        "confusion_wide": _with([conf_cte("conf")], "SELECT split, y_true, "
+                                + ", ".join(f"coalesce(max(n) FILTER (WHERE y_pred = {q(v)}), 0) AS \"{v}\""
+                                            for v in EVENT_LABELS) + " FROM conf GROUP BY split, y_true"),
+        "label_numbers": ("WITH codes AS (SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS code"
+                          " FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NULL))"
+                          " SELECT e.event_id, e.event_type, c.code AS label_number FROM events e JOIN codes c"
+                          " ON e.event_type = c.label"),
     }

@@ -94,6 +94,12 @@ def write_report(tables: dict[str, DataFrame], path: str, run: str, fmt: str = "
          .option("header", True).partitionBy("run").save(f"{path}/{name}"))
 
 
-def confusion_wide(conf: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """SNK-5 presentation: the matrix with one column per predicted label (report only)."""
-    return conf.groupBy(*by, "y_true").pivot("y_pred").agg(F.first("n")).na.fill(0)
+def confusion_wide(conf: DataFrame, by: Sequence[str] = ("split",), values: Sequence[str] | None = None) -> DataFrame:
+    """SNK-5 presentation: the matrix with one column per predicted label, 0 for empty cells.
+
+    Pass the label list (the sorted label dictionary) as ``values`` to skip
+    Spark's extra distinct-values job; the matrix has k x k cells at most.
+    """
+    pv = conf.groupBy(*by, "y_true").pivot("y_pred", list(values) if values is not None else None)
+    out = pv.agg(F.first("n"))
+    return out.na.fill(0, subset=[c for c in out.columns if c not in (*by, "y_true")])

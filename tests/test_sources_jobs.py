@@ -84,3 +84,75 @@ def test_prepare_nsl_like(spark, tmpdir_path):
     assert codes.count() == 5 and data.where("split = 'val'").count() == 0
     seqs, _ = jobs.prepare_sequences(spark, out, length=8)
     assert seqs.where("split = 'train'").count() == 10
+
+
+def test_prepare_ids17_like(spark, tmpdir_path):
+    import random
+    rnd = random.Random(5)
+    header = " Destination Port, Flow Duration, Flow Bytes/s, Flow Packets/s, Label\n"
+    rows = []
+    for i in range(60):
+        rows.append(f"{rnd.randint(1, 9000)},{rnd.randint(1, 999)},{rnd.random() * 100:.3f},{rnd.random():.4f},BENIGN")
+    for i in range(20):
+        rows.append(f"{rnd.randint(1, 9000)},{rnd.randint(1, 999)},{rnd.random() * 100:.3f},{rnd.random():.4f},DDoS")
+    for i in range(10):
+        rows.append(f"{rnd.randint(1, 9000)},{rnd.randint(1, 999)},{rnd.random() * 100:.3f},{rnd.random():.4f},"
+                    "Web Attack – XSS")
+    rows += ["80,5,Infinity,1.0,BENIGN", "80,5,NaN,1.0,DDoS", "80,5,,1.0,BENIGN", "443,7,1.5,2.5,Heartbleed"]
+    p = _write(os.path.join(tmpdir_path, "ids17.csv"), header + "\n".join(rows) + "\n")
+    out = os.path.join(tmpdir_path, "ids17")
+    prepared = jobs.prepare_ids17(spark, [p], out)
+    got = {(r["label"], r["split"]): r["count"] for r in prepared.groupBy("label", "split").count().collect()}
+    assert got == {("BENIGN", "train"): 36, ("BENIGN", "val"): 12, ("BENIGN", "test"): 12,
+                   ("DDoS", "train"): 12, ("DDoS", "val"): 4, ("DDoS", "test"): 4,
+                   ("Web Attack XSS", "train"): 6, ("Web Attack XSS", "val"): 2, ("Web Attack XSS", "test"): 2}
+    assert prepared.select(F.size("features")).distinct().first()[0] == 4
+
+
+def test_prepare_ids18_like(spark, tmpdir_path):
+    day1 = ("Dst Port,Protocol,Timestamp,Flow Duration,Tot Fwd Pkts,Label\n"
+            + "".join(f"{80 + i},6,{'02/03/2018' if i % 2 else '01/03/2018'} 08:{i:02d}:00,{i * 10},{i % 7},"
+                      f"{'Benign' if i % 3 else 'Bot'}\n" for i in range(30))
+            + "Dst Port,Protocol,Timestamp,Flow Duration,Tot Fwd Pkts,Label\n"
+            + "53,17,01/03/2018 09:00:00,Infinity,1,Benign\n")
+    day2 = ("Flow ID,Src IP,Src Port,Dst IP,Dst Port,Protocol,Timestamp,Flow Duration,Tot Fwd Pkts,Label\n"
+            + "".join(f"f{i},1.1.1.1,{1000 + i},2.2.2.2,{443},6,15/02/2018 10:{i:02d}:00,{i * 3},{i % 5},"
+                      f"{'Benign' if i % 4 else 'Bot'}\n" for i in range(30)))
+    p1 = _write(os.path.join(tmpdir_path, "day1.csv"), day1)
+    p2 = _write(os.path.join(tmpdir_path, "day2.csv"), day2)
+    out = os.path.join(tmpdir_path, "ids18")
+    prepared = jobs.prepare_ids18(spark, [p1, p2], out)
+    # repeated header row (non-numeric Dst Port) and the Infinity row are gone
+    assert prepared.count() == 60
+    assert set(prepared.columns) >= {"row_id", "label", "features", "split", "file_key"}
+    assert prepared.select(F.size("features")).distinct().first()[0] == 3
+    sizes = {r["split"]: r["count"] for r in prepared.groupBy("split").count().collect()}
+    assert sizes == {"train": 36, "val": 12, "test": 12}
+    # rows of one file are numbered in timestamp *text* order: 01/03 before 02/03
+    d1 = spark.read.parquet(out).where(F.col("file_key") == "day1.csv").orderBy("row_id")
+    assert d1.count() == 30
+    out2 = os.path.join(tmpdir_path, "ids18_sub")
+    sub = jobs.prepare_ids18(spark, [p1, p2], out2, every_kth=0.2)
+    assert sub.count() == 12
+
+
+def test_run_experiment_train_test(spark, tmpdir_path):
+    rows = [(i, "train" if i < 60 else ("val" if i < 80 else "test"), "normal" if i % 3 else "dos",
+             [float(i % 3 == 0), float(i % 5), float(i % 7)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, split string, label string, features array<double>")
+    path = os.path.join(tmpdir_path, "prep")
+    io.write_prepared(df, path)
+    res = jobs.run_experiment(spark, {"dataset_dir": path, "model": "rf", "normal_label": "normal",
+                                      "model_params": {"num_trees": 5, "max_depth": 4},
+                                      "model_path": os.path.join(tmpdir_path, "m1")},
+                              report_dir=os.path.join(tmpdir_path, "report"))
+    am = res["tables"]["average_metrics"]
+    acc = am.where("split = 'test' AND granularity = 'multi' AND avg_type = 'micro'").first()["acc"]
+    assert acc == 1.0
+    assert spark.read.parquet(os.path.join(tmpdir_path, "report", "class_metrics")).count() > 0
+    again = jobs.run_experiment(spark, {"dataset_dir": path, "action": "stat_test_2_models",
+                                        "model_path": os.path.join(tmpdir_path, "m1"),
+                                        "model_path_2": os.path.join(tmpdir_path, "m1")})
+    assert again["folds"].count() == 10
+    t = again["ttest"].first()
+    assert t["df"] == 18
