@@ -83,9 +83,9 @@ def encode_labels(df: DataFrame, codes: DataFrame, label_col: str = "label",
 
 def onehot_labels(df: DataFrame, codes: DataFrame, code_col: str = "code",
                   out_col: str = "onehot") -> DataFrame:
-    """ENC-4: one-hot int array of the code; width = number of classes (a 1-row side)."""
-    k = codes.agg(F.count(F.lit(1)).cast("int").alias("_k"))
-    return df.crossJoin(F.broadcast(k)).withColumn(out_col, one_hot(code_col, F.col("_k"))).drop("_k")
+    """ENC-4: one-hot int array of the code; width = number of classes (counted on the fitted table)."""
+    k = codes.count()
+    return df.withColumn(out_col, one_hot(code_col, k))
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, code_col: str = "code",

@@ -176,9 +176,30 @@ def reconstruction_summary(errors: DataFrame, err_col: str = "sq_error_sum", by:
     return g.agg(F.avg(err_col).alias("mse"), F.sqrt(F.avg(err_col)).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
-def multilabel_f1(df: DataFrame, y_col: str, p_col: str, by: Sequence[str] = (), at: float = 0.5) -> DataFrame:
-    """AGG-14: support-weighted F1 of thresholded multi-label scores (no score above 0.5 => no label)."""
+def multilabel_f1(df: DataFrame, y_col: str, p_col: str, by: Sequence[str] = (), at: float = 0.5,
+                  n_classes: int | None = None) -> DataFrame:
+    """AGG-14: support-weighted F1 of thresholded multi-label scores (no score above 0.5 => no label).
+
+    With ``n_classes`` known, the per-class counts are plain sums over array
+    elements (one aggregation, no explode).
+    """
     by = list(by)
+    if n_classes is not None:
+        y, p = F.col(y_col), threshold(p_col, at)
+        sums = []
+        for j in range(n_classes):
+            yj, pj = y[j], p[j]
+            sums += [F.sum(yj * pj).alias(f"tp{j}"), F.sum((1 - yj) * pj).alias(f"fp{j}"),
+                     F.sum(yj * (1 - pj)).alias(f"fn{j}"), F.sum(yj).alias(f"s{j}")]
+        g = df.groupBy(*by) if by else df.groupBy()
+        agg = g.agg(*sums)
+        num = F.lit(0.0)
+        den = F.lit(0)
+        for j in range(n_classes):
+            f1 = safe_div(2 * F.col(f"tp{j}"), 2 * F.col(f"tp{j}") + F.col(f"fp{j}") + F.col(f"fn{j}"))
+            num = num + f1 * F.col(f"s{j}")
+            den = den + F.col(f"s{j}")
+        return agg.select(*by, safe_div(num, den).alias("weighted_f1"))
     ex = df.select(*by, F.posexplode(F.arrays_zip(F.col(y_col).alias("y"), threshold(p_col, at).alias("p"))))
     per = (ex.groupBy(*by, "pos")
            .agg(F.sum(F.col("col.y") * F.col("col.p")).alias("tp"),

@@ -40,8 +40,12 @@ def _cols(cols: Sequence[ColumnOrName] | ColumnOrName) -> list[Column]:
 
 def with_position(df: DataFrame, order: Sequence[ColumnOrName] | ColumnOrName,
                   pos_col: str = "pos", num_partitions: int | None = None,
-                  keep_partition: bool = False) -> DataFrame:
-    """Add a dense 0-based global position following ``order`` (unique keys)."""
+                  keep_partition: bool = False, total_col: str | None = None) -> DataFrame:
+    """Add a dense 0-based global position following ``order`` (unique keys).
+
+    ``total_col`` also attaches the total row count, taken from the same
+    per-partition count table (no extra pass over the rows).
+    """
     order_cols = _cols(order)
     n = num_partitions or shuffle_partitions(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order_cols)
@@ -54,10 +58,12 @@ def with_position(df: DataFrame, order: Sequence[ColumnOrName] | ColumnOrName,
     offsets = (ranged.groupBy(PID)
                .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
                .withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-               .select(PID, "_off", "_m0"))
+               .withColumn("_tot", F.sum("_n").over(Window.partitionBy()))
+               .select(PID, "_off", "_m0", "_tot"))
     out = (ranged.join(F.broadcast(offsets), PID)
            .withColumn(pos_col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
            .drop("_off", "_m0", "_mid"))
+    out = out.withColumnRenamed("_tot", total_col) if total_col else out.drop("_tot")
     return out if keep_partition else out.drop(PID)
 
 

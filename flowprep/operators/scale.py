@@ -2,8 +2,8 @@
 
 The fit is a single aggregate (partial per partition, merged once): the
 file-by-file partial fitting of the reference is what Spark's two-phase
-aggregation already does.  The fitted statistics are one row, attached with a
-broadcast cross join (size: one row).
+aggregation already does.  The fitted statistics are one row; applying them
+inlines them as literals.
 """
 
 from __future__ import annotations
@@ -33,15 +33,26 @@ def scaler_stats_long(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.select(rows.alias("s"), "n").select("s.*", "n")
 
 
-def apply_scaler(df: DataFrame, stats: DataFrame, columns: Sequence[str],
+def stats_row(stats: DataFrame) -> dict:
+    """The fitted statistics as a dict: a fitted scaler is one row (4 numbers per column)."""
+    rows = stats.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a fitted scaler has exactly one row")
+    return rows[0].asDict()
+
+
+def apply_scaler(df: DataFrame, stats: DataFrame | dict, columns: Sequence[str],
                  kind: str = "standard") -> DataFrame:
     """SCL-1/2/3: scale ``columns`` in place, keeping column order (SCL-5).
 
     standard: ``(x - mean) / std_pop``, a constant column gives 0.
     min_max:  ``(x - min) / (max - min)``, a constant column gives 0.
+
+    The one-row statistics become literals: the projection needs no join and
+    stays inside whole-stage codegen.
     """
+    st = stats if isinstance(stats, dict) else stats_row(stats)
     cs = set(columns)
-    joined = df.crossJoin(F.broadcast(stats))
     out = []
     for c in df.columns:
         if c not in cs:
@@ -49,15 +60,18 @@ def apply_scaler(df: DataFrame, stats: DataFrame, columns: Sequence[str],
             continue
         x = F.col(c).cast("double")
         if kind == "standard":
-            scale = F.when(F.col(f"std_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"std_{c}"))
-            out.append(((x - F.col(f"mean_{c}")) / scale).alias(c))
+            mean, std = st[f"mean_{c}"], st[f"std_{c}"]
+            scale = 1.0 if not std else std  # 0 (constant column) -> divide by 1
+            out.append(((x - F.lit(mean)) / F.lit(scale)).alias(c) if mean is not None
+                       else F.lit(None).cast("double").alias(c))
         elif kind == "min_max":
-            rng = F.col(f"max_{c}") - F.col(f"min_{c}")
-            rng = F.when(rng == 0, F.lit(1.0)).otherwise(rng)
-            out.append(((x - F.col(f"min_{c}")) / rng).alias(c))
+            lo, hi = st[f"min_{c}"], st[f"max_{c}"]
+            rng = 1.0 if lo is None or hi == lo else hi - lo
+            out.append(((x - F.lit(lo)) / F.lit(rng)).alias(c) if lo is not None
+                       else F.lit(None).cast("double").alias(c))
         else:
             raise ValueError(f"unknown scaler {kind}")
-    return joined.select(*out)
+    return df.select(*out)
 
 
 def fit_and_scale(df: DataFrame, columns: Sequence[str], fit_where: Column,

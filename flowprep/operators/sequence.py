@@ -18,9 +18,8 @@ from .position import with_position
 def with_sequence_ids(df: DataFrame, order: Sequence[str | Column], length: int,
                       pos_col: str = "pos") -> DataFrame:
     """``seq = pos div L`` and ``step = pos mod L``; rows of the incomplete tail removed (WIN-2)."""
-    p = with_position(df, order, pos_col)
-    total = p.agg(F.count(F.lit(1)).alias("_n"))
-    return (p.crossJoin(F.broadcast(total))
+    p = with_position(df, order, pos_col, total_col="_n")
+    return (p
             .where(F.col(pos_col) < F.lit(length) * F.floor(F.col("_n") / length))
             .withColumn("seq", F.floor(F.col(pos_col) / length).cast("long"))
             .withColumn("step", (F.col(pos_col) % length).cast("int"))
@@ -46,25 +45,21 @@ def flatten_sequences(seqs: DataFrame, steps_col: str = "steps") -> DataFrame:
 def with_folds(df: DataFrame, order: Sequence[str | Column], k: int = 10,
                fold_col: str = "fold") -> DataFrame:
     """WIN-4: ``k`` contiguous folds; the first ``n mod k`` folds get one extra row (1-based)."""
-    p = with_position(df, order, "_fpos")
-    n = p.agg(F.count(F.lit(1)).alias("_n"))
+    p = with_position(df, order, "_fpos", total_col="_n")
     base = F.floor(F.col("_n") / k)
     extra = F.col("_n") - base * k
     big = extra * (base + 1)
     fold = F.when(F.col("_fpos") < big, F.floor(F.col("_fpos") / (base + 1))) \
         .otherwise(extra + F.floor((F.col("_fpos") - big) / base))
-    return (p.crossJoin(F.broadcast(n)).withColumn(fold_col, (fold + 1).cast("int"))
-            .drop("_n", "_fpos"))
+    return p.withColumn(fold_col, (fold + 1).cast("int")).drop("_n", "_fpos")
 
 
 def with_chunks(df: DataFrame, order: Sequence[str | Column], num_chunks: int,
                 chunk_col: str = "chunk") -> DataFrame:
     """SNK-3: ``num_chunks`` consecutive ranges of ``ceil(n / N)`` rows (1-based)."""
-    p = with_position(df, order, "_cpos")
-    n = p.agg(F.count(F.lit(1)).alias("_n"))
+    p = with_position(df, order, "_cpos", total_col="_n")
     size = F.ceil(F.col("_n") / num_chunks)
-    return (p.crossJoin(F.broadcast(n))
-            .withColumn(chunk_col, (F.floor(F.col("_cpos") / size) + 1).cast("int"))
+    return (p.withColumn(chunk_col, (F.floor(F.col("_cpos") / size) + 1).cast("int"))
             .drop("_n", "_cpos"))
 
 

@@ -53,17 +53,19 @@ def ttest_independent(folds: DataFrame, a: str = "acc1", b: str = "acc2") -> Dat
 def histogram(df: DataFrame, col: str, num_bins: int) -> DataFrame:
     """AGG-16: counts in ``num_bins`` equal-width bins over [min, max]; the last bin is closed.
 
-    Min and max are one aggregate row (broadcast); bins are a partial aggregate.
+    Min and max are one aggregate row, inlined as literals; bins are a partial
+    aggregate (at most ``num_bins`` rows leave each task).
     """
-    mm = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    lo_v, hi_v = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
+    if lo_v is None:
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
     x = F.col(col).cast("double")
-    width = F.col("_hi") - F.col("_lo")
-    raw = F.when(width == 0, F.lit(0)).otherwise(F.floor((x - F.col("_lo")) * num_bins / width))
+    lo_c, width = F.lit(lo_v), F.lit(hi_v) - F.lit(lo_v)
+    raw = F.lit(0) if hi_v == lo_v else F.floor((x - lo_c) * num_bins / width)
     b = F.least(raw, F.lit(num_bins - 1)).cast("int")
-    out = (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(mm)).withColumn("bin", b)
-           .groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")))
-    lo = F.col("_lo") + width * F.col("bin") / num_bins
-    hi = F.col("_lo") + width * (F.col("bin") + 1) / num_bins
+    out = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    lo = lo_c + width * F.col("bin") / num_bins
+    hi = lo_c + width * (F.col("bin") + 1) / num_bins
     return out.select("bin", lo.alias("lo"), hi.alias("hi"), "n")
 
 

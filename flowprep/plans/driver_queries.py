@@ -338,7 +338,7 @@ def _multilabel(spark, sf):
 
 
 def q_multilabel_f1(spark, sf):
-    m = metrics.multilabel_f1(_multilabel(spark, sf), "y", "p", ["l_linestatus"])
+    m = metrics.multilabel_f1(_multilabel(spark, sf), "y", "p", ["l_linestatus"], n_classes=3)
     return m.select("l_linestatus", r6("weighted_f1").alias("weighted_f1"))
 
 
