@@ -48,10 +48,11 @@ def early_stop_epoch(hist: DataFrame, run: str, patience: int, epoch: str = "epo
     ``hist`` must carry ``_pid`` from ``number_epochs(..., keep_partition=True)``
     (range partitions over ``(run, epoch)``).
     """
-    prev = segmented_scan(hist, run, epoch, loss, "min", "preceding", "_prev_min")
+    keys = ["_gk", "_gn"] if "_gk" in hist.columns else run
+    prev = segmented_scan(hist, keys, epoch, loss, "min", "preceding", "_prev_min")
     rec = prev.withColumn("_improved", F.col("_prev_min").isNull() | (F.col(loss) < F.col("_prev_min")))
     rec = rec.withColumn("_rec_epoch", F.when(F.col("_improved"), F.col(epoch)))
-    nxt = segmented_scan(rec, run, epoch, "_rec_epoch", "min", "following", "_next_rec")
+    nxt = segmented_scan(rec, keys, epoch, "_rec_epoch", "min", "following", "_next_rec")
     n_epochs = hist.groupBy(run).agg(F.max(epoch).alias("n_epochs"))
     stop_at = F.col(epoch) + patience
     cand = (nxt.where(F.col("_improved"))

@@ -127,23 +127,29 @@ def group_position(df: DataFrame, group: str, order: Sequence[ColumnOrName],
     """1-based position inside ``group`` following ``order``, safe when one group is hot.
 
     The global position over ``(group, order)`` spreads a hot group over many
-    range partitions; the group's first position is a per-group minimum
-    (partial aggregation) joined back on the group key (AQE splits a skewed
-    join partition).
+    range partitions.  Each (range partition, group) slice reports its first
+    position (one row per slice: groups + partitions rows at most); a group's
+    start is the minimum over its slices.  The start is joined back on
+    ``(partition, group)``, a key no group can dominate.  NULL groups are kept
+    (null-safe key columns ``_gk``, ``_gn``).
     """
-    g = F.col(group)
-    pos = with_position(df, [g, *_cols(order)], pos_col="_gpos", keep_partition=True)
-    starts = pos.groupBy(group).agg(F.min("_gpos").alias("_gstart"))
-    out = (pos.join(starts, group)
+    keyed = (df.withColumn("_gk", F.coalesce(F.col(group).cast("string"), F.lit("")))
+               .withColumn("_gn", F.col(group).isNull()))
+    pos = with_position(keyed, [F.col(group), *_cols(order)], pos_col="_gpos", keep_partition=True)
+    slice_keys = [PID, "_gk", "_gn"]
+    slices = (pos.groupBy(*slice_keys).agg(F.min("_gpos").alias("_smin"))
+              .withColumn("_gstart", F.min("_smin").over(Window.partitionBy("_gk", "_gn")))
+              .select(*slice_keys, "_gstart"))
+    out = (pos.join(slices, slice_keys)
            .withColumn(pos_col, (F.col("_gpos") - F.col("_gstart") + 1).cast("long"))
            .drop("_gstart"))
-    return out if keep_partition else out.drop(PID, "_gpos")
+    return out if keep_partition else out.drop(PID, "_gpos", "_gk", "_gn")
 
 
 _SCAN = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
-def segmented_scan(df: DataFrame, group: str, pos: str, value: ColumnOrName, how: str = "min",
+def segmented_scan(df: DataFrame, group: str | Sequence[str], pos: str, value: ColumnOrName, how: str = "min",
                    direction: str = "preceding", out_col: str = "scan") -> DataFrame:
     """Exclusive running ``how`` of ``value`` inside ``group`` along ``pos``.
 
@@ -152,25 +158,25 @@ def segmented_scan(df: DataFrame, group: str, pos: str, value: ColumnOrName, how
     each (partition, group) slice is contiguous.  A hot group is split across
     partitions: the local scan runs per (partition, group), and each slice gets
     the aggregate of the earlier (or later) slices of its group as carry-in.
+    Frames from ``group_position(..., keep_partition=True)`` carry null-safe
+    group keys; pass ``group=["_gk", "_gn"]`` to keep NULL groups.
     """
+    gk = [group] if isinstance(group, str) else list(group)
     agg = _SCAN[how]
     v = F.col(value) if isinstance(value, str) else value
     base = df.withColumn("_sv", v)
     if direction == "preceding":
-        local_w = (Window.partitionBy(PID, group).orderBy(pos)
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        carry_w = (Window.partitionBy(group).orderBy(PID)
-                   .rowsBetween(Window.unboundedPreceding, -1))
+        local_frame, carry_frame = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, -1)
     else:
-        local_w = (Window.partitionBy(PID, group).orderBy(pos)
-                   .rowsBetween(1, Window.unboundedFollowing))
-        carry_w = (Window.partitionBy(group).orderBy(PID)
-                   .rowsBetween(1, Window.unboundedFollowing))
-    slices = (base.groupBy(PID, group).agg(agg("_sv").alias("_slice"))
+        local_frame, carry_frame = (1, Window.unboundedFollowing), (1, Window.unboundedFollowing)
+    local_w = Window.partitionBy(PID, *gk).orderBy(pos).rowsBetween(*local_frame)
+    carry_w = Window.partitionBy(*gk).orderBy(PID).rowsBetween(*carry_frame)
+    slices = (base.groupBy(PID, *gk).agg(agg("_sv").alias("_slice"))
               .withColumn("_carry", agg("_slice").over(carry_w))
-              .select(PID, group, "_carry"))
+              .select(PID, *gk, "_carry"))
     local = base.withColumn("_local", agg("_sv").over(local_w))
-    joined = local.join(slices, [PID, group])
+    # same keys as the local window's partitioning: the big side is not re-shuffled
+    joined = local.join(slices, [PID, *gk])
     if how == "sum":
         combined = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
     elif how == "min":
