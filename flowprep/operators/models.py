@@ -41,11 +41,19 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def random_forest(num_trees: int = 100, min_instances: int = 1, max_depth: int = 12, seed: int | None = 42,
-                  weight_col: str | None = None) -> RandomForestClassifier:
-    """ML-1: forest; ``max_depth`` must be set (Spark's default 5 is far shallower than unlimited)."""
+                  weight_col: str | None = None, max_bins: int = 32,
+                  max_memory_mb: int = 512) -> RandomForestClassifier:
+    """ML-1: forest; ``max_depth`` must be set (Spark's default 5 is far shallower than unlimited).
+
+    Each task may hold 512 MB of split statistics, so a level needs fewer
+    passes over the data.  Deep trees (depth 10 and more) also cache node ids
+    per row instead of re-walking each tree from the root at every level; for
+    shallow trees that cache costs more than it saves.
+    """
     rf = RandomForestClassifier(numTrees=num_trees, minInstancesPerNode=min_instances, maxDepth=max_depth,
                                 featuresCol="fvec", labelCol="label_idx", predictionCol="pred_idx",
-                                probabilityCol="prob", rawPredictionCol="raw", maxBins=64)
+                                probabilityCol="prob", rawPredictionCol="raw", maxBins=max_bins,
+                                cacheNodeIds=max_depth >= 10, maxMemoryInMB=max_memory_mb)
     if seed is not None:
         rf = rf.setSeed(seed)
     if weight_col:

@@ -157,7 +157,9 @@ def hash_sample(df: DataFrame, keys: Sequence[str] | str, n: int, seed: int | st
     if check and df.limit(n).count() < n:
         raise ValueError(f"cannot sample {n} rows from fewer rows")
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.withColumn("_h", seeded_hash(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
+    sample = df.withColumn("_h", seeded_hash(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
+    # the top-n merge leaves one partition: spread the (n-row) sample for parallel consumers
+    return sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def sample_with_replacement(df: DataFrame, index_col: str, n_total: int, n: int,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,9 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
+    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss).
+
+    A reliable checkpoint runs one job to compute the rows and a second one to
+    write them; without a cache the second job recomputes the whole plan.  The
+    rows are cached for the length of the checkpoint only.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
