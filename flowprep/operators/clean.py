@@ -132,5 +132,5 @@ def quality_report(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def profile(df: DataFrame, n: int = 5):
-    """CHK-3: schema, row count and the first rows (driver-side preview of ``n`` rows)."""
+    """CHK-3 / SRT-3: schema, row count and the first ``n`` rows (a driver-side preview of n rows)."""
     return {"schema": df.schema.simpleString(), "rows": df.count(), "head": df.limit(n).collect()}

@@ -103,3 +103,18 @@ def confusion_wide(conf: DataFrame, by: Sequence[str] = ("split",), values: Sequ
     pv = conf.groupBy(*by, "y_true").pivot("y_pred", list(values) if values is not None else None)
     out = pv.agg(F.first("n"))
     return out.na.fill(0, subset=[c for c in out.columns if c not in (*by, "y_true")])
+
+
+def file_order(file_key: str = "file_key", idx: str = "row_id") -> list:
+    """SRT-2: rows of many files in (sorted file name, position in file) order.
+
+    The reference sorts file names before concatenating so X and y files pair
+    up; here X and y are one table, and order-dependent operators take this
+    list as their explicit ``order``.
+    """
+    return [F.col(file_key), F.col(idx)]
+
+
+def head(df: DataFrame, n: int = 5, order: Sequence | None = None) -> DataFrame:
+    """SRT-3: the first ``n`` rows (by ``order`` when given: a top-n, not a full sort)."""
+    return (df.orderBy(*order) if order else df).limit(n)

@@ -156,3 +156,21 @@ def test_run_experiment_train_test(spark, tmpdir_path):
     assert again["folds"].count() == 10
     t = again["ttest"].first()
     assert t["df"] == 18
+
+
+def test_file_order_head_chunks_history_sinks(spark, tmpdir_path):
+    from flowprep.operators import history, sequence
+    from flowprep.operators.split import sample_with_replacement
+    df = spark.createDataFrame([("b.csv", 0), ("a.csv", 1), ("a.csv", 0)], "file_key string, row_id long")
+    top = io.head(df, 2, io.file_order()).collect()
+    assert [(r["file_key"], r["row_id"]) for r in top] == [("a.csv", 0), ("a.csv", 1)]
+    out = os.path.join(tmpdir_path, "chunks")
+    sequence.write_chunks(spark.range(10), ["id"], 3, out)
+    assert sorted(d for d in os.listdir(out) if d.startswith("chunk=")) == ["chunk=1", "chunk=2", "chunk=3"]
+    h = history.history_frame(spark, "r1", [1.0, 0.5], val_loss=None)
+    hp = os.path.join(tmpdir_path, "hist")
+    history.save_history(h, hp)
+    back = spark.read.option("header", True).csv(hp)
+    assert back.count() == 2 and back.where("val_loss = '0.0'").count() == 2
+    draws = sample_with_replacement(spark.range(5).withColumnRenamed("id", "seq"), "seq", 5, 40, seed=3)
+    assert draws.count() == 40 and draws.select("seq").distinct().count() <= 5
