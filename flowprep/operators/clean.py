@@ -131,6 +131,35 @@ def quality_report(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
             .orderBy("i").drop("i"))
 
 
+def filter_report(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """CHK-2 for successive filters of one input, in one scan.
+
+    Stage ``i`` keeps the rows that pass conditions ``1..i``; every stage count
+    is a conditional count in a single aggregate (NULL conditions count as
+    failing, as ``where`` drops them).  Returns ``(stage, rows_before,
+    rows_after, removed)``.
+    """
+    cum = F.lit(True)
+    aggs = [F.count(F.lit(1)).alias("n0")]
+    for i, (_, cond) in enumerate(stages, start=1):
+        cum = cum & F.coalesce(cond, F.lit(False))
+        aggs.append(F.count_if(cum).alias(f"n{i}"))
+    counts = df.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.col(f"n{i - 1}").alias("rows_before"),
+                                        F.col(f"n{i}").alias("rows_after"),
+                                        (F.col(f"n{i - 1}") - F.col(f"n{i}")).alias("removed"))
+                               for i, (name, _) in enumerate(stages, start=1)]))
+    return counts.select(rows.alias("r")).select("r.*")
+
+
+def valid_row(cols: Sequence[str]) -> Column:
+    """The FLT-3 keep condition as one expression: no NULL, NaN or +-Infinity in ``cols``."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & non_finite_to_null(c).isNotNull()
+    return cond
+
+
 def profile(df: DataFrame, n: int = 5):
     """CHK-3 / SRT-3: schema, row count and the first ``n`` rows (a driver-side preview of n rows)."""
     return {"schema": df.schema.simpleString(), "rows": df.count(), "head": df.limit(n).collect()}

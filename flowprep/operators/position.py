@@ -95,8 +95,7 @@ def ranked_by_class(df: DataFrame, label: str, keys: Sequence[str] | str, seed:
               .withColumn("_b", F.substring("_h", 1, 3)))
     part = ["_lk", "_ln", "_b"]
     # partial aggregation: at most classes x 4096 rows
-    buckets = (base.groupBy(*part).agg(F.count(F.lit(1)).alias("_bn"),
-                                       F.first(label).alias("_label")))
+    buckets = base.groupBy(*part).agg(F.count(F.lit(1)).alias("_bn"))
     wb = (Window.partitionBy("_lk", "_ln").orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
@@ -110,7 +109,7 @@ CLASS_KEYS = ["_lk", "_ln"]
 
 
 def attach_rank(ranked: DataFrame, buckets: DataFrame, rank_col: str = "class_rank") -> DataFrame:
-    out = (ranked.join(buckets.drop("_bn", "_label"), BUCKET_KEYS)
+    out = (ranked.join(buckets.drop("_bn"), BUCKET_KEYS)
            .withColumn(rank_col, (F.col("_boff") + F.col("_rn")).cast("long")))
     return out.drop("_rn", "_boff")
 

@@ -140,9 +140,9 @@ def q_invalid_values(spark, sf):
 
 def q_cleaning_report(spark, sf):
     raw = _ratio_frame(spark, sf)
-    valid = clean.drop_invalid_rows(raw, ["r1", "r2"])
-    no_rare = clean.drop_classes(valid, "l_returnflag", ["A"])
-    return clean.quality_report([("input", raw), ("drop_invalid", valid), ("drop_rare", no_rare)])
+    flag = F.col("l_returnflag")
+    return clean.filter_report(raw, [("drop_invalid", clean.valid_row(["r1", "r2"])),
+                                     ("drop_rare", flag.isNull() | ~flag.isin("A"))])
 
 
 def q_text_time_sort(spark, sf):

@@ -84,3 +84,15 @@ def test_scalar_functions(spark):
     r = df.select(argmax("p").alias("a"), split_list("s").alias("l"), split_list("t").alias("m")).first()
     assert r["a"] == 1 and r["l"] == ["64", "32"] and r["m"] == ["relu"]
     assert df.select(is_number_text(F.lit("1_0.5e-3"))).first()[0] is True
+
+
+def test_filter_report_one_scan_matches_stagewise(spark):
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, float("inf"), "b"), (3, 2.0, "A"), (4, None, "c"), (5, 3.0, None)],
+                               "k int, x double, f string")
+    rep = clean.filter_report(df, [("drop_invalid", clean.valid_row(["x"])),
+                                   ("drop_rare", F.col("f").isNull() | ~F.col("f").isin("A"))]).collect()
+    assert [tuple(r) for r in rep] == [("drop_invalid", 5, 3, 2), ("drop_rare", 3, 2, 1)]
+    valid = clean.drop_invalid_rows(df, ["x"])
+    staged = clean.quality_report([("input", df), ("drop_invalid", valid),
+                                   ("drop_rare", clean.drop_classes(valid, "f", ["A"]))]).collect()
+    assert [tuple(r) for r in staged] == [tuple(r) for r in rep]
