@@ -497,7 +497,27 @@ def q_sequence_sample(spark, sf):
     return drawn.select("draw", "seq", F.size("steps").cast("long").alias("n_steps"))
 
 
+PREP_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "r1", "l_linestatus_F", "l_linestatus_O"]
+
+
+def q_prepare_lineitem(spark, sf):
+    """JOB-4 shaped end to end: ratio feature, FLT-3, ENC-1 dummies, SPL-1 60/20/20 by return flag,
+    SCL-1/3 standard scaling fitted on train only (features left unpacked for the SQL check)."""
+    li = table(spark, sf, "lineitem")
+    inf = float("inf")
+    r1 = F.when(F.col("l_tax") == 0, F.lit(inf)).otherwise(F.col("l_discount") / F.col("l_tax"))
+    base = li.select(*LINE_KEYS, "l_quantity", "l_extendedprice", "l_discount", "l_tax", r1.alias("r1"),
+                     "l_linestatus", F.col("l_returnflag").alias("label"))
+    base = clean.drop_invalid_rows(base, ["r1"])
+    (enc,) = encode.one_hot_encode([base], ["l_linestatus"])
+    keyed = enc.withColumn("_key", F.concat_ws("-", *[F.col(k).cast("string") for k in LINE_KEYS]))
+    parted = split.stratified_split(keyed, "label", "_key", [0.6, 0.2, 0.2], seed=SEED).drop("_key")
+    scaled = scale.fit_and_scale(parted, PREP_FEATURES, F.col("split") == "train")
+    return scaled.select(*LINE_KEYS, "split", "label", *[r6(c).alias(c) for c in PREP_FEATURES])
+
+
 QUERIES.update({
+    "prepare_lineitem": q_prepare_lineitem,
     "dataset_sizes": q_dataset_sizes,
     "stratified_subset": q_stratified_subset,
     "binary_confusion": q_binary_confusion,

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import clean, encode, labels, metrics, models, scale, sequence, split
 from ..operators.position import with_position
+from ..session import cut_lineage
 from ..sources import io
 from .spec import read_specs, typed_specs, with_defaults
 
@@ -34,8 +35,15 @@ def pack_features(df: DataFrame, cols: Sequence[str], out: str = "features") ->
     return df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias(out))
 
 
-def scale_and_pack(df: DataFrame, kind: str = "standard") -> DataFrame:
-    """SCL-1/3/4: fit on ``split = 'train'`` rows, scale every split, pack features."""
+def scale_and_pack(df: DataFrame, kind: str = "standard", materialize: bool = True) -> DataFrame:
+    """SCL-1/3/4: fit on ``split = 'train'`` rows, scale every split, pack features.
+
+    The split table feeds both the fit and the scaled output; ``materialize``
+    writes it once to the checkpoint folder so the split's shuffle runs once
+    (and the long lineage is cut before the final write).
+    """
+    if materialize:
+        df = cut_lineage(df)
     cols = feature_columns(df)
     scaled = scale.fit_and_scale(df, cols, F.col("split") == "train", kind)
     return pack_features(scaled, cols)

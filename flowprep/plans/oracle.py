@@ -77,7 +77,8 @@ def split_sql(source: str, label: str, key_exprs: list[str], cols: list[str], ra
               split_col: str = "split", where_part: str | None = None, out_cols: list[str] | None = None) -> str:
     """Stratified split of ``source`` in SQL: md5 order inside each class, quotas by largest remainder."""
     h = " || '-' || ".join(f"CAST({k} AS VARCHAR)" for k in key_exprs) + f" || '-' || {q(str(SEED))}"
-    ctes = [f"sb AS (SELECT {', '.join(cols)}, {label} AS _label, md5({h}) AS _h FROM {source})",
+    carried = cols + [k for k in key_exprs if k not in cols]
+    ctes = [f"sb AS (SELECT {', '.join(carried)}, {label} AS _label, md5({h}) AS _h FROM {source})",
             "sc AS (SELECT _label AS label, count(*) AS n FROM sb GROUP BY _label)"]
     qc, qt = quota_ctes("sq", "sc", rates)
     ctes += qc
@@ -374,6 +375,24 @@ def _spec_params() -> str:
     return f"SELECT conv_id, turn, {kind} AS kind, {n} AS n_items FROM conversations"
 
 
+def _prepare_lineitem() -> str:
+    from .driver_queries import PREP_FEATURES
+    src = ("(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,"
+           " CASE WHEN l_tax = 0 THEN 'Infinity'::DOUBLE ELSE l_discount / l_tax END AS r1,"
+           " CAST(coalesce(l_linestatus = 'F', false) AS INTEGER) AS l_linestatus_F,"
+           " CAST(coalesce(l_linestatus = 'O', false) AS INTEGER) AS l_linestatus_O,"
+           " l_returnflag AS label, concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR),"
+           " CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS _key FROM lineitem)")
+    src = f"(SELECT * FROM {src} WHERE isfinite(r1))"
+    cols = LINE_KEYS + PREP_FEATURES + ["label"]
+    parted = split_sql(src, "label", ["_key"], cols, [0.6, 0.2, 0.2], ["train", "val", "test"])
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PREP_FEATURES)
+    scaled = ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS {c}"
+                       for c in PREP_FEATURES)
+    return (f"WITH p AS ({parted}), st AS (SELECT {stats} FROM p WHERE split = 'train')"
+            f" SELECT {KEYS}, split, label, {scaled} FROM p, st")
+
+
 def oracle_sql() -> dict[str, str]:
     ev_split_src = "events"
     return {
@@ -456,6 +475,7 @@ def oracle_sql() -> dict[str, str]:
         "goal_epoch": _with([HIST_CTE], f"SELECT run, min(CASE WHEN val_loss >= {GOAL} THEN epoch END) AS goal_epoch,"
                                         " max(epoch) AS n_epochs FROM h GROUP BY run"),
         "spec_params": _spec_params(),
+        "prepare_lineitem": _prepare_lineitem(),
         "dataset_sizes": ("SELECT split, count(*) AS n_rows, 2 AS n_features FROM ("
                           + split_sql(ev_split_src, "event_type", ["event_id"], ["event_id", "event_type"],
                                       [0.6, 0.2, 0.2], ["train", "val", "test"]) + ") GROUP BY split"),
