@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import bounded_broadcast, cut_lineage, shuffle_partitions
 
 PID = "_pid"
 ColumnOrName = Column | str
@@ -98,7 +98,9 @@ def ranked_by_class(df: DataFrame, label: str, keys: Sequence[str] | str, seed:
     buckets = base.groupBy(*part).agg(F.count(F.lit(1)).alias("_bn"))
     wb = (Window.partitionBy("_lk", "_ln").orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
-    buckets = buckets.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
+    # computed once (one scan of the label and key columns) and reused by the
+    # class totals, the quotas and the join: classes x 4096 rows at most
+    buckets = cut_lineage(buckets.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0))))
     wr = Window.partitionBy(*part).orderBy("_h", *keys)
     ranked = base.withColumn("_rn", F.row_number().over(wr) - 1)
     return ranked, buckets
@@ -109,7 +111,9 @@ CLASS_KEYS = ["_lk", "_ln"]
 
 
 def attach_rank(ranked: DataFrame, buckets: DataFrame, rank_col: str = "class_rank") -> DataFrame:
-    out = (ranked.join(buckets.drop("_bn"), BUCKET_KEYS)
+    """Join the bucket offsets (broadcast after a size check; otherwise a join on the
+    window's own partition keys, which adds no exchange of the big side)."""
+    out = (ranked.join(bounded_broadcast(buckets.drop("_bn")), BUCKET_KEYS)
            .withColumn(rank_col, (F.col("_boff") + F.col("_rn")).cast("long")))
     return out.drop("_rn", "_boff")
 
