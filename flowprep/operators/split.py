@@ -149,15 +149,30 @@ def systematic_sample(df: DataFrame, order: Sequence[str | Column], rate: float,
 
 def hash_sample(df: DataFrame, keys: Sequence[str] | str, n: int, seed: int | str = DEFAULT_SEED,
                 check: bool = True) -> DataFrame:
-    """SMP-2: ``n`` rows without replacement, the first ``n`` in seeded-hash order.
-
-    The limit is the feature here (a sample of size n); Spark plans it as a
-    per-partition top-n followed by one merge of ``n x partitions`` rows.
+    """SMP-2: ``n`` rows without replacement: the first ``n`` in seeded-hash order (exact).
+
+    The limit is the feature here (a sample of size n).  A plain
+    ``orderBy(hash).limit(n)`` sends up to n rows from *every* partition to one
+    task; instead rows are first kept only when their hash falls below a
+    threshold sized for ``n + 10 sqrt(n)`` expected survivors (the md5 prefix is
+    uniform), so about n rows reach the final top-n.  If fewer than n survive
+    (a 10-sigma event) the threshold is dropped, so the result is always exact.
     """
-    if check and df.limit(n).count() < n:
-        raise ValueError(f"cannot sample {n} rows from fewer rows")
+    import math as _m
     keys = [keys] if isinstance(keys, str) else list(keys)
-    sample = df.withColumn("_h", seeded_hash(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
+    total = df.count()
+    if check and total < n:
+        raise ValueError(f"cannot sample {n} rows from {total} rows")
+    hashed = df.withColumn("_h", seeded_hash(keys, seed))
+    cand = hashed
+    want = n + 10 * _m.sqrt(n) + 10
+    if total > 0 and want < total:
+        digits = 15
+        thr = min(16 ** digits - 1, int(want / total * 16 ** digits) + 1)
+        pruned = hashed.where(F.substring("_h", 1, digits) < F.lit(format(thr, f"0{digits}x")))
+        if pruned.count() >= n:
+            cand = pruned
+    sample = cand.orderBy("_h", *keys).limit(n).drop("_h")
     # the top-n merge leaves one partition: spread the (n-row) sample for parallel consumers
     return sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

@@ -243,7 +243,7 @@ def q_systematic_sample(spark, sf):
 
 def q_hash_sample(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return split.hash_sample(o, "o_orderkey", 100, seed=SEED, check=False)
+    return split.hash_sample(o, "o_orderkey", 100, seed=SEED)
 
 
 def q_row_chunks(spark, sf):

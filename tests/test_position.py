@@ -59,3 +59,15 @@ def test_segmented_scan_matches_window_on_hot_group(spark):
     assert ref.where("NOT (prev_min <=> r1) OR NOT (next_max <=> r2)").count() == 0
     # the hot group really spans several range partitions
     assert pos.where("grp = 0").select("_pid").distinct().count() > 1
+
+
+def test_group_position_hot_and_null_groups(spark):
+    from flowprep.operators.position import group_position
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    g = ev.withColumn("grp", F.when(F.col("value") < 50, F.lit(None).cast("long"))
+                      .when(F.col("value") < 90, F.lit(0)).otherwise(F.col("user_id")))
+    gp = group_position(g, "grp", ["ts", "event_id"], "gpos")
+    assert gp.count() == ev.count()
+    w = Window.partitionBy("grp").orderBy("ts", "event_id")
+    ref = gp.withColumn("rn", F.row_number().over(w))
+    assert ref.where("rn != gpos").count() == 0

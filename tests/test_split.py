@@ -114,3 +114,12 @@ def test_rates_must_sum_to_one(spark):
     df = spark.range(10).withColumn("lab", F.lit("x"))
     with pytest.raises(ValueError):
         stratified_split(df, "lab", "id", [0.5, 0.2])
+
+
+def test_hash_sample_equals_full_sort(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "event_type")
+    for n in (1, 37, 500, 9999, 10000):
+        got = [r["event_id"] for r in hash_sample(ev, "event_id", n, seed=9).collect()]
+        ref = [r["event_id"] for r in ev.withColumn("_h", seeded_hash("event_id", 9))
+               .orderBy("_h", "event_id").limit(n).collect()]
+        assert sorted(got) == sorted(ref)
