@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import one_hot
 from ..session import bounded_broadcast, cut_lineage
+from .position import with_position
 
 MAX_CATEGORY_VALUES = 10_000
+SMALL_DICTIONARY = 1_000_000
 
 
 def category_values(frames: Sequence[DataFrame] | DataFrame, columns: Sequence[str],
@@ -66,8 +68,12 @@ def fit_label_codes(*frames: DataFrame, label_col: str = "label", start: int = 0
     """
     parts = [f.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
              for f in frames]
-    labels = reduce(lambda a, b: a.unionByName(b), parts).distinct()
-    codes = labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1 + start).cast("int"))
+    labels = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts).distinct())
+    if labels.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        codes = labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1 + start).cast("int"))
+    else:  # a large dictionary is numbered by range position, never in one task
+        codes = with_position(labels, ["label"], "_pos").select(
+            "label", (F.col("_pos") + start).cast("int").alias("code"))
     return cut_lineage(codes)
 
 

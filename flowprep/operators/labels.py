@@ -64,19 +64,25 @@ KDD_SMALL_RARE_CLASSES = ["loadmodule.", "ftp_write.", "multihop.", "phf.", "per
 IDS2017_RARE_CLASSES = ["Infiltration", "Web Attack Sql Injection", "Heartbleed"]
 
 
+def with_share(counts: DataFrame, n_col: str = "n", out: str = "frac") -> DataFrame:
+    """``n / sum(n)``: the total is a one-row aggregate joined by broadcast, so the
+    counts table stays distributed however many groups it has."""
+    total = counts.agg(F.sum(n_col).alias("_total"))
+    return (counts.crossJoin(F.broadcast(total))
+            .withColumn(out, F.col(n_col).cast("double") / F.col("_total")).drop("_total"))
+
+
 def label_counts(df: DataFrame, label_col: str, out_label: str = "label") -> DataFrame:
     """AGG-1: ``(label, n, frac)``; NULL is its own class.  Most frequent first when ordered."""
     counts = df.groupBy(F.col(label_col).alias(out_label)).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # one row per class: tiny window
-    return counts.withColumn("frac", F.col("n").cast("double") / total)
+    return with_share(counts)
 
 
 def label_counts_union(frames: Sequence[DataFrame], label_col: str = "label") -> DataFrame:
     """AGG-2 / SET-1: counts over the union of many inputs; pre-aggregated per input."""
     parts = [f.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n")) for f in frames]
-    merged = reduce(lambda a, b: a.unionByName(b), parts).groupBy("label").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return merged.withColumn("n", F.col("n").cast("long")).withColumn("frac", F.col("n").cast("double") / total)
+    merged = reduce(lambda a, b: a.unionByName(b), parts).groupBy("label").agg(F.sum("n").cast("long").alias("n"))
+    return with_share(merged)
 
 
 def sorted_labels(*frames: DataFrame, label_col: str = "label") -> DataFrame:
@@ -123,9 +129,10 @@ def to_binary_labels(c: Column | str, normal: str, attack_label: str = "attack."
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """AGG-18: balanced weights ``n / (k * n_c)`` per class."""
     counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))
-    whole = Window.partitionBy()
-    return counts.withColumn(
-        "weight", F.sum("n_c").over(whole).cast("double") / (F.count(F.lit(1)).over(whole) * F.col("n_c")))
+    totals = counts.agg(F.sum("n_c").alias("_n"), F.count(F.lit(1)).alias("_k"))  # one row
+    return (counts.crossJoin(F.broadcast(totals))
+            .withColumn("weight", F.col("_n").cast("double") / (F.col("_k") * F.col("n_c")))
+            .drop("_n", "_k"))
 
 
 def with_class_weight(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:
