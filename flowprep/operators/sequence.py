@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .position import with_position
+from ..session import bounded_broadcast, cut_lineage
+from .position import group_position, with_position
 
 
 def with_sequence_ids(df: DataFrame, order: Sequence[str | Column], length: int,
@@ -37,6 +38,23 @@ def flow_sequences(df: DataFrame, order: Sequence[str | Column], length: int,
             .agg(F.sort_array(F.collect_list(F.struct("step", *fields))).alias("steps")))
 
 
+def flow_sequences_by(df: DataFrame, group: str, order: Sequence[str | Column], length: int,
+                      fields: Sequence[str]) -> DataFrame:
+    """WIN-1 for every value of ``group`` (e.g. each split) in one pass.
+
+    Positions restart in each group (skew-safe ``group_position``, one range
+    shuffle for all groups); the tail of each group is dropped using the group
+    sizes (one row per group).  Output ``(group, seq, steps)``.
+    """
+    gp = group_position(df, group, order, "_gp")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
+    rows = (gp.join(bounded_broadcast(cut_lineage(sizes)), group)
+            .where(F.col("_gp") <= F.lit(length) * F.floor(F.col("_gn") / length))
+            .withColumn("seq", F.floor((F.col("_gp") - 1) / length).cast("long"))
+            .withColumn("step", ((F.col("_gp") - 1) % length).cast("int")))
+    return rows.groupBy(group, "seq").agg(F.sort_array(F.collect_list(F.struct("step", *fields))).alias("steps"))
+
+
 def flatten_sequences(seqs: DataFrame, steps_col: str = "steps") -> DataFrame:
     """WIN-3: back to one row per step."""
     return seqs.select("seq", F.inline(steps_col))

@@ -159,12 +159,7 @@ def prepare_tabular(spark: SparkSession, path: str, merge_val: bool = False):
 def prepare_sequences(spark: SparkSession, path: str, length: int = 32, merge_val: bool = False):
     """JOB-9: per split, consecutive rows (row_id order) cut into sequences of ``length``."""
     data, codes = prepare_tabular(spark, path, merge_val)
-    parts = []
-    for s in ("train", "val", "test"):
-        one = data.where(F.col("split") == s)
-        seqs = sequence.flow_sequences(one, ["row_id"], length, ["row_id", "label", "features"])
-        parts.append(seqs.withColumn("split", F.lit(s)))
-    seqs = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    seqs = sequence.flow_sequences_by(data, "split", ["row_id"], length, ["row_id", "label", "features"])
     return seqs, codes
 
 

@@ -71,3 +71,12 @@ def test_group_position_hot_and_null_groups(spark):
     w = Window.partitionBy("grp").orderBy("ts", "event_id")
     ref = gp.withColumn("rn", F.row_number().over(w))
     assert ref.where("rn != gpos").count() == 0
+
+
+def test_sequences_by_group_match_per_group(spark):
+    from flowprep.operators.sequence import flow_sequences_by
+    df = spark.range(100).withColumn("g", F.when(F.col("id") < 70, "a").otherwise("b"))
+    by = flow_sequences_by(df, "g", ["id"], 8, ["id"])
+    got = {(r["g"], r["seq"]): [s["id"] for s in r["steps"]] for r in by.collect()}
+    assert len([k for k in got if k[0] == "a"]) == 8 and len([k for k in got if k[0] == "b"]) == 3
+    assert got[("a", 0)] == list(range(8)) and got[("b", 2)] == list(range(86, 94))
