@@ -123,3 +123,19 @@ def test_hash_sample_equals_full_sort(spark):
         ref = [r["event_id"] for r in ev.withColumn("_h", seeded_hash("event_id", 9))
                .orderBy("_h", "event_id").limit(n).collect()]
         assert sorted(got) == sorted(ref)
+
+
+def test_row_level_split_reproduces_published_nsl_counts(spark):
+    # 125 973 rows with the NSL-KDD class totals; the splitter itself must give the published sizes
+    bounds, lo = [], 0
+    for lab, (tr, va) in sorted(NSL.items()):
+        bounds.append((lab, lo, lo + tr + va))
+        lo += tr + va
+    lab = None
+    for name, a, b in bounds:
+        cond = (F.col("id") >= a) & (F.col("id") < b)
+        lab = F.when(cond, F.lit(name)) if lab is None else lab.when(cond, F.lit(name))
+    df = spark.range(lo).withColumn("label", lab)
+    s = stratified_split(df, "label", "id", [0.8, 0.2], ("train", "val"))
+    got = {(r["label"], r["split"]): r["count"] for r in s.groupBy("label", "split").count().collect()}
+    assert got == {(k, "train"): v[0] for k, v in NSL.items()} | {(k, "val"): v[1] for k, v in NSL.items()}
