@@ -26,9 +26,14 @@ def safe_div(a: Column, b: Column) -> Column:
 
 def confusion(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
               by: Sequence[str] = ()) -> DataFrame:
-    """AGG-3: long confusion matrix ``(by..., y_true, y_pred, n)``."""
+    """AGG-3: long confusion matrix ``(by..., y_true, y_pred, n)``.
+
+    The matrix has at most groups x k x k rows whatever the data size, so it
+    is kept in one partition: every metric step after it then runs in the
+    same task with no further exchanges.
+    """
     return (scored.groupBy(*by, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.count(F.lit(1)).alias("n")).coalesce(1))
 
 
 def class_counts(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
