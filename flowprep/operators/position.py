@@ -47,8 +47,11 @@ def with_position(df: DataFrame, order: Sequence[ColumnOrName] | ColumnOrName,
     per-partition count table (no extra pass over the rows).
     """
     order_cols = _cols(order)
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order_cols)
+    # without an explicit count Spark uses spark.sql.shuffle.partitions and AQE may
+    # merge neighbouring (small) ranges, which keeps the order
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    ranged = (ranged
                 .sortWithinPartitions(*order_cols)
                 .withColumn(PID, F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
