@@ -16,8 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .position import (BUCKET_KEYS, CLASS_KEYS, attach_rank, ranked_by_class, seeded_hash,
-                       with_position)
+from .position import CLASS_KEYS, attach_rank, ranked_by_class, seeded_hash, with_position
 
 DEFAULT_SEED = 42
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import is_number_text, non_finite_to_null, parse_number, split_list
+from ..functions.exprs import parse_number
 from ..operators import clean, encode, history, labels, metrics, scale, sequence, split, stats
 from ..operators.position import with_position
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import clean, encode, labels, metrics, models, scale, sequence, split
+from ..operators import clean, encode, labels, models, scale, sequence, split
 from ..operators.position import with_position
 from ..session import cut_lineage
 from ..sources import io
@@ -179,7 +179,6 @@ def run_experiment(spark: SparkSession, params: Mapping[str, object], report_dir
             model, took = models.train(est, prepared.where(F.col("split") == "train"), params.get("model_path"))
             result["train_seconds"] = took
         else:
-            from pyspark.ml import PipelineModel  # noqa: F401
             from pyspark.ml.classification import RandomForestClassificationModel
             model = RandomForestClassificationModel.load(str(params["model_path"]))
         tables = models.test_classifier(model, prepared, codes, normal=str(normal) if normal else None)

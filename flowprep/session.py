@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark import StorageLevel
@@ -71,15 +70,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def scratch_dir(prefix: str = "flowprep-") -> str:
-    """A fresh local folder for tests only."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("FLOWPREP_SCRATCH", None))
-
-
 MAX_BROADCAST_ROWS = 1_000_000
 
 
