@@ -37,7 +37,7 @@ def drop_if_present(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:
-    """SRC-3: header names with stray blanks."""
+    """SRC-3 / FN-1: trim header names with stray blanks."""
     return df.toDF(*[c.strip() for c in df.columns])
 
 

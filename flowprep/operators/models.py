@@ -164,7 +164,8 @@ def statistical_test(scored1: DataFrame, scored2: DataFrame, order: Sequence[str
     """ML-9: contiguous folds over the test set, accuracy per fold for two models, t-test."""
     from .sequence import with_folds
     from .stats import fold_accuracy, ttest_independent
-    both = scored1.select(*order, key, y_true, F.col("y_pred").alias("pred1")).join(
+    cols = list(dict.fromkeys([*order, key]))
+    both = scored1.select(*cols, y_true, F.col("y_pred").alias("pred1")).join(
         scored2.select(key, F.col("y_pred").alias("pred2")), key)
     folded = with_folds(both, order, folds)
     acc = fold_accuracy(folded, y_true, ["pred1", "pred2"])

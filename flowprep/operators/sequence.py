@@ -74,7 +74,7 @@ def with_folds(df: DataFrame, order: Sequence[str | Column], k: int = 10,
 
 def with_chunks(df: DataFrame, order: Sequence[str | Column], num_chunks: int,
                 chunk_col: str = "chunk") -> DataFrame:
-    """SNK-3: ``num_chunks`` consecutive ranges of ``ceil(n / N)`` rows (1-based)."""
+    """SNK-3: ``num_chunks`` consecutive ranges of ``ceil(n / N)`` rows (1-based; FN-9 ceil / floor)."""
     p = with_position(df, order, "_cpos", total_col="_n")
     size = F.ceil(F.col("_n") / num_chunks)
     return (p.withColumn(chunk_col, (F.floor(F.col("_cpos") / size) + 1).cast("int"))

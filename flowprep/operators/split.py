@@ -77,7 +77,8 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str] | str,
                      rates: Sequence[float] = (0.6, 0.2, 0.2),
                      names: Sequence[str] = ("train", "val", "test"),
                      seed: int | str = DEFAULT_SEED, split_col: str = "split") -> DataFrame:
-    """SPL-1: exact-count stratified split; adds ``split_col`` (one of ``names``)."""
+    """SPL-1 (and SPL-2, the older 60/20/20 splitter: same call): exact-count stratified split;
+    adds ``split_col`` (one of ``names``)."""
     if len(names) != len(rates):
         raise ValueError("one name per rate")
     cols = df.columns
@@ -135,7 +136,7 @@ def stratified_subset(df: DataFrame, label: str, keys: Sequence[str] | str, keep
 
 
 def sample_step(rate: float) -> int:
-    """Every k-th row with ``k = ceil(1 / rate)`` (0.3 gives 4, i.e. 25 %)."""
+    """SMP-1 / FN-9: every k-th row with ``k = ceil(1 / rate)`` (0.3 gives 4, i.e. 25 %)."""
     return int(math.ceil(1 / rate))
 
 

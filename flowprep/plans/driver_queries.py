@@ -516,7 +516,31 @@ def q_prepare_lineitem(spark, sf):
     return scaled.select(*LINE_KEYS, "split", "label", *[r6(c).alias(c) for c in PREP_FEATURES])
 
 
+def q_merge_validation(spark, sf):
+    """SPL-6: 60/20/20 split, then validation rows join train (``train_valid_concat``)."""
+    e = events(spark, sf).select("event_id", "event_type")
+    return split.merge_validation(split.stratified_split(e, "event_type", "event_id", [0.6, 0.2, 0.2], seed=SEED))
+
+
+def q_score_argmax(spark, sf):
+    """FN-10 / FN-11: predicted class = first index of the largest score; scores rounded to 0/1."""
+    from ..functions.exprs import argmax, threshold
+    t = table(spark, sf, "lineitem")
+    p = F.array(F.col("l_discount") * 10, F.col("l_tax") * 12.5, F.col("l_quantity") / 50)
+    return t.select(*LINE_KEYS, argmax(p).alias("pred_idx"),
+                    F.array_join(F.transform(threshold(p), lambda x: x.cast("string")), ",").alias("rounded"))
+
+
+def q_strict_cast(spark, sf):
+    """FN-5 / CLN-3: number text cast to double; a bad text would fail the job."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("custkey_text"))
+    return clean.cast_columns_strict(o, ["custkey_text"])
+
+
 QUERIES.update({
+    "merge_validation": q_merge_validation,
+    "score_argmax": q_score_argmax,
+    "strict_cast": q_strict_cast,
     "prepare_lineitem": q_prepare_lineitem,
     "dataset_sizes": q_dataset_sizes,
     "stratified_subset": q_stratified_subset,

@@ -86,7 +86,25 @@ def q_score_rows(spark, sf):
     return models.score(model, prepared, codes, keep=[*LINE_KEYS, "split", "label"]).drop("probs")
 
 
+def q_model_ttest(spark, sf):
+    """ML-9: two forests (different size and seed) scored on the test split, 10 contiguous folds
+    in vec_id order, accuracy per fold and the two-sample t-test (fold rows with t, df, p attached)."""
+    data = cut_lineage(_embeddings(spark, sf))
+    codes = encode.fit_label_codes(data)
+    prepared = models.prepare_labelled(data, codes)
+    train = prepared.where(F.col("split") == "train")
+    m1, _ = models.train(models.random_forest(num_trees=10, max_depth=6, seed=1), train)
+    m2, _ = models.train(models.random_forest(num_trees=30, max_depth=8, seed=2), train)
+    test = prepared.where(F.col("split") == "test")
+    s1 = models.score(m1, test, codes, keep=["vec_id", "label"]).withColumnRenamed("label", "y_true")
+    s2 = models.score(m2, test, codes, keep=["vec_id"])
+    folds, tt = models.statistical_test(s1, s2, ["vec_id"], "vec_id")
+    return folds.crossJoin(F.broadcast(tt)).select("fold", r6("acc1").alias("acc1"), r6("acc2").alias("acc2"),
+                                                   r6("t").alias("t"), "df", r6("p").alias("p"))
+
+
 QUERIES = {
+    "model_ttest": q_model_ttest,
     "forest_eval": q_forest_eval,
     "mlp_eval": q_mlp_eval,
     "pca_reconstruct": q_pca_reconstruct,

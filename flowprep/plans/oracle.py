@@ -476,6 +476,13 @@ def oracle_sql() -> dict[str, str]:
                                         " max(epoch) AS n_epochs FROM h GROUP BY run"),
         "spec_params": _spec_params(),
         "prepare_lineitem": _prepare_lineitem(),
+        "merge_validation": ("SELECT event_id, event_type, CASE WHEN split = 'val' THEN 'train' ELSE split END AS split"
+                             " FROM (" + split_sql(ev_split_src, "event_type", ["event_id"], ["event_id", "event_type"],
+                                                   [0.6, 0.2, 0.2], ["train", "val", "test"]) + ")"),
+        "score_argmax": (f"SELECT {KEYS}, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred_idx,"
+                         " array_to_string(list_transform(p, lambda x: CAST(CAST(x > 0.5 AS INTEGER) AS VARCHAR)), ',')"
+                         " AS rounded FROM (SELECT *, [l_discount * 10, l_tax * 12.5, l_quantity / 50] AS p FROM lineitem)"),
+        "strict_cast": "SELECT o_orderkey, CAST(CAST(o_custkey AS VARCHAR) AS DOUBLE) AS custkey_text FROM orders",
         "dataset_sizes": ("SELECT split, count(*) AS n_rows, 2 AS n_features FROM ("
                           + split_sql(ev_split_src, "event_type", ["event_id"], ["event_id", "event_type"],
                                       [0.6, 0.2, 0.2], ["train", "val", "test"]) + ") GROUP BY split"),
