@@ -150,6 +150,13 @@ def test_run_experiment_train_test(spark, tmpdir_path):
     acc = am.where("split = 'test' AND granularity = 'multi' AND avg_type = 'micro'").first()["acc"]
     assert acc == 1.0
     assert spark.read.parquet(os.path.join(tmpdir_path, "report", "class_metrics")).count() > 0
+    timing = jobs.run_experiment(spark, {"dataset_dir": path, "action": "compute_prediction_time",
+                                         "model_path": os.path.join(tmpdir_path, "m1"), "num_samples": 30,
+                                         "repetitions": 2})["timing"].collect()
+    assert [r["rows"] for r in timing] == [30, 30] and all(r["seconds"] > 0 for r in timing)
+    tested = jobs.run_experiment(spark, {"dataset_dir": path, "action": "test_only", "normal_label": "normal",
+                                         "model_path": os.path.join(tmpdir_path, "m1")})
+    assert tested["tables"]["class_metrics"].where("granularity = 'binary'").count() == 6
     again = jobs.run_experiment(spark, {"dataset_dir": path, "action": "stat_test_2_models",
                                         "model_path": os.path.join(tmpdir_path, "m1"),
                                         "model_path_2": os.path.join(tmpdir_path, "m1")})
