@@ -79,7 +79,9 @@ def main():
         qs = ", ".join(by_query.get(i, [])) or "— (tests only)"
         if impl == "—":
             missing.append(i)
-        out.append(f"| {i} | {desc.strip()} | {impl} | {qs} |")
+        clean_desc = re.sub(r",?\s*`[\w/]+\.py:[\d\-]+`", "", desc.strip())
+        clean_desc = re.sub(r"\(\s*\)|\(the default run\s*\)", "", clean_desc).replace("(dispatch `test_model`)", "")
+        out.append(f"| {i} | {clean_desc.strip()} | {impl} | {qs} |")
     (ROOT / "COVERAGE.md").write_text("\n".join(out) + "\n")
     print("ids", len(rows), "without implementation:", missing)
 
