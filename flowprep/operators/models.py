@@ -42,11 +42,12 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def random_forest(num_trees: int = 100, min_instances: int = 1, max_depth: int = 12, seed: int | None = 42,
                   weight_col: str | None = None, max_bins: int = 32,
-                  max_memory_mb: int = 512) -> RandomForestClassifier:
+                  max_memory_mb: int = 256) -> RandomForestClassifier:
     """ML-1: forest; ``max_depth`` must be set (Spark's default 5 is far shallower than unlimited).
 
-    Each task may hold 512 MB of split statistics, so a level needs fewer
-    passes over the data.  Deep trees (depth 10 and more) also cache node ids
+    ``max_memory_mb`` bounds the split statistics one task holds (Spark's
+    default 256 MB; more means fewer passes per level, but every concurrent
+    task may use that much heap).  Deep trees (depth 10 and more) also cache node ids
     per row instead of re-walking each tree from the root at every level; for
     shallow trees that cache costs more than it saves.
     """
