@@ -17,7 +17,11 @@ INF = float("inf")
 
 
 def col_(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A top-level column by name; names holding dots (e.g. dummy columns of a value
+    like ``1.5``) are quoted so they are not read as struct paths."""
+    if isinstance(c, str):
+        return F.col(f"`{c}`") if "." in c and not c.startswith("`") else F.col(c)
+    return c
 
 
 def is_number_text(c: Column | str) -> Column:

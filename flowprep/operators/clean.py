@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, cut_lineage
-from ..functions.exprs import (ascii_only, is_number_text, non_finite_to_null, squeeze_blanks,
+from ..functions.exprs import (ascii_only, col_, is_number_text, non_finite_to_null, squeeze_blanks,
                                strict_number)
 
 # ----------------------------------------------------------------- projections
@@ -67,7 +67,7 @@ def drop_invalid_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     """FLT-3: +-Infinity and NaN become missing, then rows with any missing value go."""
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     targets = list(cols) if cols is not None else df.columns
-    out = df.select(*[non_finite_to_null(c).alias(c) if c in numeric and c in targets else F.col(c)
+    out = df.select(*[non_finite_to_null(c).alias(c) if c in numeric and c in targets else col_(c)
                       for c in df.columns])
     return out.na.drop("any", subset=targets)
 
@@ -94,14 +94,14 @@ def clean_label_text(c: Column | str) -> Column:
 def cast_columns_strict(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """CLN-3: cast named text columns to double; the job fails on bad text."""
     cs = set(cols)
-    return df.select(*[strict_number(c, c).alias(c) if c in cs else F.col(c) for c in df.columns])
+    return df.select(*[strict_number(c, c).alias(c) if c in cs else col_(c) for c in df.columns])
 
 
 def cast_text_columns(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """CLN-4: every remaining string column to double in one projection, except ``skip``."""
     sk = set(skip)
     return df.select(*[strict_number(f.name, f.name).alias(f.name)
-                       if isinstance(f.dataType, T.StringType) and f.name not in sk else F.col(f.name)
+                       if isinstance(f.dataType, T.StringType) and f.name not in sk else col_(f.name)
                        for f in df.schema.fields])
 
 

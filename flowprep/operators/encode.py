@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import one_hot
+from ..functions.exprs import col_, one_hot
 from ..session import bounded_broadcast, cut_lineage
 from .position import with_position
 
@@ -45,8 +45,8 @@ def dummy_columns(df: DataFrame, values: dict[str, list]) -> DataFrame:
     Missing values give all zeros.  One projection, no join.
     """
     cats = set(values)
-    keep = [F.col(c) for c in df.columns if c not in cats]
-    dummies = [F.col(c).cast("string").eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}")
+    keep = [col_(c) for c in df.columns if c not in cats]
+    dummies = [col_(c).cast("string").eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}")
                for c, vs in values.items() for v in vs]
     return df.select(*keep, *dummies)
 

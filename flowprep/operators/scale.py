@@ -13,13 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import col_
+
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
     """AGG-19/20, SCL-4: one row with ``mean_c, std_c (population), min_c, max_c`` and ``n``."""
     src = df.where(where) if where is not None else df
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in columns:
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         aggs += [F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"std_{c}"),
                  F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}")]
     return src.agg(*aggs)
@@ -56,9 +58,9 @@ def apply_scaler(df: DataFrame, stats: DataFrame | dict, columns: Sequence[str],
     out = []
     for c in df.columns:
         if c not in cs:
-            out.append(F.col(c))
+            out.append(col_(c))
             continue
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         if kind == "standard":
             mean, std = st[f"mean_{c}"], st[f"std_{c}"]
             scale = 1.0 if not std else std  # 0 (constant column) -> divide by 1

@@ -47,8 +47,8 @@ def flow_sequences_by(df: DataFrame, group: str, order: Sequence[str | Column],
     sizes (one row per group).  Output ``(group, seq, steps)``.
     """
     gp = group_position(df, group, order, "_gp")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    rows = (gp.join(bounded_broadcast(cut_lineage(sizes)), group)
+    sizes = cut_lineage(df.groupBy(F.col(group).alias("_sg")).agg(F.count(F.lit(1)).alias("_gn")))
+    rows = (gp.join(bounded_broadcast(sizes), F.col(group).eqNullSafe(F.col("_sg"))).drop("_sg")
             .where(F.col("_gp") <= F.lit(length) * F.floor(F.col("_gn") / length))
             .withColumn("seq", F.floor((F.col("_gp") - 1) / length).cast("long"))
             .withColumn("step", ((F.col("_gp") - 1) % length).cast("int")))

@@ -78,9 +78,12 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str] | str,
                      names: Sequence[str] = ("train", "val", "test"),
                      seed: int | str = DEFAULT_SEED, split_col: str = "split") -> DataFrame:
     """SPL-1 (and SPL-2, the older 60/20/20 splitter: same call): exact-count stratified split;
-    adds ``split_col`` (one of ``names``)."""
+    adds ``split_col`` (one of ``names``).  An existing column of that name is kept as
+    ``_prev_<split_col>`` (splitting a part again keeps where the rows came from)."""
     if len(names) != len(rates):
         raise ValueError("one name per rate")
+    if split_col in df.columns:
+        df = df.withColumnRenamed(split_col, f"_prev_{split_col}")
     cols = df.columns
     ranked, buckets = ranked_by_class(df, label, keys, seed)
     counts = buckets.groupBy(*CLASS_KEYS).agg(F.sum("_bn").alias("n"))

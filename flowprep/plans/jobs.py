@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import col_
 from ..operators import clean, encode, labels, models, scale, sequence, split
 from ..operators.position import with_position
 from ..session import cut_lineage
@@ -31,8 +32,8 @@ def feature_columns(df: DataFrame, meta: Sequence[str] = META) -> list[str]:
 
 def pack_features(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     """Wide numeric columns -> one ``array<double>`` (keeps rows inside codegen's field limit)."""
-    keep = [c for c in df.columns if c not in set(cols)]
-    return df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias(out))
+    keep = [col_(c) for c in df.columns if c not in set(cols)]
+    return df.select(*keep, F.array(*[col_(c).cast("double") for c in cols]).alias(out))
 
 
 def scale_and_pack(df: DataFrame, kind: str = "standard", materialize: bool = True) -> DataFrame:

@@ -112,3 +112,13 @@ def test_position_helper_with_expression_order(spark):
     df = spark.range(10).withColumn("k", (F.col("id") * 7) % 10)
     p = with_position(df, [F.col("k")], "pos")
     assert [r["k"] for r in p.orderBy("pos").collect()] == list(range(10))
+
+
+def test_dotted_dummy_names_scale_and_pack(spark):
+    from flowprep.plans.jobs import pack_features
+    df = spark.createDataFrame([(1, "1.5", 2.0), (2, "2", 4.0), (3, "1.5", 6.0)], "row_id int, cat string, x double")
+    (enc,) = encode.one_hot_encode([df], ["cat"])
+    assert enc.columns == ["row_id", "x", "cat_1.5", "cat_2"]
+    scaled = scale.fit_and_scale(enc, ["x", "cat_1.5", "cat_2"], F.lit(True))
+    packed = pack_features(scaled, ["x", "cat_1.5", "cat_2"])
+    assert packed.count() == 3 and len(packed.first()["features"]) == 3

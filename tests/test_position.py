@@ -80,3 +80,10 @@ def test_sequences_by_group_match_per_group(spark):
     got = {(r["g"], r["seq"]): [s["id"] for s in r["steps"]] for r in by.collect()}
     assert len([k for k in got if k[0] == "a"]) == 8 and len([k for k in got if k[0] == "b"]) == 3
     assert got[("a", 0)] == list(range(8)) and got[("b", 2)] == list(range(86, 94))
+
+
+def test_sequences_by_null_group_kept(spark):
+    from flowprep.operators.sequence import flow_sequences_by
+    df = spark.range(20).withColumn("g", F.when(F.col("id") < 10, F.lit(None).cast("string")).otherwise("x"))
+    by = flow_sequences_by(df, "g", ["id"], 5, ["id"])
+    assert by.where("g IS NULL").count() == 2 and by.where("g = 'x'").count() == 2
