@@ -53,6 +53,22 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], header: bool = Tru
     return df.withColumn("file_key", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def read_parquet_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """SRC-2 for Parquet: many files as one DataFrame, each row keeping ``file_key``
+    (the file's full path, so sorting it sorts directories, then files) and ``idx``
+    (its row index inside that file) from the file metadata."""
+    df = spark.read.parquet(*([paths] if isinstance(paths, str) else list(paths)))
+    return df.select("*", F.col("_metadata.file_path").alias("file_key"),
+                     F.col("_metadata.row_index").alias("idx"))
+
+
+def with_fresh_index(df: DataFrame, index_col: str = "row_id") -> DataFrame:
+    """SRC-2 ``ignore_index``: one 0-based index over all files, in (file name, row in file)
+    order, computed with the distributed position helper."""
+    from ..operators.position import with_position
+    return with_position(df, file_order("file_key", "idx"), index_col)
+
+
 def union_files(frames: Sequence[DataFrame]) -> DataFrame:
     """SRC-2 / SET-1 when headers differ: union by name, missing columns as NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

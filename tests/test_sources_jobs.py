@@ -181,3 +181,14 @@ def test_file_order_head_chunks_history_sinks(spark, tmpdir_path):
     assert back.count() == 2 and back.where("val_loss = '0.0'").count() == 2
     draws = sample_with_replacement(spark.range(5).withColumnRenamed("id", "seq"), "seq", 5, 40, seed=3)
     assert draws.count() == 40 and draws.select("seq").distinct().count() <= 5
+
+
+def test_parquet_files_fresh_index(spark, tmpdir_path):
+    a = os.path.join(tmpdir_path, "b_part.parquet")
+    b = os.path.join(tmpdir_path, "a_part.parquet")
+    spark.range(5).coalesce(1).write.parquet(a)
+    spark.range(100, 103).coalesce(1).write.parquet(b)
+    df = io.with_fresh_index(io.read_parquet_files(spark, [a, b]))
+    got = [(r["id"], r["row_id"]) for r in df.orderBy("row_id").collect()]
+    # files in name order (a_part first), rows in file order
+    assert got == [(100, 0), (101, 1), (102, 2), (0, 3), (1, 4), (2, 5), (3, 6), (4, 7)]
