@@ -73,3 +73,53 @@ def test_early_stop_matches_simulation(spark, runs, patience):
     got = {r["run"]: r["stop_epoch"] for r in history.early_stop_epoch(h, "run", patience).collect()}
     want = {f"r{i}": simulate_stop(losses, patience) for i, losses in enumerate(runs)}
     assert got == want
+
+
+def numpy_metrics(y_true, y_pred):
+    import numpy as np
+    labels = sorted(set(y_true) | set(y_pred))
+    idx = {k: i for i, k in enumerate(labels)}
+    cm = np.zeros((len(labels), len(labels)), dtype=np.int64)
+    for t, p in zip(y_true, y_pred):
+        cm[idx[t], idx[p]] += 1
+    tp = np.diag(cm).astype(float)
+    fp = cm.sum(axis=0) - tp
+    fn = cm.sum(axis=1) - tp
+    tn = cm.sum() - tp - fp - fn
+    support = tp + fn
+
+    def div(a, b):
+        return np.divide(a, b, out=np.zeros_like(a, dtype=float), where=b != 0)
+    tpr, ppv = div(tp, tp + fn), div(tp, tp + fp)
+    per = {"tpr": tpr, "tnr": div(tn, tn + fp), "ppv": ppv, "npv": div(tn, tn + fn), "fpr": div(fp, fp + tn),
+           "fnr": div(fn, tp + fn), "fdr": div(fp, tp + fp), "acc": div(tp + tn, tp + fp + fn + tn),
+           "f1": div(2 * ppv * tpr, ppv + tpr)}
+    s = lambda a: float(a.sum())
+    sd = lambda a, b: a / b if b else 0.0  # noqa: E731  (0/0 -> 0, the library's documented choice)
+    m_tpr, m_ppv = sd(s(tp), s(tp + fn)), sd(s(tp), s(tp + fp))
+    micro = {"tpr": m_tpr, "tnr": sd(s(tn), s(tn + fp)), "ppv": m_ppv, "npv": sd(s(tn), s(tn + fn)),
+             "fpr": sd(s(fp), s(fp + tn)), "fnr": sd(s(fn), s(tp + fn)), "fdr": sd(s(fp), s(tp + fp)),
+             "acc": float(np.trace(cm)) / cm.sum(), "f1": sd(2 * m_ppv * m_tpr, m_ppv + m_tpr)}
+    macro = {k: float(v.mean()) for k, v in per.items()}
+    weighted = {k: float((v * support).sum() / support.sum()) for k, v in per.items()}
+    return labels, per, {"micro": micro, "macro": macro, "weighted": weighted}
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=st.lists(st.tuples(st.sampled_from("abcde"), st.sampled_from("abcdef")), min_size=1, max_size=60))
+def test_metrics_match_numpy(spark, pairs):
+    import pytest as _pt
+
+    from flowprep.operators import metrics
+    df = spark.createDataFrame(pairs, "y_true string, y_pred string")
+    cm = metrics.class_metrics(metrics.confusion(df))
+    labels, per, avgs = numpy_metrics([t for t, _ in pairs], [p for _, p in pairs])
+    got = {r["label"]: r for r in cm.collect()}
+    assert sorted(got) == labels
+    for i, lab in enumerate(labels):
+        for k in metrics.RATIOS:
+            assert got[lab][k] == _pt.approx(per[k][i], abs=1e-12)
+    am = {r["avg_type"]: r for r in metrics.average_metrics(cm).collect()}
+    for t in ("micro", "macro", "weighted"):
+        for k in metrics.RATIOS:
+            assert am[t][k] == _pt.approx(avgs[t][k], abs=1e-12)
