@@ -34,6 +34,30 @@ def get_session(master: str | None = None, app: str = "flowprep",
     return spark
 
 
+def cluster_conf(input_tb: float, partition_mb: int = 256, broadcast_mb: int = 64) -> dict[str, str]:
+    """Session settings sized for an input of ``input_tb`` terabytes.
+
+    Shuffles start with one partition per ``partition_mb`` of input (AQE then
+    merges small ones toward the same advisory size and splits skewed join
+    partitions); scans read ``partition_mb`` splits; broadcasts are capped.
+    Pass the result as ``get_session(extra=...)`` or ``--conf`` pairs.
+    """
+    parts = max(200, int(input_tb * 1024 * 1024 / partition_mb))
+    mb = partition_mb * 1024 * 1024
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(mb),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(mb),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_mb * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_mb * 1024 * 1024),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory named by the session.
 
