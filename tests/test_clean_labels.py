@@ -96,3 +96,10 @@ def test_filter_report_one_scan_matches_stagewise(spark):
     staged = clean.quality_report([("input", df), ("drop_invalid", valid),
                                    ("drop_rare", clean.drop_classes(valid, "f", ["A"]))]).collect()
     assert [tuple(r) for r in staged] == [tuple(r) for r in rep]
+
+
+def test_all_infinity_column(spark):
+    df = spark.createDataFrame([(1, float("inf"), 1.0), (2, float("-inf"), 2.0)], "k int, bad double, ok double")
+    assert clean.drop_invalid_rows(df).count() == 0
+    # only the listed columns decide
+    assert clean.drop_invalid_rows(df, ["ok"]).count() == 2
