@@ -89,6 +89,19 @@ def create_model(name: str, **params):
     return MODEL_FACTORIES[name](**params)
 
 
+def load_model(path: str) -> Model:
+    """SNK-7 reload: a saved forest, perceptron or logistic model (whichever the folder holds)."""
+    from pyspark.ml.classification import (LogisticRegressionModel, MultilayerPerceptronClassificationModel,
+                                           RandomForestClassificationModel)
+    errors = []
+    for cls in (RandomForestClassificationModel, MultilayerPerceptronClassificationModel, LogisticRegressionModel):
+        try:
+            return cls.load(path)
+        except Exception as e:  # noqa: BLE001  (wrong class for this folder: try the next)
+            errors.append(f"{cls.__name__}: {str(e)[:80]}")
+    raise ValueError(f"no supported model at {path}: {errors}")
+
+
 def prepare_labelled(df: DataFrame, codes: DataFrame, label: str = "label",
                      features: str = "features") -> DataFrame:
     """ENC-3 codes as the ML label column plus the feature vector."""

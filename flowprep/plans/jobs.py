@@ -180,25 +180,22 @@ def run_experiment(spark: SparkSession, params: Mapping[str, object], report_dir
             model, took = models.train(est, prepared.where(F.col("split") == "train"), params.get("model_path"))
             result["train_seconds"] = took
         else:
-            from pyspark.ml.classification import RandomForestClassificationModel
-            model = RandomForestClassificationModel.load(str(params["model_path"]))
+            model = models.load_model(str(params["model_path"]))
         tables = models.test_classifier(model, prepared, codes, normal=str(normal) if normal else None)
         if report_dir:
             io.write_report(tables, report_dir, str(params.get("experiment_num", "run")))
         result["tables"] = tables
     elif action == "compute_prediction_time":
-        from pyspark.ml.classification import RandomForestClassificationModel
         from ..operators.stats import prediction_timing
-        model = RandomForestClassificationModel.load(str(params["model_path"]))
+        model = models.load_model(str(params["model_path"]))
         n = int(params.get("num_samples", 100000))
         reps = int(params.get("repetitions", 6))
         train = prepared.where(F.col("split") == "train").withColumn("_k", F.col("row_id").cast("string"))
         samples = [split.hash_sample(train, "_k", n, seed=i) for i in range(1, reps + 1)]   # SMP-2
         result["timing"] = prediction_timing(lambda f: model.transform(f), samples)
     elif action == "stat_test_2_models":
-        from pyspark.ml.classification import RandomForestClassificationModel
-        m1 = RandomForestClassificationModel.load(str(params["model_path"]))
-        m2 = RandomForestClassificationModel.load(str(params["model_path_2"]))
+        m1 = models.load_model(str(params["model_path"]))
+        m2 = models.load_model(str(params["model_path_2"]))
         test = prepared.where(F.col("split") == "test")
         s1 = models.score(m1, test, codes, keep=["row_id", "label"]).withColumnRenamed("label", "y_true")
         s2 = models.score(m2, test, codes, keep=["row_id"])
