@@ -107,6 +107,11 @@ def test_prepare_ids17_like(spark, tmpdir_path):
                    ("DDoS", "train"): 12, ("DDoS", "val"): 4, ("DDoS", "test"): 4,
                    ("Web Attack XSS", "train"): 6, ("Web Attack XSS", "val"): 2, ("Web Attack XSS", "test"): 2}
     assert prepared.select(F.size("features")).distinct().first()[0] == 4
+    # SMP-4: keep a stratified half first (BENIGN 30, DDoS 10, XSS 5), then 60/20/20
+    sub = jobs.prepare_ids17(spark, [p], os.path.join(tmpdir_path, "ids17_half"), subset=0.5)
+    per_class = {r["label"]: r["count"] for r in sub.groupBy("label").count().collect()}
+    assert per_class == {"BENIGN": 30, "DDoS": 10, "Web Attack XSS": 5}
+    assert {r["split"]: r["count"] for r in sub.groupBy("split").count().collect()} == {"train": 27, "val": 9, "test": 9}
 
 
 def test_prepare_ids18_like(spark, tmpdir_path):
