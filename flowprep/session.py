@@ -69,6 +69,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        try:
+            conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001  (not a runtime SQL conf in this deployment)
+            conf_dir = None
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
