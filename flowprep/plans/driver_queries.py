@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import parse_number
 from ..operators import clean, encode, history, labels, metrics, scale, sequence, split, stats
 from ..operators.position import with_position
+from ..session import cut_lineage
 
 # Fixed query parameters shared with oracle.py
 EVENT_CUTOFF = "2024-01-16 00:00:00"
@@ -512,6 +513,8 @@ def q_prepare_lineitem(spark, sf):
     (enc,) = encode.one_hot_encode([base], ["l_linestatus"])
     keyed = enc.withColumn("_key", F.concat_ws("-", *[F.col(k).cast("string") for k in LINE_KEYS]))
     parted = split.stratified_split(keyed, "label", "_key", [0.6, 0.2, 0.2], seed=SEED).drop("_key")
+    # the split feeds both the scaler fit and the output: materialise it once
+    parted = cut_lineage(parted)
     scaled = scale.fit_and_scale(parted, PREP_FEATURES, F.col("split") == "train")
     return scaled.select(*LINE_KEYS, "split", "label", *[r6(c).alias(c) for c in PREP_FEATURES])
 
