@@ -1,6 +1,7 @@
 """Driver contract: entry() runs, every query runs at sf0.001 and matches its DuckDB SQL."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -10,6 +11,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+LLM = re.compile(r"op\d+_|pipeline$")  # tested in tests/llm
+
 
 def _norm(v):
     if isinstance(v, float):
@@ -32,12 +35,12 @@ def test_entry(spark):
 
 def test_every_query_has_sql_or_is_model(spark):
     sql = E.oracle_sql()
-    missing = set(E.queries()) - set(sql)
+    missing = {n for n in set(E.queries()) - set(sql) if not LLM.match(n)}
     assert missing == {"forest_eval", "mlp_eval", "pca_reconstruct", "encode_classify", "score_rows", "sequence_sample",
                        "model_ttest"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", [n for n in sorted(E.oracle_sql()) if not LLM.match(n)])
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
     rel = con.sql(E.oracle_sql()[name])
