@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, quality_classifier, sentencepiece, simhash
+from . import queries_text as more
 from .common import held_out_fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,9 @@ FROM shared JOIN sizes USING (item_id) WHERE n_shared * 5 >= n_item * 4
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+for _f in (more.op3_warc, more.op6_toxicity, more.op8_quality_rules, more.op9_language_model, more.op10_secret_scan):
+    query(_f)
+ORACLE_SQL["op3_warc"] = more.OP3_SQL
+ORACLE_SQL["op8_quality_rules"] = more.OP8_SQL
