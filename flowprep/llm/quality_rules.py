@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, fits_broadcast, let, stored
 
-RISK, DOUBT = 0.02, 0.05
+RISK, DOUBT = 0.05, 0.05
 #: Fixed rules: (name, value as SQL over the base columns, ascending cutoffs: reject above).
 RULES = [
     ("symbols", "n_symbols / nullif(n_words, 0)", [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]),

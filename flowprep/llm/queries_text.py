@@ -48,8 +48,8 @@ tried AS (SELECT v.lang, v.q.rule AS rule, v.q.x AS x, l.quality = 1 AS good
 cells AS (SELECT lang, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND x > cutoff) AS k,
                  count(*) FILTER (NOT good AND x > cutoff) AS bad
           FROM tried JOIN grid USING (rule) GROUP BY lang, rule, cutoff),
-tails AS (SELECT *, CASE WHEN k >= n * (0.02 / 7) THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-            exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02 / 7) + (n - i) * ln(1 - 0.02 / 7)))) END AS p
+tails AS (SELECT *, CASE WHEN k >= n * (0.05 / 7) THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+            exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 7) + (n - i) * ln(1 - 0.05 / 7)))) END AS p
           FROM cells),
 used AS (SELECT lang, rule, cutoff FROM tails
          WHERE p <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM tried)) * 54) AND bad > k
