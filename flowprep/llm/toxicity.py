@@ -40,7 +40,7 @@ from .quality_classifier import labelled_sample
 
 #: Labelled examples, at most; terms in the vectors, at most.
 MAX_ROWS, MAX_TERMS = 20_000, 5_000
-MIN_DOCS, LIFT, CHI = 5, 4.0, 15.0
+MIN_DOCS, LIFT, CHI = 8, 8.0, 40.0
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.5
 _TERM = re.compile(r"[^\W\d_]+")
 

@@ -41,7 +41,7 @@ def test_toxicity_on_held_out_rows(large):
     bad = [r.predicted for r, y in pairs if y == 1]
     good = [r.predicted for r, y in pairs if y == 0]
     print("toxic", len(bad), np.mean(bad), len(good), np.mean(good))
-    assert len(rows) == docs.count() and np.mean(bad) > 0.9 and np.mean(good) < 0.01
+    assert len(rows) == docs.count() and np.mean(bad) > 0.85 and np.mean(good) < 0.01
     assert all(r.evidence for r in rows if r.predicted)
 
 
