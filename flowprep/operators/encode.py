@@ -5,38 +5,50 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col_, one_hot
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage
 from .position import with_position
 
-MAX_CATEGORY_VALUES = 10_000
-SMALL_DICTIONARY = 1_000_000
+
+def _distinct_values(frames: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """(c, v): distinct non-null values of each column, over the union of ``frames`` (ENC-2)."""
+    pairs = [f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                         for c in columns])).alias("p")).select("p.c", "p.v")
+             for f in frames]
+    return reduce(lambda a, b: a.unionByName(b), pairs).where(F.col("v").isNotNull()).distinct()
 
 
-def category_values(frames: Sequence[DataFrame] | DataFrame, columns: Sequence[str],
-                    max_values: int = MAX_CATEGORY_VALUES) -> dict[str, list]:
+def category_values(frames: Sequence[DataFrame] | DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct values per category column, over the union of ``frames`` (ENC-2).
 
-    One job; the collected list is bounded by ``max_values`` per column (an
-    error beyond it: a column with that many values is not a category).
+    For dummy *columns*: the values become column names, so they come to the
+    driver.  A column with more values than a table should have columns is
+    encoded by ``dummy_positions``, which keeps them in Spark.
     """
     frames = [frames] if isinstance(frames, DataFrame) else list(frames)
-    pairs = [f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
-                                         for c in columns])).alias("p")).select("p.c", "p.v")
-             for f in frames]
-    distinct = reduce(lambda a, b: a.unionByName(b), pairs).where(F.col("v").isNotNull()).distinct()
-    rows = distinct.limit(max_values * len(columns) + 1).collect()
     out: dict[str, list] = {c: [] for c in columns}
-    for r in rows:
+    for r in _distinct_values(frames, columns).collect():
         out[r["c"]].append(r["v"])
-    for c, vals in out.items():
-        if len(vals) > max_values:
-            raise ValueError(f"column {c} has more than {max_values} distinct values")
-        vals.sort()
-    return out
+    return {c: sorted(vals) for c, vals in out.items()}
+
+
+def category_positions(frames: Sequence[DataFrame] | DataFrame, column: str) -> DataFrame:
+    """``(value, position)``: the place of each value in sorted order, for any number of values."""
+    frames = [frames] if isinstance(frames, DataFrame) else list(frames)
+    values = _distinct_values(frames, [column]).select(F.col("v").alias("value"))
+    return with_position(values, ["value"], "position")
+
+
+def dummy_positions(df: DataFrame, column: str, positions: DataFrame, out_col: str | None = None) -> DataFrame:
+    """ENC-1 for a column of many values: the position of the one dummy that is 1 (NULL: all zeros).
+
+    Joined on the value; a hot value's rows are split by adaptive execution.
+    """
+    p = positions.select(F.col("value").alias("_v"), F.col("position").alias(out_col or f"{column}_position"))
+    return df.join(p, F.col(column).cast("string") == F.col("_v"), "left").drop("_v")
 
 
 def dummy_columns(df: DataFrame, values: dict[str, list]) -> DataFrame:
@@ -68,19 +80,16 @@ def fit_label_codes(*frames: DataFrame, label_col: str = "label", start: int = 0
     """
     parts = [f.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
              for f in frames]
-    labels = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts).distinct())
-    if labels.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
-        codes = labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1 + start).cast("int"))
-    else:  # a large dictionary is numbered by range position, never in one task
-        codes = with_position(labels, ["label"], "_pos").select(
-            "label", (F.col("_pos") + start).cast("int").alias("code"))
-    return cut_lineage(codes)
+    labels = reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    # numbered by range position: no dictionary, small or large, is sorted in one task
+    return cut_lineage(with_position(labels, ["label"], "_pos").select(
+        "label", (F.col("_pos") + start).cast("int").alias("code")))
 
 
 def encode_labels(df: DataFrame, codes: DataFrame, label_col: str = "label",
                   code_col: str = "code") -> DataFrame:
     """ENC-3: attach codes; a label missing from ``codes`` fails the job (as the encoder does)."""
-    c = bounded_broadcast(codes.select(F.col("label").alias("_cl"), F.col("code").alias("_cc")))
+    c = codes.select(F.col("label").alias("_cl"), F.col("code").alias("_cc"))
     joined = df.join(c, F.col(label_col) == F.col("_cl"), "left")
     checked = F.when(F.col("_cc").isNotNull(), F.col("_cc")).otherwise(
         F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(label_col).cast("string"), F.lit("NULL")))))
@@ -97,5 +106,5 @@ def onehot_labels(df: DataFrame, codes: DataFrame, code_col: str = "code",
 def decode_labels(df: DataFrame, codes: DataFrame, code_col: str = "code",
                   out_col: str = "label_decoded") -> DataFrame:
     """ENC-5: inverse transform codes to labels."""
-    c = bounded_broadcast(codes.select(F.col("code").alias("_dc"), F.col("label").alias(out_col)))
+    c = codes.select(F.col("code").alias("_dc"), F.col("label").alias(out_col))
     return df.join(c, F.col(code_col) == F.col("_dc"), "left").drop("_dc")

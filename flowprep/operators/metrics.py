@@ -2,8 +2,8 @@
 
 The scored table is aggregated once into the long confusion matrix
 ``(by..., y_true, y_pred, n)`` (partial aggregation: at most k x k rows per
-group leave each task).  Everything after that runs on that small table.  The
-matrix stays sparse: only observed (true, predicted) pairs are rows.
+group leave each task).  Everything after that runs on that small table, kept
+sparse; ``dense_confusion`` adds the empty cells.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import squared_distance, threshold
+from ..session import cut_lineage
 
 RATIOS = ["tpr", "tnr", "ppv", "npv", "fpr", "fnr", "fdr", "acc", "f1"]
 
@@ -26,14 +27,23 @@ def safe_div(a: Column, b: Column) -> Column:
 
 def confusion(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
               by: Sequence[str] = ()) -> DataFrame:
-    """AGG-3: long confusion matrix ``(by..., y_true, y_pred, n)``.
+    """AGG-3, sparse form: observed cells ``(by..., y_true, y_pred, n)`` (groups x k x k rows at most)."""
+    return (scored.groupBy(*by, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def dense_confusion(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """AGG-3: every cell of each group's label x label matrix, 0 where nothing was observed.
 
-    The matrix has at most groups x k x k rows whatever the data size, so it
-    is kept in one partition: every metric step after it then runs in the
-    same task with no further exchanges.
+    A group's labels are those true or predicted in it; k x k cells are the result's own size.
     """
-    return (scored.groupBy(*by, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred"))
-            .agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    by = list(by)
+    axis = conf.select(*by, F.explode(F.array("y_true", "y_pred")).alias("_l")).distinct()
+    rows, cols = axis.withColumnRenamed("_l", "y_true"), axis.withColumnRenamed("_l", "y_pred")
+    cells = rows.join(cols, by) if by else rows.crossJoin(cols)
+    seen = conf.select(*[F.col(c).alias(f"_{c}") for c in (*by, "y_true", "y_pred")], F.col("n").alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "y_true", "y_pred")]
+    return cells.join(seen, same, "left").select(*by, "y_true", "y_pred", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
 def class_counts(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -110,7 +120,7 @@ def binary_confusion(conf: DataFrame, normal: str, attack_label: str = "attack",
     labels = (conf.select(*by, F.col("y_true").alias("label"))
               .unionByName(conf.select(*by, F.col("y_pred").alias("label"))).distinct())
     n_match = labels.groupBy(*by).agg(F.sum(F.col("label").rlike(pattern).cast("int")).alias("_nm"))
-    joined = conf.join(F.broadcast(n_match), by, "left") if by else conf.crossJoin(F.broadcast(n_match))
+    joined = conf.join(n_match, by, "left") if by else conf.crossJoin(n_match)  # one row
     ok = F.col("_nm") == 1
     err = F.raise_error(F.concat(F.lit(f"expected one label matching '{normal}', found "),
                                  F.col("_nm").cast("string")))
@@ -119,18 +129,25 @@ def binary_confusion(conf: DataFrame, normal: str, attack_label: str = "attack",
         v = F.when(F.col(c).rlike(pattern), F.lit(normal_label)).otherwise(F.lit(attack_label))
         return F.when(ok, v).otherwise(err)
 
-    return (joined.select(*by, relabel("y_true").alias("y_true"), relabel("y_pred").alias("y_pred"), "n")
-            .groupBy(*by, "y_true", "y_pred").agg(F.sum("n").alias("n")))
+    # four cells per group, all of them, also those with nothing in them
+    two = [attack_label, normal_label]
+    sums = (joined.select(*by, relabel("y_true").alias("y_true"), relabel("y_pred").alias("y_pred"), "n").groupBy(*by)
+            .agg(*[F.coalesce(F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))), F.lit(0)).alias(f"_{i}{j}")
+                   for i, t in enumerate(two) for j, p in enumerate(two)]))
+    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("y_true"), F.lit(p).alias("y_pred"), F.col(f"_{i}{j}").alias("n"))
+                                for i, t in enumerate(two) for j, p in enumerate(two)]))
+    return sums.select(*by, cells.alias("x")).select(*by, "x.*")
 
 
 def evaluate(scored: DataFrame, normal: str | None = None, by: Sequence[str] = ("split",),
              y_true: str = "y_true", y_pred: str = "y_pred", attack_label: str = "attack"):
     """Multi-class and binary tables stacked with a ``granularity`` column (SNK-5 tables)."""
     by = list(by)
-    conf = confusion(scored, y_true, y_pred, by)
+    # the scored rows are read once: all tables come from the stored matrix
+    conf = cut_lineage(confusion(scored, y_true, y_pred, by))
     cm = class_metrics(conf, by).withColumn("granularity", F.lit("multi"))
     am = average_metrics(class_metrics(conf, by), by).withColumn("granularity", F.lit("multi"))
-    cf = conf.withColumn("granularity", F.lit("multi"))
+    cf = dense_confusion(conf, by).withColumn("granularity", F.lit("multi"))
     if normal is not None:
         bconf = binary_confusion(conf, normal, attack_label, by=by)
         bcm = class_metrics(bconf, by)

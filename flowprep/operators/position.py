@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage
 
 PID = "_pid"
 ColumnOrName = Column | str
@@ -71,10 +71,10 @@ def with_position(df: DataFrame, order: Sequence[ColumnOrName] | ColumnOrName,
 
 
 def seeded_hash(keys: Sequence[ColumnOrName] | ColumnOrName, seed: int | str) -> Column:
-    """md5 of ``key-seed`` as hex text; the same string in Spark and DuckDB."""
+    """md5 of ``key-seed`` as hex text; the same string in Spark and DuckDB.  A NULL key counts as U+0000."""
     parts = []
     for c in _cols(keys):
-        parts.extend([c.cast("string"), F.lit("-")])
+        parts.extend([F.coalesce(c.cast("string"), F.lit("\x00")), F.lit("-")])
     parts.append(F.lit(str(seed)))
     return F.md5(F.concat(*parts))
 
@@ -114,9 +114,8 @@ CLASS_KEYS = ["_lk", "_ln"]
 
 
 def attach_rank(ranked: DataFrame, buckets: DataFrame, rank_col: str = "class_rank") -> DataFrame:
-    """Join the bucket offsets (broadcast after a size check; otherwise a join on the
-    window's own partition keys, which adds no exchange of the big side)."""
-    out = (ranked.join(bounded_broadcast(buckets.drop("_bn")), BUCKET_KEYS)
+    """Join the bucket offsets on the window's own partition keys (no further exchange of the big side)."""
+    out = (ranked.join(buckets.drop("_bn"), BUCKET_KEYS)
            .withColumn(rank_col, (F.col("_boff") + F.col("_rn")).cast("long")))
     return out.drop("_rn", "_boff")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage
 from .position import group_position, with_position
 
 
@@ -48,7 +48,7 @@ def flow_sequences_by(df: DataFrame, group: str, order: Sequence[str | Column],
     """
     gp = group_position(df, group, order, "_gp")
     sizes = cut_lineage(df.groupBy(F.col(group).alias("_sg")).agg(F.count(F.lit(1)).alias("_gn")))
-    rows = (gp.join(bounded_broadcast(sizes), F.col(group).eqNullSafe(F.col("_sg"))).drop("_sg")
+    rows = (gp.join(sizes, F.col(group).eqNullSafe(F.col("_sg"))).drop("_sg")
             .where(F.col("_gp") <= F.lit(length) * F.floor(F.col("_gn") / length))
             .withColumn("seq", F.floor((F.col("_gp") - 1) / length).cast("long"))
             .withColumn("step", ((F.col("_gp") - 1) % length).cast("int")))

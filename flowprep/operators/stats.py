@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import student_t_two_sided_p
+from ..session import cut_lineage
 
 
 def fold_accuracy(df: DataFrame, y_true: str, preds: Sequence[str], fold_col: str = "fold") -> DataFrame:
@@ -54,29 +55,47 @@ def histogram(df: DataFrame, col: str, num_bins: int) -> DataFrame:
     """AGG-16: counts in ``num_bins`` equal-width bins over [min, max]; the last bin is closed.
 
     Min and max are one aggregate row, inlined as literals; bins are a partial
-    aggregate (at most ``num_bins`` rows leave each task).
+    aggregate (at most ``num_bins`` rows leave each task).  NULL and NaN are in no
+    bin; an empty bin has count 0.
     """
-    lo_v, hi_v = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
+    x = F.col(col).cast("double")
+    known = df.where(F.col(col).isNotNull() & ~F.isnan(x))
+    lo_v, hi_v = known.agg(F.min(x), F.max(x)).first()
     if lo_v is None:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
-    x = F.col(col).cast("double")
     lo_c, width = F.lit(lo_v), F.lit(hi_v) - F.lit(lo_v)
     raw = F.lit(0) if hi_v == lo_v else F.floor((x - lo_c) * num_bins / width)
     b = F.least(raw, F.lit(num_bins - 1)).cast("int")
-    out = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = known.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    bins = df.sparkSession.range(num_bins).select(F.col("id").cast("int").alias("bin"))
+    out = bins.join(found, "bin", "left").withColumn("n", F.coalesce("_n", F.lit(0)).cast("long"))
     lo = lo_c + width * F.col("bin") / num_bins
     hi = lo_c + width * (F.col("bin") + 1) / num_bins
     return out.select("bin", lo.alias("lo"), hi.alias("hi"), "n")
 
 
-def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def _plain_text(df: DataFrame, name: str) -> Column:
+    """A value as text that any engine can write: six decimals, microseconds."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind in ("double", "float"):
+        return F.round(F.col(name), 6).cast("decimal(38,6)").cast("string")
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind.startswith("timestamp") else F.col(name).cast("string")
+
+
+def fingerprint(df: DataFrame, cols: Sequence[str] | None = None, portable: bool = False) -> DataFrame:
     """AGG-21: order-free dataset fingerprint over every row: ``(n, fp)``.
 
     ``fp`` sums a 64-bit row hash as a decimal (a sum, not xor: duplicate rows
-    do not cancel).
+    do not cancel).  ``portable``: an md5 of the values' texts instead (numbers to six
+    decimals), which other engines can compute too.
     """
     cols = list(cols or df.columns)
-    h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    if portable:
+        parts = [F.coalesce(_plain_text(df, c), F.lit("\x00")) for c in cols]
+        row = F.md5(F.concat(*[x for p in parts for x in (F.lit("|"), p)][1:]))
+        h = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    else:
+        h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).cast("string").alias("fp"))
 
 
@@ -84,6 +103,7 @@ def prediction_timing(score, frames: Sequence[DataFrame]) -> DataFrame:
     """AGG-22: run ``score(frame)`` into a no-op sink per repetition and time it on the driver."""
     rows = []
     for i, f in enumerate(frames, start=1):
+        f = cut_lineage(f)  # the sample is drawn before the clock starts
         scored = score(f)
         n = f.count()
         t0 = time.perf_counter()

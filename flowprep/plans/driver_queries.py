@@ -231,10 +231,9 @@ def q_data_efficiency_split(spark, sf):
 def q_manifest_fetch(spark, sf):
     o = table(spark, sf, "orders").withColumn("file_key", F.year("o_orderdate").cast("string"))
     manifest = o.select("file_key", F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("label"))
-    parted = split.stratified_split(manifest, "label", ["file_key", "idx"], [0.6, 0.2, 0.2], seed=SEED)
     wide = o.select("file_key", F.col("o_orderkey").alias("idx"), "o_totalprice")
-    return parted.join(wide, ["file_key", "idx"]).select(F.col("idx").alias("o_orderkey"), "file_key", "split",
-                                                          "o_totalprice")
+    fetched = split.split_manifest(manifest, wide, ["file_key", "idx"], "label", [0.6, 0.2, 0.2], seed=SEED)
+    return fetched.select(F.col("idx").alias("o_orderkey"), "file_key", "split", "o_totalprice")
 
 
 def q_systematic_sample(spark, sf):
@@ -288,7 +287,7 @@ def _round_ratios(df: DataFrame) -> DataFrame:
 
 
 def q_confusion_matrix(spark, sf):
-    return _conf(spark, sf)
+    return metrics.dense_confusion(_conf(spark, sf), ["split"])
 
 
 def q_class_metrics(spark, sf):
@@ -369,11 +368,7 @@ def q_histogram(spark, sf):
 
 
 def q_fingerprint(spark, sf):
-    o = table(spark, sf, "orders")
-    row = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
-                      "o_orderstatus", "o_orderpriority")
-    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
-    return o.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("fp"))
+    return stats.fingerprint(table(spark, sf, "orders"), portable=True)
 
 
 # ------------------------------------------------------------------ histories
@@ -402,7 +397,9 @@ def q_spec_params(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     from .spec import typed_param
     t = typed_param(F.col("text"))
-    return c.select("conv_id", "turn", t["kind"].alias("kind"), t["n_items"].alias("n_items"))
+    out = c.select("conv_id", "turn", t.alias("t"))
+    items = F.md5(F.array_join(F.transform("t.items", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "|"))
+    return out.select("conv_id", "turn", "t.kind", "t.n_items", F.col("t.float_value").alias("number"), items.alias("items_md5"))
 
 
 QUERIES = {
@@ -479,7 +476,7 @@ def q_binary_confusion(spark, sf):
 def q_confusion_wide(spark, sf):
     """SNK-5 presentation: one column per predicted label (values from the label dictionary)."""
     from ..sources.io import confusion_wide
-    return confusion_wide(_conf(spark, sf), ["split"], values=EVENT_LABELS)
+    return confusion_wide(_conf(spark, sf), ["split"])
 
 
 def q_label_numbers(spark, sf):
@@ -490,12 +487,29 @@ def q_label_numbers(spark, sf):
 
 
 def q_sequence_sample(spark, sf):
-    """SMP-3: 50 sequences drawn with replacement (row count checked only: the draw is random)."""
-    e = events(spark, sf).select("event_id", "ts", "event_type")
-    seqs = sequence.flow_sequences(e, ["ts", "event_id"], SEQ_LEN, ["event_id", "event_type"])
-    n_seq = seqs.count()
-    drawn = split.sample_with_replacement(seqs, "seq", n_seq, 50, seed=SEED)
-    return drawn.select("draw", "seq", F.size("steps").cast("long").alias("n_steps"))
+    """SMP-3: 50 sequences drawn with replacement; only rows of drawn sequences are grouped."""
+    rows = _event_seq_rows(spark, sf)
+    n_seq = events(spark, sf).count() // SEQ_LEN
+    draws = split.draws_with_replacement(spark, n_seq, 50, SEED)
+    seqs = (rows.join(draws.select("seq").distinct(), "seq", "left_semi").groupBy("seq")
+            .agg(F.sort_array(F.collect_list(F.struct("step", "event_type"))).alias("steps")))
+    return split.sample_with_replacement(seqs, "seq", n_seq, 50, SEED).select(
+        "draw", "seq", F.size("steps").cast("long").alias("n_steps"),
+        F.array_join(F.transform("steps", lambda s: s["event_type"]), ",").alias("labels"))
+
+
+def q_split_null_keys(spark, sf):
+    """SPL-1 with NULLs among keys and labels: every row gets a part, sizes stay exact."""
+    e = events(spark, sf).select(
+        "event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("owner"),
+        F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("label"))
+    return split.stratified_split(e, "label", ["owner", "event_id"], [0.6, 0.2, 0.2], seed=SEED).drop("owner")
+
+
+def q_category_positions(spark, sf):
+    """ENC-1/2 for a column of as many values as rows: the place of each value, joined back."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return encode.dummy_positions(o, "o_orderkey", encode.category_positions(o, "o_orderkey"), "position")
 
 
 PREP_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "r1", "l_linestatus_F", "l_linestatus_O"]
@@ -541,6 +555,8 @@ def q_strict_cast(spark, sf):
 
 
 QUERIES.update({
+    "split_null_keys": q_split_null_keys,
+    "category_positions": q_category_positions,
     "merge_validation": q_merge_validation,
     "score_argmax": q_score_argmax,
     "strict_cast": q_strict_cast,

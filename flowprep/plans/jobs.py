@@ -81,13 +81,17 @@ def prepare_kdd(spark: SparkSession, train_paths: Sequence[str], out: str, *, ns
         for f in frames:
             clean.assert_class_count(f, "label", expected_classes)                  # CHK-1
     encoded = encode.one_hot_encode(frames, ["c1", "c2", "c3"])                      # ENC-1/2
-    # row ids from the scan: deterministic for a fixed set of input files and split sizes
-    train = encoded[0].withColumn("row_id", F.monotonically_increasing_id())
+    # row ids by content: the same for any split of the files into tasks, unique over train and test
+    both = encoded[0].withColumn("_test", F.lit(0))
+    if test is not None:
+        both = both.unionByName(encoded[1].withColumn("_test", F.lit(1)))
+    both = io.with_stable_row_id(both, first=["_test"])
+    train = both.where("_test = 0").drop("_test")
     rates = list(rates or ([0.8, 0.2] if test_paths else [0.6, 0.2, 0.2]))
     names = ["train", "val"] if test_paths else ["train", "val", "test"]
     parted = split.stratified_split(train, "label", "row_id", rates, names, seed)  # SPL-1
     if test is not None:
-        t = encoded[1].withColumn("row_id", F.monotonically_increasing_id()).withColumn("split", F.lit("test"))
+        t = both.where("_test = 1").drop("_test").withColumn("split", F.lit("test"))
         t = clean.drop_unseen_classes(parted.where(F.col("split") == "train"), t, "label")  # FLT-4
         parted = parted.unionByName(t)                                               # SPL-7
     prepared = scale_and_pack(parted)
@@ -95,7 +99,7 @@ def prepare_kdd(spark: SparkSession, train_paths: Sequence[str], out: str, *, ns
     return spark.read.parquet(out)
 
 
-IDS17_TEXT_NUMBERS = ["Flow Bytes/s", "Flow Packets/s"]
+# Columns of the second data set that are not features.
 IDS18_DROP = ["Protocol", "Timestamp", "Flow ID", "Src IP", "Src Port", "Dst IP"]
 
 
@@ -107,7 +111,7 @@ def prepare_ids17(spark: SparkSession, paths: Sequence[str], out: str, *, subset
     df = clean.cast_text_columns(df.drop("file_key"), skip=["label"])               # CLN-3/4
     df = clean.drop_invalid_rows(df)                                                 # FLT-3
     df = clean.drop_classes(df, "label", labels.IDS2017_RARE_CLASSES)                # FLT-1
-    df = df.withColumn("row_id", F.monotonically_increasing_id())
+    df = io.with_stable_row_id(df)
     if subset:
         df = split.stratified_subset(df, "label", "row_id", subset, seed)           # SMP-4
     parted = split.stratified_split(df, "label", "row_id", [0.6, 0.2, 0.2], seed=seed)
@@ -123,12 +127,12 @@ def prepare_ids18(spark: SparkSession, paths: Sequence[str], out: str, *, every_
 
     ``every_kth`` (e.g. 0.2) keeps every ceil(1/rate)-th row in (file, timestamp text) order first (JOB-7).
     """
-    frames = [io.read_csv(spark, p, header=True, strip_names=True) for p in paths]
-    df = io.union_files(frames) if len(frames) > 1 else frames[0]
-    # SRT-1: order inside a file by the timestamp *text*; the scan id breaks ties
-    df = df.withColumn("_scan", F.monotonically_increasing_id())
-    df = with_position(df, ["file_key", "Timestamp", "_scan"], "row_id").drop("_scan")
-    df = clean.drop_if_present(df, IDS18_DROP)                                       # PRJ-4
+    df = io.read_csv(spark, paths, header=True, strip_names=True)                    # SRC-2, by name
+    unused = [c for c in IDS18_DROP if c != "Timestamp"]
+    df = clean.drop_if_present(df, unused)                                           # PRJ-4: before the rows are moved
+    # SRT-1: order inside a file by the timestamp *text*; the row's content breaks ties
+    df = io.with_stable_row_id(df, first=["file_key", "Timestamp"])
+    df = clean.drop_if_present(df, IDS18_DROP)
     df = clean.keep_numeric_text(df, ["Dst Port"])                                   # FLT-2
     df = df.withColumnRenamed("Label", "label")
     df = clean.cast_text_columns(df, skip=["label", "file_key"])                    # CLN-4

@@ -7,13 +7,13 @@ are the obvious single-node forms that the Spark side reproduces at scale.
 
 from __future__ import annotations
 
-from ..functions.exprs import NUMBER_TEXT
-from ..operators.split import step_test_rates
 from .driver_queries import (CHUNKS, EVENT_CUTOFF, EVENT_FAMILY, EVENT_LABELS, FOLDS, GOAL, LINE_KEYS,
                              PATIENCE, RARE_PART_TYPES, SCALE_COLS, SEED, SEQ_LEN, SHIP_CUTOFF)
-from .spec import INT_TEXT
-from ..operators.labels import add_suffixed_keys
 
+# Number texts, stated here on their own: digits may have single underscores between them.
+INT_TEXT = r"^\s*[-+]?\d(_?\d)*\s*$"
+NUMBER_TEXT = (r"^\s*[-+]?((\d(_?\d)*\.?|\d(_?\d)*\.\d(_?\d)*|\.\d(_?\d)*)([eE][-+]?\d(_?\d)*)?"
+               r"|[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY]|[nN][aA][nN])\s*$")
 KEYS = ", ".join(LINE_KEYS)
 SPLIT = f"CASE WHEN ts < TIMESTAMP '{EVENT_CUTOFF}' THEN 'train' ELSE 'test' END"
 LABEL_LIST = "[" + ", ".join(f"'{x}'" for x in EVENT_LABELS) + "]"
@@ -47,10 +47,10 @@ def quota_ctes(prefix: str, counts: str, rates) -> tuple[list[str], str]:
     """CTEs turning ``counts(label, n)`` into ``label, n, q0..q{p-1}`` (integer largest remainder)."""
     ctes = [f"{prefix}_s AS (SELECT label, n, CAST(n AS HUGEINT) AS rem FROM {counts})"]
     cur = f"{prefix}_s"
-    steps = step_test_rates(rates)
-    for i, t in enumerate(steps):
+    for i in range(len(rates) - 1):
+        rest = f"(1 - {rates[i]!r}::DOUBLE / {sum(rates[i:])!r}::DOUBLE)"
         ctes.append(f"{prefix}_a{i} AS (SELECT *, sum(rem) OVER () AS tot FROM {cur})")
-        ctes.append(f"{prefix}_b{i} AS (SELECT *, tot - CAST(ceil(CAST({q(repr(t))} AS DOUBLE) * CAST(tot AS DOUBLE)) AS HUGEINT)"
+        ctes.append(f"{prefix}_b{i} AS (SELECT *, tot - CAST(ceil({rest} * CAST(tot AS DOUBLE)) AS HUGEINT)"
                     f" AS ntrain FROM {prefix}_a{i})")
         ctes.append(f"{prefix}_c{i} AS (SELECT *, CASE WHEN tot > 0 THEN (rem * ntrain) // tot ELSE 0 END AS fl,"
                     f" CASE WHEN tot > 0 THEN (rem * ntrain) % tot ELSE 0 END AS r FROM {prefix}_b{i})")
@@ -76,7 +76,7 @@ def part_case(rank: str, names) -> str:
 def split_sql(source: str, label: str, key_exprs: list[str], cols: list[str], rates, names,
               split_col: str = "split", where_part: str | None = None, out_cols: list[str] | None = None) -> str:
     """Stratified split of ``source`` in SQL: md5 order inside each class, quotas by largest remainder."""
-    h = " || '-' || ".join(f"CAST({k} AS VARCHAR)" for k in key_exprs) + f" || '-' || {q(str(SEED))}"
+    h = " || '-' || ".join(f"coalesce(CAST({k} AS VARCHAR), chr(0))" for k in key_exprs) + f" || '-' || {q(str(SEED))}"
     carried = cols + [k for k in key_exprs if k not in cols]
     ctes = [f"sb AS (SELECT {', '.join(carried)}, {label} AS _label, md5({h}) AS _h FROM {source})",
             "sc AS (SELECT _label AS label, count(*) AS n FROM sb GROUP BY _label)"]
@@ -157,7 +157,7 @@ def _label_counts_union() -> str:
 
 
 def _map_labels() -> str:
-    mapping = add_suffixed_keys(EVENT_FAMILY, ".")
+    mapping = {k + dot: v for k, v in EVENT_FAMILY.items() for dot in ("", ".")}
     case = "CASE label " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in sorted(mapping.items())) + " END"
     return (f"SELECT event_id, label, coalesce({case}, label) AS family FROM (SELECT event_id,"
             f" CASE WHEN value >= 50 THEN event_type || '.' ELSE event_type END AS label FROM events)")
@@ -340,8 +340,9 @@ def _ttest() -> str:
 HIST = ("WITH mm AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),"
         " b AS (SELECT CAST(least(CASE WHEN hi - lo = 0 THEN 0 ELSE floor((l_extendedprice - lo) * 10 / (hi - lo)) END, 9)"
         " AS INTEGER) AS bin, lo, hi FROM lineitem, mm WHERE l_extendedprice IS NOT NULL)"
-        " SELECT bin, round(lo + (hi - lo) * bin / 10, 6) AS lo, round(lo + (hi - lo) * (bin + 1) / 10, 6) AS hi,"
-        " count(*) AS n FROM b GROUP BY bin, lo, hi")
+        " SELECT CAST(i AS INTEGER) AS bin, round(mm.lo + (mm.hi - mm.lo) * i / 10, 6) AS lo,"
+        " round(mm.lo + (mm.hi - mm.lo) * (i + 1) / 10, 6) AS hi, count(b.bin) AS n"
+        " FROM range(0, 10) t(i) CROSS JOIN mm LEFT JOIN b ON b.bin = i GROUP BY i, mm.lo, mm.hi")
 
 HIST_CTE = ("h AS (SELECT user_id AS run, value AS val_loss,"
             " row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events)")
@@ -372,7 +373,12 @@ def _spec_params() -> str:
             f" WHEN {is_list} THEN 'list' ELSE 'str' END")
     n = (f"CAST(CASE WHEN {is_list} THEN len({parts}) - CASE WHEN ({parts})[-1] = '' THEN 1 ELSE 0 END ELSE 1 END"
          " AS BIGINT)")
-    return f"SELECT conv_id, turn, {kind} AS kind, {n} AS n_items FROM conversations"
+    last = f"len({parts}) - CASE WHEN ({parts})[-1] = '' THEN 1 ELSE 0 END"
+    each = (f"list_transform(({parts})[1:{last}], lambda x: CASE WHEN regexp_matches(x, {q(INT_TEXT)}) THEN 'int'"
+            f" WHEN regexp_matches(x, {q(NUMBER_TEXT)}) THEN 'float' ELSE 'str' END || ':' || x)")
+    number = f"CASE WHEN {is_num} THEN TRY_CAST(replace(trim(text), '_', '') AS DOUBLE) END"
+    return (f"SELECT conv_id, turn, {kind} AS kind, {n} AS n_items, {number} AS number,"
+            f" CASE WHEN {is_list} THEN md5(array_to_string({each}, '|')) END AS items_md5 FROM conversations")
 
 
 def _prepare_lineitem() -> str:
@@ -393,6 +399,20 @@ def _prepare_lineitem() -> str:
             f" SELECT {KEYS}, split, label, {scaled} FROM p, st")
 
 
+DENSE = ["ax AS (SELECT split, y_true AS l FROM conf UNION SELECT split, y_pred FROM conf)",
+         "dense AS (SELECT a.split, a.l AS y_true, b.l AS y_pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM ax a"
+         " JOIN ax b ON a.split = b.split LEFT JOIN conf c ON c.split = a.split AND c.y_true IS NOT DISTINCT FROM a.l"
+         " AND c.y_pred IS NOT DISTINCT FROM b.l)"]
+
+
+def _fingerprint() -> str:
+    texts = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
+             "CAST(CAST(round(o_totalprice, 6) AS DECIMAL(38,6)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')",
+             "o_orderpriority"]
+    row = " || '|' || ".join(f"coalesce({t}, chr(0))" for t in texts)
+    return (f"SELECT count(*) AS n, CAST(sum(('0x' || substr(md5({row}), 1, 15))::HUGEINT) AS VARCHAR) AS fp FROM orders")
+
+
 def oracle_sql() -> dict[str, str]:
     ev_split_src = "events"
     return {
@@ -451,7 +471,7 @@ def oracle_sql() -> dict[str, str]:
                        " FROM c GROUP BY chunk"),
         "flow_sequences": _flow_sequences(),
         "sequence_flatten": _sequence_flatten(),
-        "confusion_matrix": _with([conf_cte("conf")], "SELECT split, y_true, y_pred, n FROM conf"),
+        "confusion_matrix": _with([conf_cte("conf"), *DENSE], "SELECT split, y_true, y_pred, n FROM dense"),
         "class_metrics": _class_metrics(False),
         "average_metrics": _average_metrics(),
         "binary_metrics": _class_metrics(True),
@@ -465,9 +485,20 @@ def oracle_sql() -> dict[str, str]:
         "kfold_accuracy": _with(FOLD_CTES, "SELECT fold, round(acc1, 6) AS acc1, round(acc2, 6) AS acc2 FROM fa"),
         "ttest_two_models": _ttest(),
         "histogram": HIST,
-        "fingerprint": ("SELECT count(*) AS n, CAST(sum(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR),"
-                        " CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 8))::BIGINT) AS BIGINT) AS fp"
-                        " FROM orders"),
+        "fingerprint": _fingerprint(),
+        "split_null_keys": split_sql("(SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS owner,"
+                                     " CASE WHEN event_id % 7 <> 0 THEN event_type END AS label FROM events)", "label",
+                                     ["owner", "event_id"], ["event_id", "label"], [0.6, 0.2, 0.2], ["train", "val", "test"],
+                                     out_cols=["event_id", "_label AS label", "split"]),
+        "category_positions": ("SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS position"
+                               " FROM orders"),
+        "sequence_sample": (f"WITH p AS (SELECT event_type, {POS_EVENTS} AS pos, count(*) OVER () AS n FROM events),"
+                            " d AS (SELECT i AS draw, ('0x' || substr(md5('42-' || CAST(i AS VARCHAR)), 1, 15))::BIGINT"
+                            f" % (SELECT max(n) // {SEQ_LEN} FROM p) AS seq FROM range(0, 50) t(i)),"
+                            f" s AS (SELECT pos // {SEQ_LEN} AS seq, count(*) AS n_steps,"
+                            f" string_agg(event_type, ',' ORDER BY pos) AS labels FROM p"
+                            f" WHERE pos < {SEQ_LEN} * (n // {SEQ_LEN}) GROUP BY 1)"
+                            " SELECT d.draw, d.seq, s.n_steps, s.labels FROM d JOIN s ON d.seq = s.seq"),
         "best_epoch": _with([HIST_CTE, "b AS (SELECT run, min(val_loss) AS best_loss FROM h GROUP BY run)"],
                             "SELECT h.run, min(h.epoch) AS best_epoch, b.best_loss FROM h JOIN b ON h.run = b.run"
                             " AND h.val_loss = b.best_loss GROUP BY h.run, b.best_loss"),
@@ -489,13 +520,14 @@ def oracle_sql() -> dict[str, str]:
         "stratified_subset": split_sql(ev_split_src, "event_type", ["event_id"], ["event_id", "event_type"],
                                        [0.08, 0.92], ["keep", "drop"], split_col="_part",
                                        where_part="_part = 'keep'", out_cols=["event_id", "event_type"]),
-        "binary_confusion": _with([conf_cte("conf0")],
-                                  "SELECT split, CASE WHEN regexp_matches(y_true, '(?i)view') THEN 'view' ELSE 'attack' END"
-                                  " AS y_true, CASE WHEN regexp_matches(y_pred, '(?i)view') THEN 'view' ELSE 'attack' END"
-                                  " AS y_pred, sum(n) AS n FROM conf0 GROUP BY ALL"),
-        "confusion_wide": _with([conf_cte("conf")], "SELECT split, y_true, "
-                                + ", ".join(f"coalesce(max(n) FILTER (WHERE y_pred = {q(v)}), 0) AS \"{v}\""
-                                            for v in EVENT_LABELS) + " FROM conf GROUP BY split, y_true"),
+        "binary_confusion": _with([conf_cte("conf0"), "two AS (SELECT unnest(['attack', 'view']) AS l)"],
+                                  "SELECT split, t.l AS y_true, p.l AS y_pred, CAST(coalesce(sum(n) FILTER ("
+                                  "(t.l = 'view') = regexp_matches(y_true, '(?i)view') AND"
+                                  " (p.l = 'view') = regexp_matches(y_pred, '(?i)view')), 0) AS BIGINT) AS n"
+                                  " FROM conf0, two t, two p GROUP BY ALL"),
+        "confusion_wide": _with([conf_cte("conf"), *DENSE], "SELECT split, y_true, "
+                                + ", ".join(f"max(n) FILTER (WHERE y_pred = {q(v)}) AS \"{v}\""
+                                            for v in EVENT_LABELS) + " FROM dense GROUP BY split, y_true"),
         "label_numbers": ("WITH codes AS (SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS code"
                           " FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NULL))"
                           " SELECT e.event_id, e.event_type, c.code AS label_number FROM events e JOIN codes c"

@@ -25,16 +25,25 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
             .csv(path))
 
 
+def typed_item(v: Column) -> Column:
+    """CLN-8 for one list item: int, else float, else text."""
+    is_int, is_float = v.rlike(INT_TEXT), v.rlike(NUMBER_TEXT)
+    clean = F.regexp_replace(F.trim(v), "_", "")
+    return F.struct(F.when(is_int, "int").when(is_float, "float").otherwise("str").alias("kind"),
+                    F.when(is_int, clean.try_cast("long")).alias("int_value"),
+                    F.when(is_int | is_float, clean.try_cast("double")).alias("float_value"), v.alias("text"))
+
+
 def typed_param(v: Column) -> Column:
     """CLN-8: int, else float, else text; text with a comma becomes a list (one trailing empty item dropped).
 
-    Returns ``struct(kind, int_value, float_value, items, n_items)``.
+    Returns ``struct(kind, int_value, float_value, items, n_items)``; items are ``typed_item`` structs.
     """
     is_int = v.rlike(INT_TEXT)
     is_float = v.rlike(NUMBER_TEXT)
     parts = F.split(v, ",", -1)
     is_list = ~is_int & ~is_float & (F.size(parts) > 1)
-    items = F.when(is_list, split_list(v, ","))
+    items = F.when(is_list, F.transform(split_list(v, ","), typed_item))
     kind = (F.when(v.isNull(), F.lit(None).cast("string")).when(is_int, "int").when(is_float, "float")
             .when(is_list, "list").otherwise("str"))
     clean = F.regexp_replace(F.trim(v), "_", "")

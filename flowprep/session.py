@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -77,7 +78,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="flowprep-ckpt-")
     sc.setCheckpointDir(path)
@@ -85,29 +86,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss).
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
-    A reliable checkpoint runs one job to compute the rows and a second one to
-    write them; without a cache the second job recomputes the whole plan.  The
-    rows are cached for the length of the checkpoint only.
+    Survives lost executors, runs the plan once, and later reads are pruned to
+    the columns they use.  Columns are stored by position, so any names do.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
-
-
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows; otherwise return it as is.
-
-    The check is a ``limit(max_rows + 1)`` count; call it on a materialised
-    (checkpointed) small table so the check does not recompute its inputs.
-    """
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    stored = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = stored.schema
+    stored.write.parquet(path)
+    return spark.read.schema(schema).parquet(path).toDF(*df.columns)

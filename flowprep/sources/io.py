@@ -28,29 +28,84 @@ def positional_schema(n_cols: int, string_cols: Sequence[int] = (), prefix: str
                          for i in range(n_cols)])
 
 
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Files by their header line; the first line of each file is read on the driver, 16 at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def files(pattern: str) -> list[str]:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = path.getFileSystem(conf)
+        found = fs.globStatus(path) or []
+        out = []
+        for status in found:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            out += [x.getPath().toString() for x in inside if not x.getPath().getName().startswith(("_", "."))]
+        if not out:
+            raise FileNotFoundError(pattern)
+        return out
+
+    def first_line(name: str) -> tuple[str, str]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
+        try:
+            return reader.readLine() or "", name
+        finally:
+            reader.close()
+
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for line, name in pool.map(first_line, [f for p in paths for f in files(p)]):
+            groups.setdefault(line, []).append(name)
+    return groups
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], header: bool = True,
              schema: T.StructType | None = None, columns: Sequence[str] | None = None,
              strip_names: bool = False, na_values: Sequence[str] | None = DEFAULT_NA) -> DataFrame:
     """SRC-1/2/3: one or many CSV files as one DataFrame; no schema inference pass.
 
-    Without a schema every column is read as text (convert with ``clean.cast_text_columns``).
-    ``columns`` is a projection the scan prunes.  Adds ``file_key`` (source file name).
+    With headers, files are united by column *name*: one scan per distinct header line, missing
+    columns as NULL.  Without a schema every column is read as text (convert with
+    ``clean.cast_text_columns``).  ``columns`` is a projection the scan prunes.  Adds ``file_key``,
+    the file's full path.
     """
+    paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", header).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
+        groups = [paths]
     else:
         reader = reader.option("inferSchema", False)
-    df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    if strip_names:
-        df = df.toDF(*[c.strip() for c in df.columns])
+        groups = list(_headers(spark, paths).values()) if header else [paths]
+
+    def scan(files: Sequence[str]) -> DataFrame:
+        df = reader.csv(list(files))
+        df = df.select("*", F.col("_metadata.file_path").alias("file_key"))
+        return df.toDF(*[c.strip() for c in df.columns]) if strip_names else df
+
+    df = union_files([scan(g) for g in groups])
+    df = df.select(*[c for c in df.columns if c != "file_key"], "file_key")
     if columns is not None:
-        df = df.select(*columns)
+        df = df.select(*columns, "file_key")
     if na_values:
         na = list(na_values)
-        df = df.select(*[F.when(F.col(f.name).isin(na), None).otherwise(F.col(f.name)).alias(f.name)
-                         if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
-    return df.withColumn("file_key", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        df = df.select(*[F.when(F.col(f"`{f.name}`").isin(na), None).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+                         if isinstance(f.dataType, T.StringType) and f.name != "file_key" else F.col(f"`{f.name}`")
+                         for f in df.schema.fields])
+    return df
+
+
+def with_stable_row_id(df: DataFrame, index_col: str = "row_id", first: Sequence = ()) -> DataFrame:
+    """A 0-based index in the order (``first``..., content), the same however the files are split into tasks.
+
+    Rows equal in all columns are interchangeable: their order among themselves is the scan's.
+    """
+    from ..operators.position import with_position
+    from ..functions.exprs import col_
+    whole = F.md5(F.to_json(F.struct(*[col_(c) for c in df.columns])))
+    return (with_position(df.withColumn("_content", whole).withColumn("_scan", F.monotonically_increasing_id()),
+                          [*first, "_content", "_scan"], index_col).drop("_content", "_scan"))
 
 
 def read_parquet_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -104,20 +159,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_report(tables: dict[str, DataFrame], path: str, run: str, fmt: str = "parquet") -> None:
-    """SNK-5: confusion / class / average tables keyed by run, split and granularity."""
+    """SNK-5: confusion / class / average tables keyed by run, split and granularity.
+
+    One folder per table and run: a rerun replaces its own rows and no others.
+    """
     for name, t in tables.items():
-        (t.withColumn("run", F.lit(run)).write.mode("append").format(fmt)
-         .option("header", True).partitionBy("run").save(f"{path}/{name}"))
+        t.write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/{name}/run={run}")
 
 
-def confusion_wide(conf: DataFrame, by: Sequence[str] = ("split",), values: Sequence[str] | None = None) -> DataFrame:
-    """SNK-5 presentation: the matrix with one column per predicted label, 0 for empty cells.
+def confusion_wide(conf: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
+    """SNK-5 presentation: the matrix with one column per label, 0 for empty cells.
 
-    Pass the label list (the sorted label dictionary) as ``values`` to skip
-    Spark's extra distinct-values job; the matrix has k x k cells at most.
+    Rows and columns are all labels that are true or predicted anywhere (k labels, k columns).
     """
-    pv = conf.groupBy(*by, "y_true").pivot("y_pred", list(values) if values is not None else None)
-    out = pv.agg(F.first("n"))
+    from ..operators.metrics import dense_confusion
+    axis = sorted(r[0] for r in conf.select(F.explode(F.array("y_true", "y_pred")).alias("l")).distinct().collect() if r[0] is not None)
+    out = dense_confusion(conf, by).groupBy(*by, "y_true").pivot("y_pred", axis).agg(F.first("n"))
     return out.na.fill(0, subset=[c for c in out.columns if c not in (*by, "y_true")])
 
 

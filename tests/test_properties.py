@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowprep.operators.split import split_quotas, step_test_rates
+from flowprep.operators.split import split_quotas, passed_on
 
 RATES = [[0.8, 0.2], [0.6, 0.2, 0.2], [0.25, 0.75], [0.08, 0.92], [0.5, 0.3, 0.2], [0.7, 0.3]]
 
@@ -17,7 +17,7 @@ def brute_quotas(counts: dict[str, int], rates) -> dict[str, list[int]]:
     reference), shared by largest remainder with exact fractions, ties by label text."""
     rem = dict(counts)
     out = {k: [] for k in counts}
-    for t in step_test_rates(rates):
+    for t in passed_on(rates):
         n = sum(rem.values())
         keep = n - math.ceil(t * n)
         exact = {k: Fraction(v * keep, n) if n else Fraction(0) for k, v in rem.items()}
