@@ -568,3 +568,93 @@ QUERIES.update({
     "label_numbers": q_label_numbers,
     "sequence_sample": q_sequence_sample,
 })
+
+
+# ------------------------------------------------------------------ sinks and scans, written and read again
+
+def _scratch(spark, name: str) -> str:
+    """A new folder under the session's shared checkpoint folder."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_union(spark, sf):
+    """SNK-2, SRC-1/2: two CSV exports whose columns differ in order and number, read as one table by name."""
+    from ..sources import io
+    o = table(spark, sf, "orders")
+    path = _scratch(spark, "csv")
+    odd = F.col("o_orderkey") % 2 == 1
+    io.write_csv(o.where(odd).select("o_orderkey", "o_orderstatus", "o_orderpriority"), f"{path}/a")
+    io.write_csv(o.where(~odd).select("o_orderpriority", "o_custkey", "o_orderkey", "o_orderstatus"), f"{path}/b")
+    back = io.read_csv(spark, [f"{path}/a", f"{path}/b"])
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", "o_orderpriority",
+                       F.col("o_custkey").cast("long").alias("o_custkey"))
+
+
+def q_prepared_round_trip(spark, sf):
+    """SNK-1, SRC-4/5: the prepared table written by split, one split read back (a pruned partition)."""
+    from ..sources import io
+    e = events(spark, sf).select("event_id", F.col("event_type").alias("label"), "value", _split_col().alias("split"))
+    path = _scratch(spark, "prepared")
+    io.write_prepared(e, path)
+    io.require_rows(io.read_prepared(spark, path, split="train"))
+    return io.read_prepared(spark, path, split="test").select("event_id", "label", "value")
+
+
+def q_keyed_round_trip(spark, sf):
+    """SNK-4, SRC-6: written by split and file key, one key of one split read back."""
+    from ..sources import io
+    e = events(spark, sf).select("event_id", _split_col().alias("split"), F.col("event_type").alias("file_key"))
+    path = _scratch(spark, "keyed")
+    io.write_prepared(e, path, partition_by=("split", "file_key"))
+    return io.read_prepared(spark, path, split="train", file_key="view").select("event_id")
+
+
+def q_chunks_round_trip(spark, sf):
+    """SNK-3: consecutive chunks written as CSV folders, read back and counted."""
+    from ..sources import io
+    path = _scratch(spark, "chunks")
+    sequence.write_chunks(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], CHUNKS, path)
+    back = spark.read.option("header", True).schema("o_orderkey long, chunk int").csv(path)
+    return back.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("min_key"),
+                                     F.max("o_orderkey").alias("max_key"))
+
+
+def q_report_round_trip(spark, sf):
+    """SNK-5: the evaluation report written twice under one run, class table read back (a rerun replaces itself)."""
+    from ..sources import io
+    path = _scratch(spark, "report")
+    for _ in range(2):
+        io.write_report(metrics.evaluate(scored_events(spark, sf), "view"), path, "r1")
+    back = spark.read.parquet(f"{path}/class_metrics").where("run = 'r1' and granularity = 'multi'")
+    return _round_ratios(back.select("split", "label", "tp", "fp", "fn", "tn", "support", *metrics.RATIOS))
+
+
+def q_history_round_trip(spark, sf):
+    """SNK-6: numbered histories saved as CSV and read back."""
+    h = _history(spark, sf).select("run", "epoch", "val_loss")
+    path = _scratch(spark, "history")
+    history.save_history(h, path)
+    return spark.read.option("header", True).schema("run long, epoch long, val_loss double").csv(path)
+
+
+def q_scaler_round_trip(spark, sf):
+    """SNK-7: a scaler fitted before the cutoff, saved, loaded and applied."""
+    li = table(spark, sf, "lineitem").select(*LINE_KEYS, *SCALE_COLS, "l_shipdate")
+    path = _scratch(spark, "scaler")
+    scale.save_scaler(scale.fit_scaler(li, SCALE_COLS, F.col("l_shipdate") < F.lit(SHIP_CUTOFF).cast("timestamp_ntz")), path)
+    out = scale.apply_scaler(li.drop("l_shipdate"), scale.load_scaler(spark, path), SCALE_COLS, "standard")
+    return out.select(*LINE_KEYS, *[r6(c).alias(c) for c in SCALE_COLS])
+
+
+QUERIES.update({
+    "csv_union": q_csv_union,
+    "prepared_round_trip": q_prepared_round_trip,
+    "keyed_round_trip": q_keyed_round_trip,
+    "chunks_round_trip": q_chunks_round_trip,
+    "report_round_trip": q_report_round_trip,
+    "history_round_trip": q_history_round_trip,
+    "scaler_round_trip": q_scaler_round_trip,
+})

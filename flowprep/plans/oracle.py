@@ -415,7 +415,20 @@ def _fingerprint() -> str:
 
 def oracle_sql() -> dict[str, str]:
     ev_split_src = "events"
+    chunks = (f"WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos,"
+              f" count(*) OVER () AS n FROM orders), c AS (SELECT o_orderkey,"
+              f" CAST(pos // CAST(ceil(n / {CHUNKS}) AS BIGINT) + 1 AS INTEGER) AS chunk FROM p)"
+              " SELECT chunk, count(*) AS n, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key"
+              " FROM c GROUP BY chunk")
     return {
+        "csv_union": ("SELECT o_orderkey, o_orderstatus, o_orderpriority,"
+                      " CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey FROM orders"),
+        "prepared_round_trip": (f"SELECT event_id, event_type AS label, value FROM events WHERE {SPLIT} = 'test'"),
+        "keyed_round_trip": f"SELECT event_id FROM events WHERE {SPLIT} = 'train' AND event_type = 'view'",
+        "chunks_round_trip": chunks,
+        "report_round_trip": _class_metrics(False),
+        "history_round_trip": _with([HIST_CTE], "SELECT run, epoch, val_loss FROM h"),
+        "scaler_round_trip": _scale("standard"),
         "label_counts": _label_counts(),
         "label_counts_union": _label_counts_union(),
         "drop_rare_classes": (f"SELECT p_partkey, p_type FROM part WHERE p_type IS NULL OR p_type NOT IN"
@@ -464,11 +477,7 @@ def oracle_sql() -> dict[str, str]:
                               " (ORDER BY year(o_orderdate), o_orderkey) - 1 AS pos FROM orders) WHERE pos % 5 = 0"),
         "hash_sample": (f"SELECT o_orderkey, o_orderpriority FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)"
                         f" || '-' || {q(str(SEED))}), o_orderkey LIMIT 100"),
-        "row_chunks": (f"WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos,"
-                       f" count(*) OVER () AS n FROM orders), c AS (SELECT o_orderkey,"
-                       f" CAST(pos // CAST(ceil(n / {CHUNKS}) AS BIGINT) + 1 AS INTEGER) AS chunk FROM p)"
-                       " SELECT chunk, count(*) AS n, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key"
-                       " FROM c GROUP BY chunk"),
+        "row_chunks": chunks,
         "flow_sequences": _flow_sequences(),
         "sequence_flatten": _sequence_flatten(),
         "confusion_matrix": _with([conf_cte("conf"), *DENSE], "SELECT split, y_true, y_pred, n FROM dense"),

@@ -24,8 +24,8 @@ def test_spec_scan_typing_defaults(spark, tmpdir_path):
     specs = read_specs(spark, p)
     assert specs.count() == 2
     t = {(r["experiment_num"], r["key"]): r for r in typed_specs(with_defaults(specs)).collect()}
-    assert t[("1", "units")]["kind"] == "list" and t[("1", "units")]["items"] == ["64", "32"]
-    assert t[("1", "act")]["items"] == ["relu"]
+    assert t[("1", "units")]["kind"] == "list" and [i["int_value"] for i in t[("1", "units")]["items"]] == [64, 32]
+    assert [i["text"] for i in t[("1", "act")]["items"]] == ["relu"]
     assert t[("1", "lr")]["kind"] == "float" and t[("2", "lr")]["int_value"] == 1000
     assert t[("2", "action")]["raw"] == "train_test"
     r = spark.range(1).select(typed_param(F.lit("abc")).alias("t")).first()["t"]
