@@ -59,8 +59,26 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def as_signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+#: Bits of a bitmap of ids: at most 2^20 rows of 64 bits are broadcast, however many ids there are.
+BITMAP_BITS = 26
+
+
+def split_by_ids(df: DataFrame, id_of: Column, ids: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(inside, outside): the rows of ``df`` whose id may be among ``ids`` (column id: bigint), and those where it is not.
+
+    ``ids`` become a bitmap, by id modulo 2^bits, of fixed size, so it can be broadcast whatever their number and
+    the rows of ``df`` are not shuffled.  A full bitmap only lets more rows inside; none is lost.
+    """
+    def slot(c):
+        return c.bitwiseAND(F.lit((1 << bits) - 1))
+
+    words = (ids.select(F.shiftright(slot(F.col("id")), 6).alias("__block"), slot(F.col("id")).bitwiseAND(F.lit(63)).cast("int").alias("__bit"))
+             .groupBy("__block").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__word")))
+    joined = (df.withColumn("__slot", slot(id_of)).withColumn("__block", F.shiftright("__slot", 6))
+              .join(F.broadcast(words), "__block", "left")
+              .withColumn("__hit", F.coalesce(F.expr("shiftright(__word, cast(__slot & 63 as int)) & 1L = 1L"), F.lit(False))))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return joined.where("__hit").select(*columns), joined.where("not __hit").select(*columns)
 
 
 # ---------------------------------------------------------------- word hashes in Arrow batches

@@ -12,7 +12,9 @@ containment:
 2. Document shingles are probed with the sketches.  Of a sketch of ``k`` values
    a document that qualifies can lack no more than the item may lack, so it has
    at least ``k - lacking`` of them: the candidates hold every match.
-3. Candidates are verified by exact containment of the shingle texts.
+3. Candidates are verified by exact containment of the shingle texts.  Only the
+   candidate documents are moved for it (a bitmap of fixed size leaves the others
+   out; a full one only lets more pass).
 
 Everything is DataFrame functions.  Documents are exploded once, each shingle
 against the sketches (a few values an item); they are broadcast if a count
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, let, stored, words_of
+from .common import fits_broadcast, let, split_by_ids, stored, words_of
 
 #: Rows of a sketch or item table that may be broadcast (about 32 bytes and 2 kB a row).
 SKETCH_ROWS, ITEM_ROWS = 2_000_000, 20_000
@@ -104,7 +106,9 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
 
     sets = known.select("item", F.col("id").alias("item_id"), shingle_set(F.col("text"), n).alias("wanted"))
     sets = F.broadcast(sets) if fits_broadcast(known, ITEM_ROWS) else sets
-    named = texts.withColumn("row", row_key(F.col("doc"), F.col("body")))
+    # only documents with a candidate are moved: the others do not pass the bitmap
+    named, _ = split_by_ids(texts.withColumn("row", row_key(F.col("doc"), F.col("body"))), F.xxhash64("row"),
+                            candidates.select(F.xxhash64("row").alias("id")))
     # one row a document here: its candidate items are an array no longer than the items
     found = candidates.groupBy("row").agg(F.collect_list("item").alias("items"))
     held = (named.join(found, "row").dropDuplicates(["row"])
@@ -120,6 +124,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5,
                   doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """``docs`` without the documents that hold a test item; columns as given."""
-    bad = find_items(docs, items, threshold, n, doc_id, text, **names).select("__row").distinct()
-    return (docs.withColumn("__row", row_key(F.col(doc_id), F.col(text)))
-            .join(bad, "__row", "left_anti").drop("__row"))
+    bad = stored(find_items(docs, items, threshold, n, doc_id, text, **names).select("__row").distinct(), "contaminated")
+    keyed = docs.withColumn("__row", row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    doubtful, clean = split_by_ids(keyed, F.xxhash64("__row"), bad.select(F.xxhash64("__row").alias("id")))
+    return clean.unionByName(doubtful.join(bad, "__row", "left_anti")).drop("__row")

@@ -41,12 +41,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored
+from .common import BITMAP_BITS, mix64, split_by_ids, stored
 
 MIN_FUZZY = 20
 SEGMENTS = 16
-#: Bits of the bitmap that filters the second scan: at most 2^20 rows of 64 bits are broadcast.
-BITMAP_BITS = 26
 _GRID = 16
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BLANKS = " \t\v\f\r"
@@ -195,13 +193,6 @@ def near_lines(candidates: DataFrame, segments: int = SEGMENTS) -> DataFrame:
             .select("key").distinct())
 
 
-def _bitmap(ids: DataFrame, bits: int) -> DataFrame:
-    """(block, word): a bitmap of ids modulo 2^bits, as at most 2^(bits - 6) rows."""
-    slot = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
-    return (ids.select(F.shiftright(slot, 6).alias("block"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-            .groupBy("block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")))
-
-
 def line_places(docs: DataFrame, min_fuzzy: int = MIN_FUZZY, doc_id: str = "doc_id", text: str = "text",
                 bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """(doc, row, no, near): place of each distinct line's first occurrence; whether an earlier line is near it."""
@@ -213,11 +204,8 @@ def line_places(docs: DataFrame, min_fuzzy: int = MIN_FUZZY, doc_id: str = "doc_
     ends = first.select("id", F.explode("ends").alias("end")).distinct()
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("end")
     wanted = stored(ends.join(shared, "end").select("id").distinct(), "wanted")
-    slot = F.xxhash64("line").bitwiseAND(F.lit((1 << bitmap_bits) - 1))
-    passed = (lines.where(F.length("line") >= min_fuzzy)
-              .withColumn("block", F.shiftright(slot, 6)).join(F.broadcast(_bitmap(wanted, bitmap_bits)), "block")
-              .where(F.expr("(word >> cast(xxhash64(line) & 63 as int)) & 1L = 1L"))
-              .select(F.xxhash64("line").alias("id"), F.unhex(F.md5("line")).alias("key"), "doc", "row", "no", "line"))
+    passed, _ = split_by_ids(lines.where(F.length("line") >= min_fuzzy), F.xxhash64("line"), wanted, bitmap_bits)
+    passed = passed.select(F.unhex(F.md5("line")).alias("key"), "doc", "row", "no", "line")
     here = F.struct("doc", "row", "no")
     texts = (passed.join(first.join(wanted, "id", "left_semi").select("key", "first"), "key")
              .where(here.eqNullSafe(F.col("first"))).dropDuplicates(["key"]).select("key", "first", "line"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import split_by_ids, stored
 from .components import components, local_roots
 from .decontaminate import row_key
 
@@ -277,7 +277,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     Of rows equal in doc_id and text one stays.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    stay = (near_duplicates(docs, doc_id=doc_id, text=text, **options).groupBy("__group")
-            .agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row")))
+    found = stored(near_duplicates(docs, doc_id=doc_id, text=text, **options).select("__group", "doc_id", "__row"), "members")
+    stay = stored(found.groupBy("__group").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row")), "stay")
+    # rows that go, and rows that repeat, are looked at; all others stay where they are
+    doubtful = (found.select("__row").join(stay, "__row", "left_anti")
+                .union(found.groupBy("__row").count().where("count > 1").select("__row")))
     keyed = docs.withColumn("__row", row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    return keyed.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    inside, outside = split_by_ids(keyed, F.xxhash64("__row"), doubtful.select(F.xxhash64("__row").alias("id")))
+    return outside.unionByName(inside.join(stay, "__row", "left_semi").dropDuplicates(["__row"])).drop("__row")
