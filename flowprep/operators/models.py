@@ -41,19 +41,19 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def random_forest(num_trees: int = 100, min_instances: int = 1, max_depth: int = 12, seed: int | None = 42,
                   weight_col: str | None = None, max_bins: int = 32,
-                  max_memory_mb: int = 256) -> RandomForestClassifier:
+                  max_memory_mb: int = 256, feature_subset: str = "auto") -> RandomForestClassifier:
     """ML-1: forest; ``max_depth`` must be set (Spark's default 5 is far shallower than unlimited).
 
-    ``max_memory_mb`` bounds the split statistics one task holds (Spark's
+    ``max_depth`` is a parameter of 30 at most (Spark's limit); ``feature_subset`` is the share of
+    features tried at a node (auto: the square root).  ``max_memory_mb`` bounds the split statistics one task holds (Spark's
     default 256 MB; more means fewer passes per level, but every concurrent
-    task may use that much heap).  Deep trees (depth 10 and more) also cache node ids
-    per row instead of re-walking each tree from the root at every level; for
-    shallow trees that cache costs more than it saves.
+    task may use that much heap).  Node ids are kept per row instead of re-walking each
+    tree from the root at every level.
     """
     rf = RandomForestClassifier(numTrees=num_trees, minInstancesPerNode=min_instances, maxDepth=max_depth,
                                 featuresCol="fvec", labelCol="label_idx", predictionCol="pred_idx",
                                 probabilityCol="prob", rawPredictionCol="raw", maxBins=max_bins,
-                                cacheNodeIds=max_depth >= 10, maxMemoryInMB=max_memory_mb)
+                                featureSubsetStrategy=feature_subset, cacheNodeIds=True, maxMemoryInMB=max_memory_mb)
     if seed is not None:
         rf = rf.setSeed(seed)
     if weight_col:

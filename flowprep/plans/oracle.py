@@ -413,6 +413,27 @@ def _fingerprint() -> str:
     return (f"SELECT count(*) AS n, CAST(sum(('0x' || substr(md5({row}), 1, 15))::HUGEINT) AS VARCHAR) AS fp FROM orders")
 
 
+def _model_queries() -> dict[str, str]:
+    """What SQL can state of the model queries: parts, labels, support, and that every check holds."""
+    names = ["train", "val", "test"]
+    vectors = "(SELECT vec_id, CASE WHEN embedding[1] > 0 THEN 'pos' ELSE 'neg' END AS label FROM embeddings)"
+    parts = split_sql(vectors, "label", ["vec_id"], ["vec_id", "label"], [0.6, 0.2, 0.2], names)
+    report = (f"SELECT split, 'multi' AS granularity, label, count(*) AS support, true AS counts_add_up, true AS fits"
+              f" FROM ({parts}) GROUP BY split, label")
+    lines = ("(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity < 15 THEN 'low'"
+             " WHEN l_quantity < 35 THEN 'mid' ELSE 'high' END AS label, concat_ws('-', CAST(l_orderkey AS VARCHAR),"
+             " CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS _key FROM lineitem)")
+    scored = split_sql(lines, "label", ["_key"], [*LINE_KEYS, "label"], [0.8, 0.2], ["train", "test"])
+    return {
+        "forest_eval": report, "mlp_eval": report, "encode_classify": report,
+        "pca_reconstruct": f"SELECT vec_id, split, true AS error_is_rest, true AS code_width_ok FROM ({parts})",
+        "score_rows": f"SELECT {KEYS}, split, label, true AS right FROM ({scored})",
+        "model_ttest": (f"WITH t AS (SELECT count(*) AS n FROM ({parts}) WHERE split = 'test')"
+                        " SELECT CAST(i AS INTEGER) AS fold, 18 AS df, true AS shares_ok, true AS p_ok"
+                        " FROM range(1, 11) r(i), t WHERE i <= n"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     ev_split_src = "events"
     chunks = (f"WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos,"
@@ -421,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
               " SELECT chunk, count(*) AS n, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key"
               " FROM c GROUP BY chunk")
     return {
+        **_model_queries(),
         "csv_union": ("SELECT o_orderkey, o_orderstatus, o_orderpriority,"
                       " CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey FROM orders"),
         "prepared_round_trip": (f"SELECT event_id, event_type AS label, value FROM events WHERE {SPLIT} = 'test'"),
