@@ -74,13 +74,41 @@ def logistic(max_iter: int = 100) -> LogisticRegression:
                               predictionCol="pred_idx", probabilityCol="prob", rawPredictionCol="raw")
 
 
+def encode_then_classify(n_components: int = 8, classifier: str = "logistic", **params):
+    """ML-5: centring, PCA and a classifier on the code, as one estimator (a Spark ML pipeline).
+
+    ``split.two_part_roles`` gives the parts when encoder and classifier are to be fitted on different rows.
+    """
+    from pyspark.ml import Pipeline
+    last = create_model(classifier, **params).setFeaturesCol("code_vec")
+    return Pipeline(stages=[StandardScaler(withMean=True, withStd=False, inputCol="fvec", outputCol="cvec"),
+                            PCA(k=n_components, inputCol="cvec", outputCol="code_vec"), last])
+
+
 MODEL_FACTORIES: dict[str, Callable[..., object]] = {
     "rf": random_forest,
     "ann": mlp,
     "logistic": logistic,
+    "ae_ann": encode_then_classify,
 }
 
 
+def model_params(name: str, given: dict, n_features: int, n_classes: int) -> dict:
+    """Of the given experiment parameters those that the named model takes; widths come from the data."""
+    import inspect
+    if name not in MODEL_FACTORIES:
+        raise ValueError(f"unknown model {name!r}; known: {sorted(MODEL_FACTORIES)}")
+    widths = {"n_features": n_features, "n_classes": n_classes, "hidden": given.get("units", [n_features])}
+    out = {}
+    for key in inspect.signature(MODEL_FACTORIES[name]).parameters:
+        if key in given:
+            out[key] = given[key]
+        elif key in widths:
+            value = widths[key]
+            out[key] = [int(v) for v in (value if isinstance(value, (list, tuple)) else [value])] if key == "hidden" else value
+    return out
+
+
 def create_model(name: str, **params):
     """ML-6: estimator by name; an unknown name is an error."""
     if name not in MODEL_FACTORIES:
@@ -89,11 +117,13 @@ def create_model(name: str, **params):
 
 
 def load_model(path: str) -> Model:
-    """SNK-7 reload: a saved forest, perceptron or logistic model (whichever the folder holds)."""
+    """SNK-7 reload: a saved forest, perceptron, logistic or pipeline model (whichever the folder holds)."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import (LogisticRegressionModel, MultilayerPerceptronClassificationModel,
                                            RandomForestClassificationModel)
     errors = []
-    for cls in (RandomForestClassificationModel, MultilayerPerceptronClassificationModel, LogisticRegressionModel):
+    for cls in (RandomForestClassificationModel, MultilayerPerceptronClassificationModel, LogisticRegressionModel,
+                PipelineModel):
         try:
             return cls.load(path)
         except Exception as e:  # noqa: BLE001  (wrong class for this folder: try the next)

@@ -170,36 +170,54 @@ def prepare_sequences(spark: SparkSession, path: str, length: int = 32, merge_va
 
 def run_experiment(spark: SparkSession, params: Mapping[str, object], report_dir: str | None = None) -> dict:
     """JOB-10 for one typed spec row: actions train_test, test_only, compute_prediction_time,
-    stat_test_2_models (the last two need stored models)."""
+    stat_test_2_models (the last two need stored models).
+
+    ``model_location`` / ``model2_location`` (or ``model_path`` / ``model_path_2``) name model folders;
+    ``class_weights`` 1 weighs rows by AGG-18; ``unsupervised_ratio`` leaves that share of train out of the
+    fit (SPL-4), ``dataset_split_ratio`` keeps the later part of train only (SPL-5).
+    """
     action = params.get("action", "train_test")
+    path1 = params.get("model_path", params.get("model_location"))
+    path2 = params.get("model_path_2", params.get("model2_location"))
     data, codes = prepare_tabular(spark, str(params["dataset_dir"]),
                                   params.get("training_set") == "train_valid_concat")
-    prepared = models.prepare_labelled(data, codes).cache()
+    prepared = cut_lineage(models.prepare_labelled(data, codes).drop("fvec"))
+    prepared = models.with_vector(prepared)
     normal = params.get("normal_label")
     result: dict = {"action": action}
     if action in ("train_test", "test_only"):
         if action == "train_test":
             name = str(params.get("model", "rf"))
-            est = models.create_model(name, **dict(params.get("model_params", {})))
-            model, took = models.train(est, prepared.where(F.col("split") == "train"), params.get("model_path"))
+            fit_on = prepared.where(F.col("split") == "train")
+            fit_on = split.data_efficiency_subset(fit_on, "label", "row_id", float(params.get("dataset_split_ratio") or 0))
+            if params.get("unsupervised_ratio") is not None:
+                fit_on = split.two_part_roles(fit_on, "label", "row_id", float(params["unsupervised_ratio"]))
+                fit_on = fit_on.where(F.col("role") != "unsup").drop("role")
+            wanted = {**params, **dict(params.get("model_params", {}))}
+            if str(params.get("class_weights", "0")) in ("1", "1.0", "True", "true"):
+                fit_on = labels.with_class_weight(fit_on, "label")
+                wanted["weight_col"] = "weight"
+            width = data.select(F.size("features")).first()[0]
+            est = models.create_model(name, **models.model_params(name, wanted, width, codes.count()))
+            model, took = models.train(est, fit_on, str(path1) if path1 else None)
             result["train_seconds"] = took
         else:
-            model = models.load_model(str(params["model_path"]))
+            model = models.load_model(str(path1))
         tables = models.test_classifier(model, prepared, codes, normal=str(normal) if normal else None)
         if report_dir:
             io.write_report(tables, report_dir, str(params.get("experiment_num", "run")))
         result["tables"] = tables
     elif action == "compute_prediction_time":
         from ..operators.stats import prediction_timing
-        model = models.load_model(str(params["model_path"]))
+        model = models.load_model(str(path1))
         n = int(params.get("num_samples", 100000))
         reps = int(params.get("repetitions", 6))
         train = prepared.where(F.col("split") == "train").withColumn("_k", F.col("row_id").cast("string"))
         samples = [split.hash_sample(train, "_k", n, seed=i) for i in range(1, reps + 1)]   # SMP-2
         result["timing"] = prediction_timing(lambda f: model.transform(f), samples)
     elif action == "stat_test_2_models":
-        m1 = models.load_model(str(params["model_path"]))
-        m2 = models.load_model(str(params["model_path_2"]))
+        m1 = models.load_model(str(path1))
+        m2 = models.load_model(str(path2))
         test = prepared.where(F.col("split") == "test")
         s1 = models.score(m1, test, codes, keep=["row_id", "label"]).withColumnRenamed("label", "y_true")
         s2 = models.score(m2, test, codes, keep=["row_id"])
@@ -209,6 +227,19 @@ def run_experiment(spark: SparkSession, params: Mapping[str, object], report_dir
     return result
 
 
-def run_grid(spark: SparkSession, spec_path: str) -> DataFrame:
-    """SRC-7 + CLN-8/9: the typed, defaulted spec table (one row per parameter)."""
-    return typed_specs(with_defaults(read_specs(spark, spec_path)))
+def grid_params(spark: SparkSession, spec_path: str) -> list[dict]:
+    """SRC-7 + CLN-8/9: one dict of typed, defaulted parameters per row of the spec file (a list of experiments)."""
+    rows: dict[str, dict] = {}
+    for r in typed_specs(with_defaults(read_specs(spark, spec_path))).collect():
+        out = rows.setdefault(r["experiment_num"], {"experiment_num": r["experiment_num"]})
+        one = lambda x, text: x["int_value"] if x["kind"] == "int" else x["float_value"] if x["kind"] == "float" else text
+        if r["kind"] == "list":
+            out[r["key"]] = [one(i, i["text"]) for i in r["items"]]
+        elif r["kind"] is not None:
+            out[r["key"]] = one(r, r["raw"])
+    return list(rows.values())
+
+
+def run_grid(spark: SparkSession, spec_path: str, report_dir: str | None = None) -> dict[str, dict]:
+    """JOB-10: every experiment of the spec file, in file order; results by experiment number."""
+    return {str(p["experiment_num"]): run_experiment(spark, p, report_dir) for p in grid_params(spark, spec_path)}

@@ -197,3 +197,29 @@ def test_parquet_files_fresh_index(spark, tmpdir_path):
     got = [(r["id"], r["row_id"]) for r in df.orderBy("row_id").collect()]
     # files in name order (a_part first), rows in file order
     assert got == [(100, 0), (101, 1), (102, 2), (0, 3), (1, 4), (2, 5), (3, 6), (4, 7)]
+
+
+def test_grid_runs_every_spec_row(spark, tmpdir_path):
+    rows = [(i, "train" if i < 90 else "test", "normal" if i % 3 else "dos", [float(i % 3 == 0), float(i % 5), float(i % 7)])
+            for i in range(120)]
+    path = os.path.join(tmpdir_path, "prep")
+    io.write_prepared(spark.createDataFrame(rows, "row_id long, split string, label string, features array<double>"), path)
+    spec = _write(os.path.join(tmpdir_path, "grid.csv"),
+                  "experiment_num,dataset_dir,model,num_trees,max_depth,units,class_weights,normal_label,model_location,dataset_split_ratio,action\n"
+                  f"1,{path},rf,5,4,,1,normal,{tmpdir_path}/m1,,train_test\n"
+                  f"# {path}\n"
+                  f"2,{path},ann,,,\"4,3\",0,normal,{tmpdir_path}/m2,0.3,train_test\n"
+                  f"3,{path},ae_ann,,,,0,normal,{tmpdir_path}/m3,,train_test\n"
+                  f"4,{path},rf,,,,0,normal,{tmpdir_path}/m1,,test_only\n")
+    assert jobs.grid_params(spark, spec)[1]["units"] == [4, 3]
+    report = os.path.join(tmpdir_path, "report")
+    params = jobs.grid_params(spark, spec)
+    params[2]["n_components"] = 2
+    done = {str(p["experiment_num"]): jobs.run_experiment(spark, p, report) for p in params}
+    assert set(done) == {"1", "2", "3", "4"}
+    back = spark.read.parquet(os.path.join(report, "average_metrics")).where("split = 'test' and avg_type = 'micro' and granularity = 'multi'")
+    acc = {str(r["run"]): r["acc"] for r in back.collect()}
+    assert set(acc) == {"1", "2", "3", "4"} and acc["1"] == acc["4"] == 1.0
+    again = jobs.run_grid(spark, _write(os.path.join(tmpdir_path, "one.csv"), "experiment_num,dataset_dir,model,num_trees,max_depth\n"
+                                        f"1,{path},rf,3,3\n"), report)
+    assert set(again) == {"1"}

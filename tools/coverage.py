@@ -36,6 +36,9 @@ QUERY_IDS = {
     "pca_reconstruct": "ML-4 AGG-11", "encode_classify": "ML-5 SPL-4", "score_rows": "ML-2 ML-10 AGG-22",
     "merge_validation": "SPL-6", "score_argmax": "FN-10 FN-11", "strict_cast": "FN-5 CLN-3",
     "model_ttest": "ML-9 WIN-4 AGG-12 AGG-13",
+    "split_null_keys": "SPL-1", "category_positions": "ENC-1 ENC-2", "csv_union": "SRC-1 SRC-2 SNK-2",
+    "prepared_round_trip": "SRC-4 SRC-5 SNK-1", "keyed_round_trip": "SRC-6 SNK-4", "chunks_round_trip": "SNK-3",
+    "report_round_trip": "SNK-5", "history_round_trip": "SNK-6", "scaler_round_trip": "SNK-7",
 }
 
 
