@@ -14,7 +14,26 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, min_fuzzy):
+def within_one(a, b):
+    """Edit distance of at most one: what is left between the common ends is one character at most."""
+    at = 0
+    while at < min(len(a), len(b)) and a[at] == b[at]:
+        at += 1
+    end = 0
+    while end < min(len(a), len(b)) - at and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return max(len(a), len(b)) - at - end <= 1
+
+
+def test_within_one():
+    rng = random.Random(7)
+    for _ in range(2000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 7)))
+        b = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 7)))
+        assert within_one(a, b) == (distance(a, b) <= 1)
+
+
+def brute(rows, min_fuzzy=line_dedup.MIN_FUZZY):
     """Texts after dedup, by comparing every line with every earlier one."""
     places, out = {}, {}
     for doc, text in sorted(rows):
@@ -23,7 +42,7 @@ def brute(rows, min_fuzzy):
             if line:
                 places.setdefault(line, (doc, no))
     near = {a for a in places if len(a) >= min_fuzzy and any(
-        places[b] < places[a] and len(b) >= min_fuzzy and abs(len(a) - len(b)) < 2 and distance(a, b) == 1 for b in places)}
+        places[b] < places[a] and len(b) >= min_fuzzy and abs(len(a) - len(b)) < 2 and within_one(a, b) for b in places)}
     for doc, text in rows:
         kept, had = [], 0
         for no, raw in enumerate(text.split("\n")):
