@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .position import group_position, segmented_scan
 
 
@@ -49,6 +50,7 @@ def early_stop_epoch(hist: DataFrame, run: str, patience: int, epoch: str = "epo
     (range partitions over ``(run, epoch)``).
     """
     keys = ["_gk", "_gn"] if "_gk" in hist.columns else run
+    hist = cut_lineage(hist)  # both scans and the epoch counts read the numbered epochs, none numbers them anew
     prev = segmented_scan(hist, keys, epoch, loss, "min", "preceding", "_prev_min")
     rec = prev.withColumn("_improved", F.col("_prev_min").isNull() | (F.col(loss) < F.col("_prev_min")))
     rec = rec.withColumn("_rec_epoch", F.when(F.col("_improved"), F.col(epoch)))

@@ -103,12 +103,16 @@ def map_labels(df: DataFrame, label_col: str, mapping: Mapping[str, str] | DataF
     """CLN-5 / JOIN-3: map labels through a dictionary; unmapped values stay.
 
     A Python dict becomes a literal map (constant folded, no join).  A mapping
-    table ``(key, value)`` is joined left, broadcast after a row-count check.
+    table ``(key, value)`` is joined left; a key with two values is an error (it would double rows).
     """
     out_col = out_col or label_col
     lab = F.col(label_col)
     if isinstance(mapping, DataFrame):
-        m = mapping.select(F.col("key").alias("_mk"), F.col("value").alias("_mv"))
+        pairs = mapping.select(F.col("key").alias("_mk"), F.col("value").alias("_mv")).distinct()
+        # the check is part of the join: no second job
+        m = (pairs.groupBy("_mk").agg(F.count(F.lit(1)).alias("_n"), F.first("_mv").alias("_mv"))
+             .withColumn("_mv", F.when(F.col("_n") == 1, F.col("_mv")).otherwise(
+                 F.raise_error(F.concat(F.lit("two values for the label "), F.col("_mk"))))).drop("_n"))
         joined = df.join(m, lab == F.col("_mk"), "left")
         return joined.withColumn(out_col, F.coalesce("_mv", lab)).drop("_mk", "_mv")
     lit_map = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
@@ -138,7 +142,7 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:
     """Attach AGG-18 weights as a column (for ``weightCol``); joined on the label.
 
-    The weight table (one row per class) is materialised, then broadcast after a row-count check.
+    The weight table (one row per class) is materialised.
     """
     w = cut_lineage(class_weights(df, label_col)
                     .select(F.col("label").alias(label_col), F.col("weight").alias(weight_col)))

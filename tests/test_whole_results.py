@@ -86,3 +86,12 @@ def test_report_is_replaced_by_a_rerun(spark, tmpdir_path):
     for run in ("a", "b", "a"):
         io.write_report({"t": t}, tmpdir_path, run)
     assert sorted(r.run for r in spark.read.parquet(os.path.join(tmpdir_path, "t")).collect()) == ["a", "b"]
+
+
+def test_label_with_two_values_fails(spark):
+    from flowprep.operators import labels
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "label string")
+    table = spark.createDataFrame([("a", "x"), ("a", "x")], "key string, value string")
+    assert sorted(str(r.label) for r in labels.map_labels(df, "label", table).collect()) == ["None", "b", "x"]
+    with pytest.raises(Exception, match="two values for the label a"):
+        labels.map_labels(df, "label", table.union(spark.createDataFrame([("a", "y")], table.schema))).collect()
