@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col_, one_hot
 from ..session import cut_lineage
+from .labels import sorted_labels
 from .position import with_position
 
 
@@ -78,9 +79,7 @@ def fit_label_codes(*frames: DataFrame, label_col: str = "label", start: int = 0
     size checks and joins do not rescan the inputs.  It never passes through
     the driver.
     """
-    parts = [f.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-             for f in frames]
-    labels = reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    labels = sorted_labels(*frames, label_col=label_col).where(F.col("label").isNotNull())
     # numbered by range position: no dictionary, small or large, is sorted in one task
     return cut_lineage(with_position(labels, ["label"], "_pos").select(
         "label", (F.col("_pos") + start).cast("int").alias("code")))

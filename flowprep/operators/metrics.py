@@ -8,13 +8,12 @@ sparse; ``dense_confusion`` adds the empty cells.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import squared_distance, threshold
+from ..functions.exprs import contains_ignore_case, squared_distance, threshold
 from ..session import cut_lineage
 
 RATIOS = ["tpr", "tnr", "ppv", "npv", "fpr", "fnr", "fdr", "acc", "f1"]
@@ -116,17 +115,16 @@ def binary_confusion(conf: DataFrame, normal: str, attack_label: str = "attack",
     (case-insensitive substring, taken literally); otherwise the job fails."""
     by = list(by)
     normal_label = normal_label or normal
-    pattern = "(?i)" + re.escape(normal)
     labels = (conf.select(*by, F.col("y_true").alias("label"))
               .unionByName(conf.select(*by, F.col("y_pred").alias("label"))).distinct())
-    n_match = labels.groupBy(*by).agg(F.sum(F.col("label").rlike(pattern).cast("int")).alias("_nm"))
+    n_match = labels.groupBy(*by).agg(F.sum(contains_ignore_case("label", normal).cast("int")).alias("_nm"))
     joined = conf.join(n_match, by, "left") if by else conf.crossJoin(n_match)  # one row
     ok = F.col("_nm") == 1
     err = F.raise_error(F.concat(F.lit(f"expected one label matching '{normal}', found "),
                                  F.col("_nm").cast("string")))
 
     def relabel(c: str) -> Column:
-        v = F.when(F.col(c).rlike(pattern), F.lit(normal_label)).otherwise(F.lit(attack_label))
+        v = F.when(contains_ignore_case(c, normal), F.lit(normal_label)).otherwise(F.lit(attack_label))
         return F.when(ok, v).otherwise(err)
 
     # four cells per group, all of them, also those with nothing in them

@@ -188,18 +188,17 @@ def fit_pca(train_df: DataFrame, k: int, features: str = "features"):
 def pca_reconstruct(df: DataFrame, centre, pca, features: str = "features") -> DataFrame:
     """ML-4: encode to ``k`` dims and decode back: ``recon = mean + V z``."""
     enc = pca.transform(centre.transform(with_vector(df, features)))
-    spark = df.sparkSession
     v = pca.pc.toArray()  # d x k loadings: a fixed-size model parameter
     mean = list(map(float, centre.mean.toArray()))
-    cols = F.array(*[F.lit(float(x)) for x in v.reshape(-1)])
-    d, k = v.shape
     z = vector_to_array("code_vec")
-    recon = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda i: F.element_at(F.array(*[F.lit(m) for m in mean]), i + 1)
-                        + F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
-                                      lambda acc, j: acc + F.element_at(cols, i * k + j + 1) * F.element_at(z, j + 1)))
-    del spark
-    return enc.withColumn("recon", recon).withColumn("encoded", z)
+
+    @F.pandas_udf("array<double>")
+    def decode(codes):  # Arrow batches: one matrix product each
+        import numpy as np
+        import pandas as pd
+        return pd.Series(list(np.stack(codes) @ v.T + mean)) if len(codes) else pd.Series([], dtype=object)
+
+    return enc.withColumn("encoded", z).withColumn("recon", decode("encoded"))
 
 
 def statistical_test(scored1: DataFrame, scored2: DataFrame, order: Sequence[str], key: str,

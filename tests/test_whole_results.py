@@ -95,3 +95,25 @@ def test_label_with_two_values_fails(spark):
     assert sorted(str(r.label) for r in labels.map_labels(df, "label", table).collect()) == ["None", "b", "x"]
     with pytest.raises(Exception, match="two values for the label a"):
         labels.map_labels(df, "label", table.union(spark.createDataFrame([("a", "y")], table.schema))).collect()
+
+
+def test_small_helpers(spark):
+    from flowprep.operators import clean
+    from flowprep.session import cluster_conf
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "x int, Label string")
+    assert clean.drop_label(df).columns == ["x"]
+    p = clean.profile(df, 2)
+    assert p["rows"] == 3 and len(p["head"]) == 2 and p["schema"] == "struct<x:int,Label:string>"
+    conf = cluster_conf(100)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 * 1024 // 256
+
+
+def test_pca_decode(spark):
+    import numpy as np
+    from flowprep.operators import models
+    rng = np.random.default_rng(1)
+    flat = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 6)) + 3.0  # a plane in six dimensions
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(flat)], "id int, features array<double>")
+    centre, pca = models.fit_pca(df, 2)
+    for r in models.pca_reconstruct(df, centre, pca).collect():
+        assert np.allclose(r.recon, r.features, atol=1e-8) and len(r.encoded) == 2
