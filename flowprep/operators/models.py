@@ -39,12 +39,16 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
 
 
-def random_forest(num_trees: int = 100, min_instances: int = 1, max_depth: int = 12, seed: int | None = 42,
+#: The largest depth that Spark's trees can have: as near as they come to unlimited.
+MAX_DEPTH = 30
+
+
+def random_forest(num_trees: int = 100, min_instances: int = 1, max_depth: int = MAX_DEPTH, seed: int | None = 42,
                   weight_col: str | None = None, max_bins: int = 32,
                   max_memory_mb: int = 256, feature_subset: str = "auto") -> RandomForestClassifier:
-    """ML-1: forest; ``max_depth`` must be set (Spark's default 5 is far shallower than unlimited).
+    """ML-1: forest; trees grow to Spark's limit of depth unless ``max_depth`` says less.
 
-    ``max_depth`` is a parameter of 30 at most (Spark's limit); ``feature_subset`` is the share of
+    ``feature_subset`` is the share of
     features tried at a node (auto: the square root).  ``max_memory_mb`` bounds the split statistics one task holds (Spark's
     default 256 MB; more means fewer passes per level, but every concurrent
     task may use that much heap).  Node ids are kept per row instead of re-walking each
