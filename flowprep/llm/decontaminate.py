@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import fits_broadcast, let, split_by_ids, stored, words_of
 
-#: Rows of a sketch or item table that may be broadcast (about 32 bytes and 2 kB a row).
-SKETCH_ROWS, ITEM_ROWS = 2_000_000, 20_000
+#: Rows of sketches (32 bytes each) and bytes of item texts (their shingles take about six times that) that may be broadcast.
+SKETCH_ROWS, ITEM_BYTES = 500_000, 8 << 20
 
 
 def _shingles(words: Column, n: int, hashed: bool) -> Column:
@@ -105,7 +105,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
     candidates = stored(hits, "candidates")
 
     sets = known.select("item", F.col("id").alias("item_id"), shingle_set(F.col("text"), n).alias("wanted"))
-    sets = F.broadcast(sets) if fits_broadcast(known, ITEM_ROWS) else sets
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    sets = F.broadcast(sets) if size <= ITEM_BYTES else sets
     # only documents with a candidate are moved: the others do not pass the bitmap
     named, _ = split_by_ids(texts.withColumn("row", row_key(F.col("doc"), F.col("body"))), F.xxhash64("row"),
                             candidates.select(F.xxhash64("row").alias("id")))

@@ -37,7 +37,7 @@ def test_shuffle_joins_give_the_same(spark, docs, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.find_items(docs, items).drop("__row").collect()))
     monkeypatch.setattr(decontaminate, "SKETCH_ROWS", 0)
-    monkeypatch.setattr(decontaminate, "ITEM_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 0)
     assert sorted(map(tuple, decontaminate.find_items(docs, items).drop("__row").collect())) == want and want
 
 
