@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -45,9 +46,14 @@ def open_input(uri: str):
 
 
 def write_array(uri: str, array: np.ndarray) -> None:
+    """Written under a name of its own, then moved to ``uri``: attempts of one task write equal arrays, and a reader
+    sees a whole one."""
     buffer = io.BytesIO()
     np.save(buffer, array)
-    write_bytes(uri, buffer.getbuffer())
+    own = f"{uri}.{uuid.uuid4().hex}"
+    write_bytes(own, buffer.getbuffer())
+    store, path = _store(uri)
+    store.move(_store(own)[1], path)
 
 
 def map_array(uri: str) -> np.ndarray:

@@ -27,8 +27,9 @@ the last term only.  The probabilities of V words and the unknown one add to 1.
 The arrays lie in the session's shared folder and are memory-mapped by the
 workers; a document's pairs are sorted before they are searched.  A shard holds
 the n-grams of about ``SHARD_BYTES`` of text, so its merge fits a task; tasks
-hand counts on every ``FLUSH`` keys.  File names are new for each attempt, and
-only those of committed tasks are in the manifest: lost executors do no harm.
+hand counts on every ``FLUSH`` keys.  A file's name follows from its shard and it
+is moved into place whole; every attempt of a task writes the same bytes, so lost
+executors do no harm, and the driver holds a few numbers a shard.
 
 Defined results: null text is the empty text, whose only token is the end.  Rows
 may repeat; each counts.  A null id belongs to the fold of the empty text.  With
@@ -38,8 +39,6 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -139,10 +138,9 @@ def _by_range(h: np.ndarray, shards: int) -> np.ndarray:
 class Vocabulary:
     """Memory-mapped token arrays: ``find`` gives ids, ``gather`` values by id."""
 
-    def __init__(self, shards: int, files: dict[int, dict], sizes: dict[int, int]):
-        self.shards, self.files = shards, files
-        size = np.array([sizes.get(k, 0) for k in range(shards)], dtype=np.int64)
-        self.offsets = np.append(0, np.cumsum(size))
+    def __init__(self, folder: str, sizes: np.ndarray):
+        self.folder, self.sizes, self.shards = folder, sizes, len(sizes)
+        self.offsets = np.append(0, np.cumsum(sizes))
         self.maps: dict[tuple[int, str], np.ndarray] = {}
 
     def __len__(self) -> int:
@@ -150,7 +148,7 @@ class Vocabulary:
 
     def _map(self, shard: int, name: str) -> np.ndarray:
         if (shard, name) not in self.maps:
-            self.maps[shard, name] = map_array(self.files[shard][name])
+            self.maps[shard, name] = map_array(f"{self.folder}/words-{shard}-{name}.npy")
         return self.maps[shard, name]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -158,7 +156,7 @@ class Vocabulary:
         out = np.full(len(hashes), -1, dtype=np.int64)
         shard = _by_range(hashes, self.shards)
         for k in np.unique(shard).tolist():
-            if "hashes" in self.files.get(k, ()):
+            if self.sizes[k]:
                 here, known = np.flatnonzero(shard == k), self._map(k, "hashes")
                 at = np.minimum(np.searchsorted(known, hashes[here]), len(known) - 1)
                 hit = known[at] == hashes[here]
@@ -192,17 +190,13 @@ def _pairs(ids: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs: manifests of array files and a few numbers (pickled to the tasks)."""
-
-    def __init__(self, shards: int, words: list, pairs: list, ranges: list, n_docs: int):
-        self.shards = shards
-        self.word_files = {r.shard: {"hashes": r.keys_file, "counts": r.counts_file} for r in words}
-        self.sizes = {r.shard: r.n for r in words}
-        for r in ranges:
-            self.word_files.setdefault(r.shard, {}).update({x: f"{r.file}-{x}.npy" for x in ("total", "freed", "contexts")})
-        self.pair_files = {r.shard: (r.keys_file, r.counts_file) for r in pairs}
-        self.n_tokens, self.n_docs = sum(r.total for r in words), n_docs
-        self.size = sum(self.sizes.values())
+    """What scoring needs: the folder of the arrays and a few numbers (pickled to the tasks)."""
+
+    def __init__(self, folder: str, sizes: np.ndarray, n_tokens: int, pairs: list, ranges: list, n_docs: int):
+        self.folder, self.sizes, self.shards = folder, sizes, len(sizes)
+        self.pair_shards = np.zeros(self.shards, dtype=bool)
+        self.pair_shards[[r.shard for r in pairs]] = True
+        self.n_tokens, self.n_docs, self.size = n_tokens, n_docs, int(sizes.sum())
         self.pair_discounts = _discounts(np.sum([r.of for r in pairs], axis=0) if pairs else np.zeros(4))
         counts = np.sum([r.of for r in ranges], axis=0) if ranges else np.zeros(6)
         self.word_discounts = _discounts(counts[:4])
@@ -233,7 +227,7 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
-        self.vocabulary = Vocabulary(model.shards, model.word_files, model.sizes)
+        self.vocabulary = Vocabulary(model.folder, model.sizes)
         self.maps: dict[int, tuple] = {}
 
     def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -244,10 +238,10 @@ class Scorer:
         for a, b in zip(first, np.append(first[1:], len(keys)) if len(keys) else []):
             here = order[a:b]
             k = int(shard[here[0]])
-            if k not in self.m.pair_files:
+            if not self.m.pair_shards[k]:
                 continue
             if k not in self.maps:
-                self.maps[k] = tuple(map_array(f) for f in self.m.pair_files[k])
+                self.maps[k] = tuple(map_array(f"{self.m.folder}/pairs-{k}-{x}.npy") for x in ("keys", "counts"))
             known, counts = self.maps[k]
             at = np.minimum(np.searchsorted(known, keys[here]), len(known) - 1)
             out[here] = np.where(known[at] == keys[here], counts[at], 0)
@@ -307,24 +301,22 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
 
     def merge_words(table: pa.Table) -> pa.Table:
         keys, counts = _merged(*(table.column(c).to_pylist() for c in ("n", "keys", "counts")))
-        name = f"{folder}/words-{table.column('shard')[0].as_py()}-{uuid.uuid4().hex}"
-        write_array(f"{name}-hashes.npy", keys)
-        write_array(f"{name}-counts.npy", counts)
-        return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), "n": len(keys), "total": int(counts.sum()),
-                                      "keys_file": f"{name}-hashes.npy", "counts_file": f"{name}-counts.npy"}])
+        shard = table.column("shard")[0].as_py()
+        write_array(f"{folder}/words-{shard}-hashes.npy", keys)
+        write_array(f"{folder}/words-{shard}-counts.npy", counts)
+        return pa.Table.from_pylist([{"shard": shard, "n": len(keys), "total": int(counts.sum())}])
 
     words = stored(texts.mapInArrow(count_words, _BLOB).groupBy("shard").applyInArrow(
-        merge_words, "shard bigint, n bigint, total bigint, keys_file string, counts_file string"), "kn-words")
-    words = words.collect()  # one row a shard
-    files = {r.shard: {"hashes": r.keys_file} for r in words}
-    sizes = {r.shard: r.n for r in words}
-    n_words = sum(sizes.values())
+        merge_words, "shard bigint, n bigint, total bigint"), "kn-words").collect()  # one row a shard
+    sizes = np.zeros(shards, dtype=np.int64)
+    sizes[[r.shard for r in words]] = [r.n for r in words]
+    n_words = int(sizes.sum())
     if n_words >= 1 << 32:
         raise ValueError("more than 2^32 different tokens")
-    offsets = np.append(0, np.cumsum([sizes.get(k, 0) for k in range(shards)]))
+    offsets = np.append(0, np.cumsum(sizes))
 
     def count_pairs(batches):
-        hasher, counter, vocabulary = ByteHasher(), _Counter(), Vocabulary(shards, files, sizes)
+        hasher, counter, vocabulary = ByteHasher(), _Counter(), Vocabulary(folder, sizes)
         for batch in batches:
             for _, part in _row_slices(batch.column(0)):
                 tokens, ends = _sequence(hasher, part)
@@ -339,12 +331,11 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     def merge_pairs(table: pa.Table) -> pa.Table:
         keys, counts = _merged(*(table.column(c).to_pylist() for c in ("n", "keys", "counts")))
         shard = table.column("shard")[0].as_py()
-        name = f"{folder}/pairs-{shard}-{uuid.uuid4().hex}"
+        name = f"{folder}/pairs-{shard}"
         write_array(f"{name}-keys.npy", keys)
         kind = np.uint16 if counts.max() < 1 << 16 else np.uint64
         write_array(f"{name}-counts.npy", counts.astype(kind))
-        rows = [{"kind": -1, "shard": shard, "n": len(keys), "keys_file": f"{name}-keys.npy", "counts_file": f"{name}-counts.npy",
-                 "of": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}]
+        rows = [{"kind": -1, "shard": shard, "n": len(keys), "of": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}]
         # what the contexts and the words of these pairs add up to, by the range of their ids
         context, word = (keys >> np.uint64(32)), keys & np.uint64(0xFFFFFFFF)
         sums = [(0, *counted(context, counts)), *((k, *counted(context[counts == k])) for k in (1, 2)),
@@ -354,11 +345,11 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
             rows += _blobs(kind, at, ids, n).to_pylist()
         return pa.Table.from_pylist(rows, schema=pa.schema([
             ("kind", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()),
-            ("keys_file", pa.string()), ("counts_file", pa.string()), ("of", pa.list_(pa.int64()))]))
+            ("of", pa.list_(pa.int64()))]))
 
     merged = stored(texts.mapInArrow(count_pairs, _BLOB).groupBy("shard").applyInArrow(
-        merge_pairs, _BLOB + ", keys_file string, counts_file string, of array<bigint>"), "kn-pairs")
-    pairs = merged.where("kind = -1").select("shard", "n", "keys_file", "counts_file", "of").collect()  # one row a shard
+        merge_pairs, _BLOB + ", of array<bigint>"), "kn-pairs")
+    pairs = merged.where("kind = -1").select("shard", "of").collect()  # one row a shard
     d = _discounts(np.sum([r.of for r in pairs], axis=0) if pairs else np.zeros(4))
 
     def merge_ranges(table: pa.Table) -> pa.Table:
@@ -372,21 +363,20 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
             sums[kind, ids.astype(np.int64) - low] += counts
         total, contexts = sums[0], sums[4]
         freed = d[0] * sums[1] + d[1] * sums[2] + d[2] * sums[3]
-        name = f"{folder}/range-{shard}-{uuid.uuid4().hex}"
         for label, values in (("total", total), ("freed", freed), ("contexts", contexts)):
-            write_array(f"{name}-{label}.npy", values)
+            write_array(f"{folder}/words-{shard}-{label}.npy", values)
         start = sums[:4, -1].tolist() if shard == shards - 1 else [0] * 4
-        return pa.Table.from_pylist([{"shard": shard, "file": name, "start": start, "of": [
+        return pa.Table.from_pylist([{"shard": shard, "start": start, "of": [
             *(int((contexts == k).sum()) for k in (1, 2, 3, 4)), int((contexts >= 3).sum()), int(contexts.sum())]}])
 
     ranges = stored(merged.where("kind >= 0").select("kind", "shard", "n", "keys", "counts").groupBy("shard").applyInArrow(
-        merge_ranges, "shard bigint, file string, start array<bigint>, of array<bigint>"), "kn-ranges").collect()  # one row a shard
-    return Model(shards, words, pairs, ranges, size.n)
+        merge_ranges, "shard bigint, start array<bigint>, of array<bigint>"), "kn-ranges").collect()  # one row a shard
+    return Model(folder, sizes, sum(r.total for r in words), pairs, ranges, size.n)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # file names and sizes: a row a shard
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # nine bytes a shard
 
     def run(batches):
         hasher, scorer = ByteHasher(), shared.value.scorer()
