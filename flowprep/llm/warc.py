@@ -251,7 +251,9 @@ def read_captures(wanted: DataFrame, root: list[tuple]) -> DataFrame:
                         ["page_id", "key", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     order = [F.col("key"), F.coalesce("page_id", F.lit(_NO_ID))]
-    return (wanted.select("key", "page_id").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    # a stated number of ranges: the keys are small, the records behind them are not, so ranges are not to be merged
+    ranges = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (wanted.select("key", "page_id").distinct().repartitionByRange(ranges, *order).sortWithinPartitions(*order)
             .mapInArrow(run, "page_id bigint, key string, payload_bytes bigint, payload_digest string, record_type string, "
                              "refers_to bigint, payload binary"))
 
