@@ -7,9 +7,10 @@ links), and each relaxes the best score at its end from that at its start.  A
 character of no piece costs the worst score less 10 and becomes its UTF-8 bytes.
 
 A text is " " + text with blanks written as U+2581.  No piece has a blank after
-another character, nor a character of ``_APART`` beside another: a best
-segmentation is put together of those of the parts between, which are worked out
-once per task and kept in a bounded memo (it changes no result).
+another character, and line breaks and tabs that stand in no longer piece are
+pieces of their own: a best segmentation is put together of those
+of the parts between, which are worked out once per task and kept in a bounded
+memo (it changes no result).
 
 The vocabulary is a file of a public tokenizer; its path is a parameter, its
 pieces are broadcast (half a MB).  Its scores are merge ranks: the encoding is the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _BLANK = "▁"
-_APART = "\n\r\t"
+_APART = "\n\r\t"  # cut around, if no piece joins them to others
 _MEMO = 400_000
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -60,8 +61,9 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == _BYTE}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(_BLANK, " ").encode() if kind == _NORMAL
                     else " ⁇ ".encode() if kind == _UNKNOWN else b"" for p, _, kind in pieces]
-        whole = any(_BLANK in p.lstrip(_BLANK) or len(p) > 1 and set(p) & set(_APART) for _, p, _ in normal)
-        self.parts = re.compile(r"(?s).+" if whole else f"[{_APART}]|{_BLANK}*[^{_BLANK}{_APART}]+|{_BLANK}+")
+        apart = "".join(sorted(set(_APART) - {c for _, p, _ in normal if len(p) > 1 for c in p}))
+        whole = any(_BLANK in p.lstrip(_BLANK) for _, p, _ in normal)
+        self.parts = re.compile(r"(?s).+" if whole else f"[{apart}]|{_BLANK}*[^{_BLANK}{apart}]+|{_BLANK}+")
         self.memo: dict[str, bytes] = {}
         self.room = memo
 
