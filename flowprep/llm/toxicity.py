@@ -1,23 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are runs of letters in lower case.  Of the terms in a bounded, labelled
-sample (``max_rows``, the first in hash order of their ids) those are kept that
-set the classes apart: at least ``MIN_DOCS`` documents of one class, ``LIFT``
-times its share in the other, chi-square ``CHI``; the ``MAX_TERMS`` strongest.
-Their document frequencies are counted over all documents.  A document's vector
-is (1 + ln tf) * ln((N + 1) / (df + 1)) of these terms, of unit length.
-
-Index: examples with equal vectors lie together in blocks of ``BLOCK``.  Each term
-has its postings by block and the largest weight in each block.  A query adds up
-the bounds (query weight times block maximum) of all blocks, visits blocks in
-falling order of their bound, scores their examples exactly, and stops when
-the bound is below the k-th best cosine: the k nearest are exact, ties by
-example order.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index.
+
+Terms are runs of letters in lower case: all those of a bounded, labelled sample
+(``max_rows``, the first in hash order of their ids); none is left out.  Their
+document frequencies are counted over all documents.  A document's vector is
+(1 + ln tf) * ln((N + 1) / (df + 1)) * r of these terms, of unit length, where r
+is the root of the term's chi-square against the label in the sample plus
+``FLOOR``, so that words of either class weigh more than words of both.
+
+Index: the ``COMMON`` terms of most examples lie in a matrix, cut into blocks of
+``BLOCK`` examples with each term's largest weight in each block; all others have
+postings.  A query adds up its postings' products, bounds each block by its best
+sum so far plus query weight times block maximum, and visits the blocks whose bound
+reaches the k-th best sum.  The sums in the matrix are of 32 bits: all examples
+within ``SLACK`` of the k-th best are worked out again in 64.  The k nearest are
+exact, ties by example order.
 
 The k nearest vote with the square of their cosine, together with ``PRIOR`` votes
 of the sample's share; examples with no term are their own neighbours.  A logistic
-curve fitted on leave-one-out votes of the sample makes the vote a calibrated
-score.  The evidence is the nearest examples.
+curve fitted on leave-one-out votes of the sample (without terms that only the
+example itself has) makes the vote a calibrated score.  The evidence is the
+nearest examples.
 
 Defined results: null and empty texts have no term and get the calibrated score of
 such examples.  Rows may repeat.  Labels that are null, or of no document, are left
@@ -28,7 +30,10 @@ text is an input of a score.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -38,15 +43,22 @@ from pyspark.sql import functions as F
 
 from .quality_classifier import labelled_sample
 
-#: Labelled examples, at most; terms in the vectors, at most.
-MAX_ROWS, MAX_TERMS = 20_000, 5_000
-MIN_DOCS, LIFT, CHI = 8, 8.0, 40.0
+#: Labelled examples, at most; what is added to each term's weight, so that no term has none.
+MAX_ROWS, FLOOR = 20_000, 0.1
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.5
+#: Terms in the matrix; queries worked off together; more than rounding to 32 bits can change a cosine.
+COMMON, QUERIES, SLACK = 768, 256, 1e-4
+_SLABS = 64
 _TERM = re.compile(r"[^\W\d_]+")
+_LETTERS = "".join(chr(b) if _TERM.match(chr(b)) else " " for b in range(256)).encode("latin-1")
 
 
 def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+    low = (text or "").lower()
+    try:  # the same runs, faster
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _TERM.findall(low)
 
 
 def _sampled(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -54,121 +66,214 @@ def _sampled(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> Data
     return docs.join(F.broadcast(sample), F.col(f"`{doc_id}`") == F.col("__id")).select("__id", "__y", F.col(f"`{text}`").alias("text"))
 
 
-def choose_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms of the labelled rows (__y, text) that set the classes apart, strongest first."""
-    def split(batches):
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                sets = [sorted(set(terms_of(t))) for t in part.column(1).to_pylist()]
-                y = np.repeat(np.array(part.column(0).to_pylist(), dtype=float), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array([t for s in sets for t in s], pa.string()), pa.array(y)], ["term", "y"])
-
-    size = rows.agg(F.coalesce(F.sum("__y"), F.lit(0.0)).alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    pos, neg = float(size.pos), float(size.n - size.pos)
+def relevance(y: np.ndarray, at: np.ndarray, size: np.ndarray, n_terms: int) -> np.ndarray:
+    """Each term's weight: root of its chi-square against the label, plus ``FLOOR``; example i holds ``size[i]`` of ``at``."""
+    pos, neg = float(y.sum()), float(len(y) - y.sum())
     if not pos or not neg:
-        return []
-    a, b = F.col("a"), F.col("b")
-    share_a, share_b = a / F.lit(pos), b / F.lit(neg)
-    enough = ((a >= MIN_DOCS) & (share_a >= LIFT * (b + 0.5) / F.lit(neg))) | ((b >= MIN_DOCS) & (share_b >= LIFT * (a + 0.5) / F.lit(pos)))
-    n, either = pos + neg, a + b
-    chi = n * F.pow(a * (F.lit(neg) - b) - b * (F.lit(pos) - a), F.lit(2.0)) / (pos * neg * either * F.greatest(n - either, F.lit(1.0)))
-    counts = rows.select("__y", "text").mapInArrow(split, "term string, y double").groupBy("term").agg(
-        F.sum("y").alias("a"), (F.count(F.lit(1)) - F.sum("y")).alias("b"))
-    return [r.term for r in counts.where(enough & (chi >= CHI)).orderBy(chi.desc(), "term").limit(max_terms).collect()]
+        return np.ones(n_terms)
+    either = np.bincount(at, minlength=n_terms).astype(float)
+    a = np.bincount(at, np.repeat(y, size), n_terms)
+    chi = (pos + neg) * (a * neg - (either - a) * pos) ** 2 / (pos * neg * np.maximum(either, 1) * np.maximum(pos + neg - either, 1))
+    return np.sqrt(chi) + FLOOR
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents, over all rows."""
     place = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    size = len(terms) + 1
 
     def count(batches):
-        known, total, rows = place.value, Counter(), 0
+        known, total = place.value, np.zeros(size, dtype=np.int64)
         for batch in batches:
             for t in batch.column(0):
-                total.update(known.keys() & terms_of(t.as_py()))
-            rows += len(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([known[t] for t in total] + [-1], pa.int32()),
-                                          pa.array([*total.values(), rows], pa.int64())], ["term", "n"])
-
-    found = dict(docs.select(F.col(f"`{text}`")).mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n")).collect())
-    return np.array([found.get(i, 0) for i in range(len(terms))], dtype=float), found.get(-1, 0)
+                held = [known[x] for x in set(terms_of(t.as_py())) if x in known]
+                total[held] += 1
+            total[-1] += len(batch)
+        if total[-1]:
+            for k, part in enumerate(np.array_split(total, _SLABS)):
+                yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "part": [zlib.compress(part.tobytes(), 1)]})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(part), dtype=np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        for k, part in sums.items():
+            yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "part": [part.tobytes()]})
+
+    schema = "slab int, part binary"
+    rows = docs.select(F.col(f"`{text}`")).mapInArrow(count, schema).repartition(_SLABS, "slab").mapInArrow(add, schema)
+    parts = np.array_split(np.zeros(size), _SLABS)
+    for row in rows.collect():  # 64 rows, 8 bytes a term
+        parts[row.slab] = np.frombuffer(row.part, dtype=np.int64)
+    place.destroy()
+    found = np.concatenate(parts).astype(float)
+    return found[:-1], int(found[-1])
 
 
 class Vectors:
-    """TF-IDF vectors over the chosen terms, as (term indexes, weights) in term order."""
+    """Vectors over the terms, of the given weights, as (term indexes, weights) in term order."""
 
-    def __init__(self, terms: list[str], df: np.ndarray, n: int):
+    def __init__(self, terms: list[str], weights: np.ndarray):
         self.place = {t: i for i, t in enumerate(terms)}
-        self.idf = np.log((n + 1) / (df + 1)) + 1e-9
+        self.weights = weights
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         place = self.place
         tf = Counter([place[t] for t in terms_of(text) if t in place])
         at = np.array(sorted(tf), dtype=np.int64)
-        w = (1 + np.log([tf[i] for i in at.tolist()])) * self.idf[at] if len(at) else np.zeros(0)
-        return at, w / max(np.linalg.norm(w), 1e-12)
+        return at, self.of(at, np.array([tf[i] for i in at.tolist()], dtype=float))
+
+    def of(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.weights[at]
+        return w / max(np.linalg.norm(w), 1e-12)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from each start, ``size`` of them, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
 class BlockMaxIndex:
-    """Inverted index over example vectors, with each term's largest weight per block."""
+    """Inverted index over example vectors; the commonest terms in a matrix with each term's largest weight per block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        row = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, int)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, int)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((row, term))
-        row, term, weight = row[order], term[order], weight[order]
-        edge = np.searchsorted(term, np.arange(n_terms + 1))
-        self.postings = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            block = row[a:b] // BLOCK
-            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if b > a else np.zeros(0, int)
-            top = np.maximum.reduceat(weight[a:b], first) if b > a else np.zeros(0)
-            slices = dict(zip(block[first].tolist(), zip(first.tolist(), np.append(first[1:], b - a).tolist())))
-            self.postings.append((row[a:b] % BLOCK, weight[a:b], block[first], top, slices))
+        self._set(np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32),
+                  np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0),
+                  np.array([len(t) for t, _ in vectors], dtype=np.int64), n_terms)
+
+    def _set(self, term: np.ndarray, weight: np.ndarray, length: np.ndarray, n_terms: int) -> None:
+        self.term, self.weight, self.length, self.n_terms = term, weight, length, n_terms
+        self.n, self.blocks = len(length), -(-len(length) // BLOCK)
+        self.first = np.cumsum(self.length) - self.length
+        self.size = np.bincount(self.term, minlength=n_terms)
+        self.matrix = None
+
+    def _build(self) -> None:
+        """The matrix and the postings, when a process first asks for neighbours."""
+        n_terms, held_by = self.n_terms, self.size
+        common = np.sort(np.argsort(-held_by, kind="stable")[:COMMON])
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        # examples of one heaviest common term lie together
+        row, column = np.repeat(np.arange(self.n, dtype=np.int32), self.length), self.column[self.term]
+        held = np.flatnonzero(column >= 0)
+        heaviest = np.full(self.n, -1)
+        by = held[np.argsort(self.weight[held], kind="stable")]
+        heaviest[row[by]] = column[by]
+        self.order = np.argsort(heaviest, kind="stable")
+        self.inside = np.empty(self.n, dtype=np.int64)
+        self.inside[self.order] = np.arange(self.n)
+        self.matrix = np.zeros((self.n, len(common)), dtype=np.float32)
+        self.matrix[self.inside[row[held]], column[held]] = self.weight[held]
+        cut = np.arange(0, self.n, BLOCK)
+        self.top = np.maximum.reduceat(self.matrix, cut, axis=0).T.copy() if self.n else np.zeros((len(common), 0), np.float32)
+        # postings of the others
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.row, self.value = self.inside[row[rare]], self.weight[rare]
+        edge = np.searchsorted(self.term[rare], np.arange(n_terms + 1))
+        self.start, self.postings = edge[:-1], np.diff(edge)
+
+    def __reduce__(self):
+        """Only the examples travel."""
+        return _index_of, (self.term, self.weight, self.length, self.n_terms)
+
+    def forget(self) -> None:
+        """Frees what ``_build`` made."""
+        self.matrix = self.top = self.row = self.value = None
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine (ties: smaller place first), without example ``skip``."""
-        bound = np.zeros(self.blocks)
-        for t, q in zip(at.tolist(), w.tolist()):
-            _, _, blocks, top, _ = self.postings[t]
-            bound[blocks] += q * top
-        rows, scores, worst = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(rows) == k and bound[b] < worst - 1e-12):
-                break
-            total = np.zeros(BLOCK)
-            for t, q in zip(at.tolist(), w.tolist()):
-                inside, weight, _, _, slices = self.postings[t]
-                if b in slices:
-                    x, y = slices[b]
-                    total[inside[x:y]] += q * weight[x:y]
-            here = np.flatnonzero(total > 0)
-            here = here[here + b * BLOCK != skip]
-            rows, scores = np.append(rows, here + b * BLOCK), np.append(scores, np.round(total[here], 12))
+        return next(self.nearest_of([(at, w, skip)], k))
+
+    def nearest_of(self, queries: list[tuple], k: int):
+        """``nearest`` of each query (at, w, skip)."""
+        if self.matrix is None:
+            self._build()
+        for g in range(0, len(queries), QUERIES):
+            yield from self._group(queries[g : g + QUERIES], k)
+
+    def _group(self, queries: list[tuple], k: int):
+        m, cut = len(queries), np.arange(0, self.n, BLOCK)
+        if not self.n:
+            yield from [(np.zeros(0, dtype=np.int64), np.zeros(0))] * m
+            return
+        common, sums = np.zeros((m, self.matrix.shape[1]), dtype=np.float32), np.zeros((m, self.n), dtype=np.float32)
+        for i, (at, w, skip) in enumerate(queries):
+            column, size = self.column[at], self.postings[at]
+            common[i, column[column >= 0]] = w[column >= 0]
+            here = _ranges(self.start[at], size)
+            if len(here):
+                sums[i] = np.bincount(self.row[here], self.value[here] * np.repeat(w, size), self.n)
+            if skip >= 0:
+                sums[i, self.inside[skip]] = -2.0
+        # the k-th best block maximum is no more than the k-th best sum
+        best = np.maximum.reduceat(sums, cut, axis=1)
+        bound = best + common @ self.top
+        visit = (bound > 0) & (bound >= _kth(best, k) - SLACK)
+        for b in range(self.blocks):
+            who = np.flatnonzero(visit[:, b])
+            if len(who):
+                sums[who, b * BLOCK : (b + 1) * BLOCK] += common[who] @ self.matrix[b * BLOCK : (b + 1) * BLOCK].T
+        query, least = np.zeros(self.n_terms), _kth(np.maximum.reduceat(sums, cut, axis=1), k) - SLACK
+        for i, (at, w, _) in enumerate(queries):
+            rows = np.flatnonzero(sums[i] >= least[i])
+            found = sums[i, rows]
+            rows = np.sort(self.order[rows[(found > 0) & (found >= _kth(found[None], k) - SLACK)[0]]])
+            query[at] = w
+            size = self.length[rows]
+            of = _ranges(self.first[rows], size)
+            scores = np.round(np.bincount(np.repeat(np.arange(len(rows)), size), query[self.term[of]] * self.weight[of], len(rows)), 12)
+            query[at] = 0
+            rows, scores = rows[scores > 0], scores[scores > 0]
             best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-            worst = scores[-1] if len(rows) == k else 0.0
-        return rows, scores
+            yield rows[best], scores[best]
+
+
+def _kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row as a column, at least 0."""
+    n = x.shape[1]
+    return np.maximum(np.partition(x, n - k, axis=1)[:, n - k : n - k + 1], 0) if n > k else np.zeros((len(x), 1))
+
+
+def _index_of(term: np.ndarray, weight: np.ndarray, length: np.ndarray, n_terms: int) -> BlockMaxIndex:
+    index = BlockMaxIndex.__new__(BlockMaxIndex)
+    index._set(term, weight, length, n_terms)
+    return index
 
 
 class Model:
-    def __init__(self, terms: list[str], df: np.ndarray, n: int, examples: list[tuple]):
-        """``examples``: (id, label, text) rows."""
-        self.vectors = Vectors(terms, df, n)
-        made = [(i, y, *self.vectors(t)) for i, y, t in examples]
-        self.share = float(np.mean([y for _, y, _, _ in made])) if made else 0.0
-        bare = [y for _, y, at, _ in made if not len(at)]
-        rest = sorted((x for x in made if len(x[2])), key=lambda x: (x[2].tolist(), x[3].tolist(), str(x[0])))
-        self.ids, self.y = [x[0] for x in rest], np.array([x[1] for x in rest], dtype=float)
-        self.index = BlockMaxIndex([x[2:] for x in rest], len(terms))
-        self.bare_vote = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
+    def __init__(self, terms: list[str], df: np.ndarray, n: int, ids: list[str], y: np.ndarray, at: np.ndarray, tf: np.ndarray, size: np.ndarray):
+        """Example i has ``size[i]`` of the term indexes ``at`` and term counts ``tf``, in term order."""
+        self.vectors = Vectors(terms, (np.log((n + 1) / (df + 1)) + 1e-9) * relevance(y, at, size, len(terms)))
+        self.share = float(y.mean()) if len(y) else 0.0
+        weight = (1 + np.log(tf)) * self.vectors.weights[at]
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        weight /= np.sqrt(np.bincount(row, weight**2, len(size)))[row]
+        rest, bare = np.flatnonzero(size > 0), y[size == 0]
+        self.ids, self.y = [ids[i] for i in rest.tolist()], y[rest]
+        self.index = _index_of(at, weight, size[rest], len(terms))
+        self.bare_vote = (bare.sum() + PRIOR * self.share) / (len(bare) + PRIOR)
         self.curve = None
-        if rest and 0 < self.share < 1:
-            own = [self._vote(*self.index.nearest(x[2], x[3], NEIGHBOURS, skip=k)) for k, x in enumerate(rest)]
-            self._calibrate(np.array(own + [self.bare_vote] * len(bare)), np.append(self.y, bare))
+        if len(rest) and 0 < self.share < 1:
+            self._calibrate(np.append(self._own_votes(), [self.bare_vote] * len(bare)), np.append(self.y, bare))
+        self.index.forget()
+
+    def _own_votes(self) -> list[float]:
+        """Votes on each example by the others; terms that only it has are unknown to them."""
+        index, out = self.index, []
+        for g in range(0, index.n, QUERIES):
+            asked = []
+            for i in range(g, min(g + QUERIES, index.n)):
+                of = slice(index.first[i], index.first[i] + index.length[i])
+                known = index.size[index.term[of]] > 1
+                w = index.weight[of][known]
+                asked.append((index.term[of][known], w / max(np.linalg.norm(w), 1e-12), i))
+            out += [self._vote(*found) if len(q[0]) else self.bare_vote for q, found in zip(asked, index.nearest_of(asked, NEIGHBOURS))]
+        return out
 
     def _vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2
@@ -184,15 +289,16 @@ class Model:
             w = w - np.linalg.solve(hessian, x.T @ (p - y) + 1e-2 * (w - [1.0, 0.0]))
         self.curve = w if w[0] > 0 else np.array([1.0, 0.0])
 
-    def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        """Calibrated score, and the nearest examples as (id, cosine, label)."""
-        at, w = self.vectors(text)
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple]]]:
+        """Calibrated score of each text, and its nearest examples as (id, cosine, label)."""
         if self.curve is None:
-            return self.share, []
-        rows, cosine = self.index.nearest(at, w, NEIGHBOURS) if len(at) else (np.zeros(0, int), np.zeros(0))
-        vote = self._vote(rows, cosine) if len(at) else self.bare_vote
-        z = float(np.clip(_log_odds(np.array([vote]))[0] * self.curve[0] + self.curve[1], -30, 30))
-        return 1 / (1 + np.exp(-z)), [(str(self.ids[r]), float(c), int(self.y[r])) for r, c in zip(rows[:3].tolist(), cosine[:3].tolist())]
+            return [(self.share, [])] * len(texts)
+        asked, out = [(*self.vectors(t), -1) for t in texts], []
+        for q, (rows, cosine) in zip(asked, self.index.nearest_of(asked, NEIGHBOURS)):
+            vote = self._vote(rows, cosine) if len(q[0]) else self.bare_vote
+            z = float(np.clip(_log_odds(np.array([vote]))[0] * self.curve[0] + self.curve[1], -30, 30))
+            out.append((1 / (1 + np.exp(-z)), [(str(self.ids[r]), float(c), int(self.y[r])) for r, c in zip(rows[:3].tolist(), cosine[:3].tolist())]))
+        return out
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -202,18 +308,35 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> Model:
     rows = _sampled(docs, labelled_sample(labels, label, doc_id, max_rows=max_rows), doc_id, text)
-    terms = choose_terms(rows)
-    df, n = document_frequencies(docs, terms, text)
-    # only the chosen terms of the sampled texts come to the driver
-    place = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
-    def keep(batches):
+    # only the distinct terms of the sampled texts and their counts come to the driver, compressed
+    def split(batches):
         for batch in batches:
-            texts = [" ".join(t for t in terms_of(x.as_py()) if t in place.value) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(texts, pa.string())], ["id", "y", "text"])
-
-    examples = sorted(((r.id, r.y, r.text) for r in rows.mapInArrow(keep, "id string, y double, text string").collect()), key=lambda r: (r[0], r[1], r[2]))
-    return Model(terms, df, n, examples)
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                sets = [sorted(Counter(terms_of(t)).items()) for t in part.column(2).to_pylist()]
+                blob = pickle.dumps([(str(i), y, copy, " ".join(t for t, _ in s), array("i", [c for _, c in s])) for i, y, copy, s in zip(
+                    part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), sets)])
+                yield pa.RecordBatch.from_pydict({"part": [zlib.compress(blob, 1)]})
+
+    place, found, at, tf = {}, [], array("i"), array("i")
+    for part in rows.withColumn("copy", F.xxhash64("text")).mapInArrow(split, "part binary").collect():
+        for i, y, copy, held, counts in pickle.loads(zlib.decompress(part.part)):
+            found.append((i, y, copy, len(at), len(counts)))
+            at.extend([place.setdefault(t, len(place)) for t in held.split()])
+            tf.extend(counts)
+    found.sort()
+    # terms in order, whatever order the parts came in
+    terms = sorted(place)
+    rank = np.empty(len(terms), dtype=np.int32)
+    rank[[place[t] for t in terms]] = np.arange(len(terms))
+    del place
+    ids, y, size = [x[0] for x in found], np.array([x[1] for x in found], dtype=float), np.array([x[4] for x in found], dtype=np.int64)
+    here = _ranges(np.array([x[3] for x in found], dtype=np.int64), size).astype(np.int32 if len(at) < 1 << 31 else np.int64)
+    at, tf = rank[np.array(at, dtype=np.int32)[here]], np.array(tf, dtype=np.float32)[here]
+    del here, found
+    df, n = document_frequencies(docs, terms, text)
+    return Model(terms, df, n, ids, y, at, tf, size)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", doc_id: str = "doc_id",
@@ -224,9 +347,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label:
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                found = [model.value.score(t.as_py()) for t in part.column(1)]
+            for k in range(0, len(batch), QUERIES):
+                part = batch.slice(k, QUERIES)
+                found = model.value.scores(part.column(1).to_pylist())
                 score = np.array([s for s, _ in found], dtype=float)
                 evidence = pa.array([[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found], pa.list_(neighbour))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), evidence],

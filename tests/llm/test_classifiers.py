@@ -41,10 +41,19 @@ def test_toxicity_on_held_out_rows(large):
     bad = [r.predicted for r, y in pairs if y == 1]
     good = [r.predicted for r, y in pairs if y == 0]
     print("toxic", len(bad), np.mean(bad), len(good), np.mean(good))
-    assert len(rows) == docs.count() and np.mean(bad) > 0.85 and np.mean(good) < 0.01
+    assert len(rows) == docs.count() and np.mean(bad) > 0.9 and np.mean(good) < 0.01
     assert all(r.evidence for r in rows if r.predicted)
 
 
+def test_rare_words_of_the_sample_count(spark, make):
+    # the toxic words stand in three labelled rows each, and each document has a term
+    rows = [(i, f"quiet garden word{'abcdefghij'[i % 10]} " + ("vile rant" if i % 40 == 7 else "calm talk")) for i in range(1, 121)]
+    labels = spark.createDataFrame([(i, int(i % 40 == 7)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(make([*rows, (500, "such a vile rant"), (501, "calm talk")]), labels).collect()}
+    assert got[500].score > 2 * got[501].score and got[500].evidence[0].label == 1
+    assert all(r.evidence for r in got.values())
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(8)
     vectors = []
