@@ -6,9 +6,10 @@ strings that no pattern names: a *candidate* is a run of 16 or more characters
 and not next to an @ (an address).
 Its novelty is the number of bytes that it adds to a zstandard frame whose raw
 dictionary holds common identifiers and the text around it (``AROUND``
-characters to each side), per character.  Words, paths and identifiers are in
-the dictionary or compress; a random string does not: candidates with at least
-``NOVELTY`` marginal bytes a character, a digit and a letter are reported.
+characters to each side).  Words, paths and identifiers are in the dictionary or
+compress; a random string does not: candidates with a digit and a letter are
+reported if they add at least ``NOVELTY`` of what a random string of their length
+and alphabet (digits, hex, base32, ... base64) adds without surroundings.
 
 Defined results: null is taken as the empty text, which has no span.  Spans count
 code points, end exclusive; a text of any length is scanned whole.  Base spans of
@@ -19,7 +20,9 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -34,6 +37,10 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|private[_ -]?key|access[_ -]?key|bearer|authorization", re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 AROUND, NOVELTY = 512, 0.8
+_DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A candidate's alphabet is the first that has all its characters.
+ALPHABETS = [_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567=", _UPPER.lower() + "234567=", _DIGITS + _UPPER, _DIGITS + _UPPER.lower(),
+             _DIGITS + _UPPER + _UPPER.lower(), _DIGITS + _UPPER + _UPPER.lower() + "+/_.=-"]
 IDENTIFIERS = " ".join("""
 abstract access account action address admin algorithm alias allow append application archive argument array assert assign async
 attribute authorization auth backend base batch binary block body boolean boot bucket buffer build bytes cache callback catch
@@ -80,6 +87,17 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+@lru_cache(maxsize=4096)
+def _random_bytes(alphabet: int, length: int) -> int:
+    return marginal_bytes("".join(random.Random(length).choices(ALPHABETS[alphabet].rstrip("="), k=length)), "")
+
+
+def random_bytes(candidate: str) -> int:
+    """Bytes that a random string of the candidate's length and alphabet adds."""
+    letters = set(candidate)
+    return _random_bytes(next(i for i, a in enumerate(ALPHABETS) if letters <= set(a)), len(candidate))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], lowered: str, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, 3, end) of incompressible strings on lines with a sensitive word, outside ``taken``."""
     out, line_end = [], -1
@@ -97,7 +115,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], lowered: str, nove
             if any(a < e and s < b for a, _, b in taken) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
                 continue
             around = text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]
-            if marginal_bytes(run, around) >= novelty * (e - s):
+            if marginal_bytes(run, around) >= novelty * random_bytes(run):
                 out.append((s, 3, e))
     return out
 
