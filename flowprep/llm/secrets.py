@@ -2,13 +2,14 @@
 
 Base patterns find assignments, access keys and hex strings.  The method adds
 strings that no pattern names: a *candidate* is a run of 16 or more characters
-``[A-Za-z0-9+/_.=-]`` on a line with a sensitive word, outside the base spans
-and not next to an @ (an address).
+``[A-Za-z0-9+/_.=-]`` in a sensitive place, outside the base spans.  Sensitive are
+a line with a sensitive word, the next line with text if such a line ends with the
+word (and a colon or the like), and the lines of a private key block.  Next to
+an @, mail names and host names are left out; a URL's password is not.
 Its novelty is the number of bytes that it adds to a zstandard frame whose raw
-dictionary holds common identifiers and the text around it (``AROUND``
-characters to each side).  Words, paths and identifiers are in the dictionary or
-compress; a random string does not: candidates with a digit and a letter are
-reported if they add at least ``NOVELTY`` of what a random string of their length
+dictionary holds common identifiers, the words of the whole text and the text around
+it (``AROUND`` characters to each side).  Words, paths and identifiers are in the dictionary or
+compress; a random string does not: candidates are reported if they add at least ``NOVELTY`` of what a random string of their length
 and alphabet (digits, hex, base32, ... base64) adds without surroundings.
 
 Defined results: null is taken as the empty text, which has no span.  Spans count
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,6 +37,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is the same run as one of one or more
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|private[_ -]?key|access[_ -]?key|bearer|authorization", re.I | re.A)
+_ENDS = re.compile(r"""(?:[\w.-]*\w)?["']?\s*[:=>|\\\[({]*\s*["']?\s*$""", re.A)
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![A-Za-z0-9+_=.-])/*")
+_WORD = re.compile(r"[A-Za-z]{4,}")
+_NAME = re.compile(r"[A-Za-z_.-]+=(?=[^=])")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 AROUND, NOVELTY = 512, 0.8
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,9 +86,9 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, in
     return sorted(out)
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """Bytes that ``candidate`` adds to an empty frame, given identifiers and surrounding text as dictionary."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode("utf-8", "ignore"),
+def marginal_bytes(candidate: str, around: str, words: str = "") -> int:
+    """Bytes that ``candidate`` adds to an empty frame, given identifiers, words and surrounding text as dictionary."""
+    primed = zstandard.ZstdCompressionDict(words.encode() + IDENTIFIERS + b" " + around.encode("utf-8", "ignore"),
                                            dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
@@ -99,27 +106,67 @@ def random_bytes(candidate: str) -> int:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], lowered: str, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of incompressible strings on lines with a sensitive word, outside ``taken``."""
-    out, line_end = [], -1
+    """(start, 3, end) of incompressible strings in sensitive places, outside ``taken``."""
+    out, words = [], None
+    for first, last in sensitive_places(text):
+        for m in _CANDIDATE.finditer(text, first, last):
+            s, e = m.span()
+            if text[e : e + 1] == "@":
+                if text[s : s + 2] == "//":
+                    s += 2  # a URL's user
+                elif text[max(0, s - 1) : s] != ":":
+                    continue  # a mail name
+            elif text[max(0, s - 1) : s] == "@" and (host := _HOST.match(text, s, e)):
+                s = host.end()
+            if name := _NAME.match(text, s, e):
+                s = name.end()
+            if e - s < 16 or any(a < e and s < b for a, _, b in taken):
+                continue
+            run = text[s:e]
+            if not any(c.isdigit() for c in run):
+                run = run.lower()  # names in any case are known
+            if words is None:
+                words = Counter(_WORD.findall(lowered))
+            own = Counter(_WORD.findall(run.lower()))
+            known = "".join(w + " " for w, n in words.items() if n > own[w])
+            around = text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]
+            if marginal_bytes(run, around, known) >= novelty * random_bytes(run):
+                out.append((s, 3, e))
+    return out
+
+
+def sensitive_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sensitive lines, in order, each place once."""
+    found, line_end = [], -1
     for word in _SENSITIVE.finditer(text):
         if word.start() < line_end:
+            if _ENDS.match(text, word.end(), line_end):
+                found.append(_next_line(text, line_end))
             continue  # this line has been seen
-        line_start = text.rfind("\n", 0, word.start()) + 1
         line_end = text.find("\n", word.end())
         line_end = len(text) if line_end < 0 else line_end
-        for m in _CANDIDATE.finditer(text, line_start, line_end):
-            s, e = m.span()
-            run = m.group()
-            if "@" in text[max(0, s - 1) : s] + text[e : e + 1]:
-                continue  # part of an address
-            if any(a < e and s < b for a, _, b in taken) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-                continue
-            around = text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]
-            if marginal_bytes(run, around) >= novelty * random_bytes(run):
-                out.append((s, 3, e))
+        found.append((text.rfind("\n", 0, word.start()) + 1, line_end))
+        if _ENDS.match(text, word.end(), line_end):
+            found.append(_next_line(text, line_end))
+    for m in _BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
+        ends = [x for x in (text.find("-----END", m.end()), text.find("-----BEGIN", m.end())) if x >= 0]
+        found.append((m.end(), min(ends, default=len(text))))
+    out = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
+def _next_line(text: str, at: int) -> tuple[int, int]:
+    """The next line with text after the line that ends at ``at``."""
+    first = re.compile(r"\s*").match(text, at).end()
+    end = text.find("\n", first)
+    return first, len(text) if end < 0 else end
+
+
 def scan_text(text: str | None) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end) of a text, by start, then kind."""
     text = text or ""
