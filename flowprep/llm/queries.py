@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, quality_classifier, sentencepiece, simhash
+from . import queries_corpus as corpus
 from . import queries_text as more
 from .common import held_out_fold, read_table
 
@@ -120,7 +121,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-for _f in (more.op3_warc, more.op6_toxicity, more.op8_quality_rules, more.op9_language_model, more.op10_secret_scan):
+for _f in (more.op3_warc, more.op6_toxicity, more.op8_quality_rules, more.op9_language_model, more.op10_secret_scan,
+           corpus.op11_phrase_mining, corpus.op12_byte_bpe, corpus.op13_merkle_manifest):
     query(_f)
 ORACLE_SQL["op3_warc"] = more.OP3_SQL
 ORACLE_SQL["op8_quality_rules"] = more.OP8_SQL
+ORACLE_SQL["op11_phrase_mining"] = corpus.OP11_SQL
+ORACLE_SQL["op13_merkle_manifest"] = corpus.OP13_SQL

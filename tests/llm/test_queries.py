@@ -21,7 +21,7 @@ def _norm(v):
 
 def test_registered():
     names = E.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert set(QUERIES) <= set(names) and "pipeline" in names
 
 
