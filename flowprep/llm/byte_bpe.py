@@ -50,9 +50,9 @@ from pyspark.sql import functions as F
 
 #: Rank file and split pattern of the public tokenizers (see their README).
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Determinised states and memorised matches kept in a worker; more are forgotten and made again.
+#: Determinised states and memorised matches (of a new and an old half each) kept in a worker; more are forgotten and made again.
 MAX_STATES = 300_000
-MAX_MEMO = 300_000
+MAX_MEMO = 100_000
 _LONG = 256         # a match of more characters is not memorised
 _BLOCK = 1 << 16    # matches, or ids, worked off at a time
 Ranks = dict[bytes, int]
@@ -105,13 +105,13 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = i
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
+        self.moves: dict[int, tuple[int, tuple]] = {}   # state * 256 + byte -> (state, tokens given out)
         self.final: list[tuple] = []
         self._intern(((-1, 0, ()),))
 
@@ -120,19 +120,19 @@ class Transducer:
         if known is None:
             known = self.number[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
             # one reading has just ended a token: its held tokens are what is left at the end of the input
             self.final.append(next((held for _, node, held in state if node == 0), ()))
         return known
 
     def may_follow(self, last: int, token: int) -> bool:
         """Are [last, token] (or [token] at the start) the sequence of their bytes?"""
-        known = self.fits.get((last, token))
+        pair = last << 32 | token
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 4 * self.max_states:
+            if len(self.fits) > 2 * self.max_states:
                 self.fits.clear()
             want = [token] if last < 0 else [last, token]
-            known = self.fits[last, token] = merge(self.ranks, b"".join([self.raw[t] for t in want])) == want
+            known = self.fits[pair] = merge(self.ranks, b"".join([self.raw[t] for t in want])) == want
         return known
 
     def _move(self, at: int, byte: int) -> tuple[int, tuple]:
@@ -153,21 +153,21 @@ class Transducer:
         if len(self.states) >= self.max_states and state not in self.number:
             self._forget()
             return self._intern(state), first[:shared]
-        move = self.moves[at][byte] = (self._intern(state), first[:shared])
+        move = self.moves[at << 8 | byte] = (self._intern(state), first[:shared])
         return move
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of the bytes, each given out as soon as no later byte can change it."""
         at = 0
         for b in data:
-            at, out = self.moves[at].get(b) or self._move(at, b)
+            at, out = self.moves.get(at << 8 | b) or self._move(at, b)
             yield from out
         yield from self.final[at]
 
     def encode(self, data: bytes) -> list[int]:
         at, tokens = 0, []
         for b in data:
-            at, out = self.moves[at].get(b) or self._move(at, b)
+            at, out = self.moves.get(at << 8 | b) or self._move(at, b)
             if out:
                 tokens += out
         tokens += self.final[at]
@@ -278,7 +278,7 @@ def stand_ins() -> dict[int, int]:
     return out
 
 
-class Codec:
+class Encoder:
     def __init__(self, ranks: Ranks, pattern: str, stand_in: dict[int, int] | None = None,
                  max_states: int = MAX_STATES, max_memo: int = MAX_MEMO):
         self.ranks, self.room = ranks, max_memo
@@ -288,21 +288,23 @@ class Codec:
         self.apart = np.zeros(0x110000, dtype=bool)
         self.apart[list(self.stand_in)] = True
         self.memo: dict[str, bytes] = {}
-        raw = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, i in ranks.items():
-            raw[i] = token
-        self.decoder = StreamDecoder(raw)
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, match: str) -> bytes:
-        data = match.encode()
-        whole = self.ranks.get(data)
-        out = np.array([whole] if whole is not None else self.transducer.encode(data), dtype="<u4").tobytes()
+        out = self.old.get(match) or self._encoded(match)
         if len(match) <= _LONG:
             if len(self.memo) >= self.room:
-                self.memo.clear()
+                # what was not used since the last change is forgotten
+                self.old = self.memo.copy()
+                self.memo.clear()   # in place: a list under construction looks it up
             self.memo[match] = out
         return out
 
+    def _encoded(self, match: str) -> bytes:
+        data = match.encode()
+        whole = self.ranks.get(data)
+        return np.array([whole] if whole is not None else self.transducer.encode(data), dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         memo, make = self.memo.get, self._ids
@@ -315,6 +317,14 @@ class Codec:
             out += b"".join([memo(m) or make(m) for m in block])
         return bytes(out)
 
+
+class Decoder:
+    def __init__(self, ranks: Ranks):
+        raw = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            raw[i] = token
+        self.decoder = StreamDecoder(raw)
+
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, dtype="<u4")
         self.decoder.reset()
@@ -325,64 +335,68 @@ class Codec:
 _WORKER: dict = {}
 
 
-def _codec(shared) -> Codec:
-    """The worker's codec of broadcast (rank file's path, ranks, pattern, stand-ins).
-
-    Its states and memo serve all tasks of the process.
-    """
-    path, ranks, pattern, stand_in = shared.value
-    if (path, pattern) not in _WORKER:
+def _kept(shared, make):
+    """The worker's encoder or decoder for broadcast (rank file's path, ranks, ...): what it learns serves all tasks of the process."""
+    path, *values = shared.value
+    key = (make, path, *[v for v in values if isinstance(v, str)])
+    if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[path, pattern] = Codec(ranks, pattern, stand_in)
-    return _WORKER[path, pattern]
-
-
-def _share(df: DataFrame, path: str | None, pattern: str | None):
-    path = path or ranks_path()
-    return df.sparkSession.sparkContext.broadcast((path, read_ranks(path), pattern or split_pattern(), stand_ins()))
+        _WORKER[key] = make(*values)
+    return _WORKER[key]
 
 
 _ROWS = 256
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
-           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) per row; ``ids`` is binary: little-endian unsigned 32-bit integers."""
-    shared = _share(docs, path, pattern)
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None,
+               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) per row: the ids, and the text that they decode to.
+
+    ``ids`` is binary: little-endian unsigned 32-bit integers.
+    """
+    path = path or ranks_path()
+    shared = docs.sparkSession.sparkContext.broadcast((path, read_ranks(path), pattern or split_pattern(), stand_ins()))
 
     def run(batches):
-        codec = _codec(shared)
+        encoder, decoder = _kept(shared, _both)
         for batch in batches:
             for k in range(0, len(batch), _ROWS):
                 part = batch.slice(k, _ROWS)
-                ids = [codec.encode((t or b"").decode("utf-8", "replace")) for t in part.column(1).to_pylist()]
+                ids = [encoder.encode((t or b"").decode("utf-8", "replace")) for t in part.column(1).to_pylist()]
+                texts = [decoder.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                                                  pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                                                  pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
+                                                 ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return (docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
-            .mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary"))
+            .mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string"))
 
 
-def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``tokens`` (doc_id, n_tokens, ids) with the text of the ids in place of them: (doc_id, n_tokens, ids, decoded)."""
-    shared = _share(tokens, path, pattern)
+def _both(ranks: Ranks, pattern: str, stand_in: dict[int, int]) -> tuple[Encoder, Decoder]:
+    return Encoder(ranks, pattern, stand_in), Decoder(ranks)
 
-    def run(batches):
-        codec = _codec(shared)
-        for batch in batches:
-            for k in range(0, len(batch), _ROWS):
-                part = batch.slice(k, _ROWS)
-                texts = [codec.decode(i or b"") for i in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
-                                                 ["doc_id", "n_tokens", "ids", "decoded"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return (tokens.select("doc_id", "n_tokens", "ids")
-            .mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string"))
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
+           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids) per row."""
+    return round_trip(docs, path, pattern, doc_id, text).drop("decoded")
+
+
+def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
+    """``tokens`` with a column __text: the text of each row's ids (null: empty)."""
+    path = path or ranks_path()
+    shared = tokens.sparkSession.sparkContext.broadcast((path, read_ranks(path)))
+
+    @F.pandas_udf("string")
+    def run(column):
+        decoder = _kept(shared, Decoder)
+        return column.map(lambda x: decoder.decode(x or b""))
+
+    return tokens.withColumn("__text", run(F.col(f"`{ids}`")))
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode``'s rows."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``round_trip``'s rows."""
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -43,7 +43,7 @@ FROM least JOIN total USING (lang) QUALIFY rank <= 2000
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"))))
+    return byte_bpe.digests(byte_bpe.round_trip(read_table(spark, sf_dir, "documents")))
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
