@@ -51,8 +51,8 @@ from pyspark.sql import functions as F
 #: Rank file and split pattern of the public tokenizers (see their README).
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Determinised states and memorised matches (of a new and an old half each) kept in a worker; more are forgotten and made again.
-MAX_STATES = 300_000
-MAX_MEMO = 100_000
+MAX_STATES = 450_000
+MAX_MEMO = 250_000
 _LONG = 256         # a match of more characters is not memorised
 _BLOCK = 1 << 16    # matches, or ids, worked off at a time
 Ranks = dict[bytes, int]
