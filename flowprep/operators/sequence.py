@@ -60,25 +60,32 @@ def flatten_sequences(seqs: DataFrame, steps_col: str = "steps") -> DataFrame:
     return seqs.select("seq", F.inline(steps_col))
 
 
+def fold_number(pos: Column, n: Column, k: int) -> Column:
+    """1-based fold of a 0-based position among ``n``: the first ``n mod k`` folds have one row more."""
+    base = F.floor(n / k)
+    extra = n - base * k
+    big = extra * (base + 1)
+    fold = F.when(pos < big, F.floor(pos / (base + 1))).otherwise(extra + F.floor((pos - big) / base))
+    return (fold + 1).cast("int")
+
+
+def chunk_number(pos: Column, n: Column, num_chunks: int) -> Column:
+    """1-based chunk of a 0-based position among ``n``: chunks of ``ceil(n / N)`` rows."""
+    return (F.floor(pos / F.ceil(n / num_chunks)) + 1).cast("int")
+
+
 def with_folds(df: DataFrame, order: Sequence[str | Column], k: int = 10,
                fold_col: str = "fold") -> DataFrame:
     """WIN-4: ``k`` contiguous folds; the first ``n mod k`` folds get one extra row (1-based)."""
     p = with_position(df, order, "_fpos", total_col="_n")
-    base = F.floor(F.col("_n") / k)
-    extra = F.col("_n") - base * k
-    big = extra * (base + 1)
-    fold = F.when(F.col("_fpos") < big, F.floor(F.col("_fpos") / (base + 1))) \
-        .otherwise(extra + F.floor((F.col("_fpos") - big) / base))
-    return p.withColumn(fold_col, (fold + 1).cast("int")).drop("_n", "_fpos")
+    return p.withColumn(fold_col, fold_number(F.col("_fpos"), F.col("_n"), k)).drop("_n", "_fpos")
 
 
 def with_chunks(df: DataFrame, order: Sequence[str | Column], num_chunks: int,
                 chunk_col: str = "chunk") -> DataFrame:
     """SNK-3: ``num_chunks`` consecutive ranges of ``ceil(n / N)`` rows (1-based; FN-9 ceil / floor)."""
     p = with_position(df, order, "_cpos", total_col="_n")
-    size = F.ceil(F.col("_n") / num_chunks)
-    return (p.withColumn(chunk_col, (F.floor(F.col("_cpos") / size) + 1).cast("int"))
-            .drop("_n", "_cpos"))
+    return p.withColumn(chunk_col, chunk_number(F.col("_cpos"), F.col("_n"), num_chunks)).drop("_n", "_cpos")
 
 
 def write_chunks(df: DataFrame, order: Sequence[str | Column], num_chunks: int, path: str,

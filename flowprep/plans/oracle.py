@@ -434,6 +434,28 @@ def _model_queries() -> dict[str, str]:
     }
 
 
+def _store_queries() -> dict[str, str]:
+    merged = " UNION ALL ".join(
+        f"SELECT {q(c)} AS column, count({c}) AS n, round(avg({c}), 8) AS mean, round(stddev_pop({c}), 8) AS std_pop,"
+        f" CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, true AS refused FROM lineitem" for c in SCALE_COLS)
+    continued = _scale("standard").replace(f"l_shipdate < TIMESTAMP '{SHIP_CUTOFF}'", "year(l_shipdate) < 1997")
+    return {
+        "scaler_merged": merged,
+        "scaler_continued": continued,
+        "keyed_append": ("SELECT o_orderkey, o_totalprice, o_orderstatus, CAST(quarter(o_orderdate) AS VARCHAR) AS file_key"
+                         " FROM orders"),
+        "file_order_sample": ("SELECT o_orderkey, pos FROM (SELECT o_orderkey, row_number() OVER"
+                              " (ORDER BY year(o_orderdate), o_orderkey) - 1 AS pos FROM orders) WHERE pos % 5 = 0"),
+        "file_order_sequences": _flow_sequences(),
+        "file_order_folds": (f"WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders),"
+                             f" b AS (SELECT *, n // {FOLDS} AS base, n % {FOLDS} AS extra FROM p)"
+                             " SELECT o_orderkey, CASE WHEN pos < extra * (base + 1) THEN pos // (base + 1)"
+                             " ELSE extra + (pos - extra * (base + 1)) // base END + 1 AS fold FROM b"),
+        "manifest_bitmaps": split_sql("orders", "o_orderpriority", ["o_orderkey"], ["o_orderkey", "o_totalprice", "o_custkey"],
+                                      [0.6, 0.2, 0.2], ["train", "val", "test"]),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     ev_split_src = "events"
     chunks = (f"WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos,"
@@ -443,6 +465,7 @@ def oracle_sql() -> dict[str, str]:
               " FROM c GROUP BY chunk")
     return {
         **_model_queries(),
+        **_store_queries(),
         "csv_union": ("SELECT o_orderkey, o_orderstatus, o_orderpriority,"
                       " CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey FROM orders"),
         "prepared_round_trip": (f"SELECT event_id, event_type AS label, value FROM events WHERE {SPLIT} = 'test'"),
