@@ -12,15 +12,16 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import col_
 from ..operators import clean, encode, labels, models, scale, sequence, split
-from ..operators.position import with_position
+from ..operators.moments import ScalerState
+from ..operators.position import group_position, with_position
 from ..session import cut_lineage
-from ..sources import io
+from ..sources import file_order, io
+from ..sources.store import KeyedStore
 from .spec import read_specs, typed_specs, with_defaults
 
 META = ("row_id", "split", "label", "file_key")
@@ -151,6 +152,75 @@ def prepare_ids18(spark: SparkSession, paths: Sequence[str], out: str, *, every_
     return spark.read.parquet(out)
 
 
+def stage_ids18(spark: SparkSession, paths: Sequence[str], store_path: str, *, key: Column | None = None,
+                order: Sequence[str] = ("Timestamp",), files_each: int = 50) -> KeyedStore:
+    """JOB-5: per-day CSVs with differing columns -> cleaned rows in a keyed store, ``files_each`` files an append.
+
+    Files whose key is in the store are not read; a run that died is run again and goes on with the files
+    that are not.  ``idx`` is a row's place among the file's rows (SRT-1: by ``order``, timestamps as
+    text; the row's content breaks ties).  ``key`` (of the column ``file_key``, the full path) names a file; all files
+    of one key have to come in one append.
+    """
+    store = KeyedStore(spark, store_path)
+    named = F.col("file_key") if key is None else key
+    whole = F.regexp_replace("path", "^file:/+", "file:///")
+    files = io.list_files(spark, paths).select("path", whole.alias("file_key")).select("path", named.alias("file_key"))
+    done = store.committed()
+    if done is not None:
+        files = files.join(done.select("file_key"), "file_key", "left_anti")
+    todo = [r["paths"] for r in files.groupBy("file_key").agg(F.collect_list("path").alias("paths")).orderBy("file_key").collect()]
+    for i in range(0, len(todo), files_each):
+        df = io.read_csv(spark, [p for group in todo[i : i + files_each] for p in group], header=True, strip_names=True)
+        df = df.withColumn("file_key", named).withColumnRenamed("Label", "label")
+        df = clean.drop_if_present(df, [c for c in IDS18_DROP if c != "Timestamp"])      # PRJ-4
+        df = clean.keep_numeric_text(df, ["Dst Port"])                                   # FLT-2
+        df = clean.cast_text_columns(df, skip=["label", "file_key", "Timestamp"])       # CLN-4
+        df = clean.drop_invalid_rows(df)                                                 # FLT-3
+        content = F.md5(F.to_json(F.struct(*[col_(c) for c in df.columns])))
+        df = df.withColumn("_content", content).withColumn("_scan", F.monotonically_increasing_id())
+        df = group_position(df, "file_key", [*[col_(c) for c in order], F.col("_content"), F.col("_scan")], "idx")
+        df = df.withColumn("idx", F.col("idx") - 1)
+        store.append(clean.drop_if_present(df, ["Timestamp", "_content", "_scan"]))      # SNK-1 mode a
+    return store
+
+
+def staged_every_kth(store: KeyedStore, rate: float, pos_col: str = "pos") -> DataFrame:
+    """JOB-7: rows 0, k, 2k, ... of a staged store in (file, idx) order.
+
+    The store's ledger tells the rows of each file: a file's offset is the sum over the files before it, and no row is moved.
+    """
+    earlier = Window.orderBy("file_key").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    offsets = store.committed().select("file_key", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_offset"))
+    rows = store.read().join(offsets, "file_key")
+    return rows.withColumn(pos_col, F.col("_offset") + F.col("idx")).drop("_offset").where(F.col(pos_col) % split.sample_step(rate) == 0)
+
+
+def prepare_staged(spark: SparkSession, store: KeyedStore, out: str, *, keys: Sequence[str] = ("file_key", "idx"),
+                   drop: Sequence[str] = (), rates: Sequence[float] = (0.6, 0.2, 0.2), seed: int = 42) -> DataFrame:
+    """JOB-6: a staged store -> split, scaled on train rows, written per split and source file.
+
+    A narrow manifest (file, row, ``keys``, label) is split (SPL-3); its parts become bitmaps that go to the scan of the
+    wide rows (JOIN-2).  The scaler's statistics are kept by file in ``out``/_scaler, so a store that has grown
+    is continued: only files that are not in it are read for the fit.  Split sizes belong to
+    the rows of the store as it is, so a grown store is split anew.  ``drop`` are columns that are no features; kept beside them.
+    """
+    parts = ["train", "val", "test"]
+    rows, folders = store.source()
+    index = file_order.FileIndex(spark, folders, rows.schema, f"{store.path}/data")
+    wide = index.scan()
+    manifest = wide.select("_file", "_row", "label", *keys)
+    parted = cut_lineage(split.stratified_split(manifest, "label", list(keys), rates, parts, seed).select("_file", "_row", "split"))
+    fetched = file_order.fetch(index, parted, parts).drop(*file_order.PLACE)
+    skip = {"label", "file_key", "idx", "split", "store_attempt", *drop}
+    features = [c for c in fetched.columns if c not in skip]
+    state = ScalerState(spark, f"{out}/_scaler")
+    state.add(fetched, features, F.col("split") == "train", existing="skip")             # AGG-20, SCL-4
+    scaled = scale.apply_scaler(fetched.drop("store_attempt"), state.scaler(), features)  # SCL-3
+    packed = pack_features(scaled, features)
+    io.write_prepared(packed, f"{out}/rows", partition_by=("split", "file_key"))         # SNK-4
+    return spark.read.schema(packed.schema).parquet(f"{out}/rows")
+
+
 def prepare_tabular(spark: SparkSession, path: str, merge_val: bool = False):
     """JOB-8: prepared table -> (optionally) train+val merged -> label codes (ENC-3/4)."""
     data = io.read_prepared(spark, path)

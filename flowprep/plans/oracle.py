@@ -439,7 +439,22 @@ def _store_queries() -> dict[str, str]:
         f"SELECT {q(c)} AS column, count({c}) AS n, round(avg({c}), 8) AS mean, round(stddev_pop({c}), 8) AS std_pop,"
         f" CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, true AS refused FROM lineitem" for c in SCALE_COLS)
     continued = _scale("standard").replace(f"l_shipdate < TIMESTAMP '{SHIP_CUTOFF}'", "year(l_shipdate) < 1997")
+    keys = ", ".join(f"CAST({k} AS BIGINT) AS {k}" for k in LINE_KEYS)
+    staged = (f"SELECT CAST(year(l_shipdate) AS VARCHAR) AS file_key, strftime(l_shipdate, '%d/%m/%Y %H:%M:%S') AS stamp, {keys},"
+              " l_returnflag AS label, l_quantity AS size, l_extendedprice AS rate FROM lineitem WHERE l_linenumber <> 7 AND l_tax <> 0.08")
+    placed = (f"SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY stamp, {KEYS}) - 1 AS idx FROM ({staged})")
+    # the store holds these keys as doubles, and the split hashes their text
+    floats = ", ".join(f"CAST({k} AS DOUBLE) AS {k}" for k in LINE_KEYS)
+    parted = split_sql(f"(SELECT * REPLACE ({floats}) FROM ({staged}))", "label", LINE_KEYS, [*LINE_KEYS, "label", "file_key", "size", "rate"], [0.6, 0.2, 0.2], ["train", "val", "test"])
     return {
+        "staged_files": f"SELECT file_key, idx, {KEYS}, label, round(size, 6) AS size, round(rate, 6) AS rate FROM ({placed})",
+        "staged_sample": (f"SELECT {KEYS}, pos FROM (SELECT *, row_number() OVER (ORDER BY file_key, idx) - 1 AS pos FROM ({placed}))"
+                          " WHERE pos % 5 = 0"),
+        "staged_prepare": (f"WITH s AS ({parted}), st AS (SELECT avg(size) AS ms, stddev_pop(size) AS ss, avg(rate) AS mr, stddev_pop(rate) AS sr"
+                           f" FROM s WHERE split = 'train') SELECT {keys}, split, label, file_key, round((size - ms) / ss, 6) AS size,"
+                           " round((rate - mr) / sr, 6) AS rate FROM s, st"),
+        "csv_by_name": ("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS o_orderstatus,"
+                        " CAST(NULL AS VARCHAR) AS o_comment FROM orders"),
         "scaler_merged": merged,
         "scaler_continued": continued,
         "keyed_append": ("SELECT o_orderkey, o_totalprice, o_orderstatus, CAST(quarter(o_orderdate) AS VARCHAR) AS file_key"

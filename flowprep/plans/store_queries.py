@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import scale, split
 from ..operators.moments import ScalerState, with_deviation
-from ..sources import file_order
+from ..sources import file_order, io
 from ..sources.store import KeyedStore, KeyInStore
+from . import jobs
 from .driver_queries import FOLDS, LINE_KEYS, SCALE_COLS, SEED, SEQ_LEN, _scratch, events, r6, table
 
 PARTS = ["train", "val", "test"]
@@ -38,7 +40,7 @@ def q_scaler_continued(spark, sf):
     """SCL-3/4: every row scaled by statistics that came together file by file, by the training years only."""
     lines, path = _lines_by_year(spark, sf), _scratch(spark, "moments")
     train = F.col("file_key").cast("int") < 1997
-    first = F.col("file_key").cast("int") < 1994
+    first = F.col("file_key").cast("int") < 1996
     ScalerState(spark, path).add(lines.where(first), SCALE_COLS, train)
     state = ScalerState(spark, path)
     state.add(lines, SCALE_COLS, train, existing="skip")
@@ -65,6 +67,71 @@ def q_keyed_append(spark, sf):
     return KeyedStore(spark, path).read().select("o_orderkey", "o_totalprice", "o_orderstatus", "file_key")
 
 
+CSV_SCHEMA = "o_orderkey bigint, o_totalprice double, o_orderstatus string, o_comment string"
+
+
+def q_csv_by_name(spark, sf):
+    """SRC-1/2/3: plain and gzip exports with swapped, padded and surplus columns, typed by name."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    path = _scratch(spark, "csv")
+    part = F.col("o_orderkey") % 3
+
+    def export(df, name, **options):
+        df.write.option("header", True).options(**options).csv(f"{path}/{name}")
+
+    export(o.where(part == 0).select("o_orderkey", "o_totalprice", "o_orderstatus"), "a")
+    export(o.where(part == 1).select("o_orderstatus", F.col("o_totalprice").alias(" o_totalprice "), "o_custkey", "o_orderkey"), "b", compression="gzip")
+    export(o.where(part == 2).select("o_totalprice", "o_orderkey"), "c", compression="gzip")
+    back = io.read_csv(spark, [f"{path}/{x}" for x in "abc"], schema=T.StructType.fromDDL(CSV_SCHEMA), strip_names=True)
+    return back.drop("file_key")
+
+
+def _line_exports(spark, sf) -> tuple[list[str], str]:
+    """Stand-in input: line items as a CSV export a shipping year, one with its columns in another order."""
+    path = _scratch(spark, "exports")
+    li = table(spark, sf, "lineitem").select(
+        F.date_format("l_shipdate", "dd/MM/yyyy HH:mm:ss").alias("Timestamp"), F.lit("10.0.0.1").alias("Src IP"),
+        F.when(F.col("l_linenumber") == 7, "Dst Port").otherwise(F.col("l_linenumber").cast("string")).alias("Dst Port"),
+        *LINE_KEYS, F.col("l_quantity").alias(" Flow Size"),
+        F.when(F.col("l_tax") == 0.08, "Infinity").otherwise(F.col("l_extendedprice").cast("string")).alias("Flow Rate"),
+        F.col("l_returnflag").alias("Label"), F.year("l_shipdate").alias("y"))
+    swapped = F.col("y") == 1997
+    li.where(~swapped).write.option("header", True).partitionBy("y").csv(path)
+    li.where(swapped).select("Label", *[c for c in li.columns if c != "Label"]).write.mode("append").option("header", True).partitionBy("y").csv(path)
+    return [f"{path}/y=1995", f"{path}/y=1996", f"{path}/y=*"], path
+
+
+_LINE_ORDER = ["Timestamp", *LINE_KEYS]
+
+
+def _staged(spark, sf) -> KeyedStore:
+    """JOB-5 over the exports: the first two are staged, the next attempt dies unpublished, then all are staged."""
+    files, path = _line_exports(spark, sf)
+    year = F.regexp_extract(F.col("file_key"), r"/y=(\d{4})/[^/]*$", 1)
+    jobs.stage_ids18(spark, files[:2], f"{path}-store", key=year, order=_LINE_ORDER)
+    KeyedStore(spark, f"{path}-store").write_attempt(spark.createDataFrame([("1998", -1)], "file_key string, idx long"))
+    return jobs.stage_ids18(spark, files[2:], f"{path}-store", key=year, order=_LINE_ORDER, files_each=3)
+
+
+def q_staged_files(spark, sf):
+    """JOB-5: CSV exports cleaned into the keyed store by a job that is run again; each row with its place in its file."""
+    rows = _staged(spark, sf).read()
+    return rows.select("file_key", "idx", *[F.col(k).cast("long").alias(k) for k in LINE_KEYS], "label", r6("Flow Size").alias("size"), r6("Flow Rate").alias("rate"))
+
+
+def q_staged_sample(spark, sf):
+    """JOB-7: every fifth staged row in (file, place) order."""
+    return jobs.staged_every_kth(_staged(spark, sf), 0.2).select(*[F.col(k).cast("long").alias(k) for k in LINE_KEYS], "pos")
+
+
+def q_staged_prepare(spark, sf):
+    """JOB-6: staged rows split by a manifest, fetched by bitmaps, scaled by statistics kept by file, written by split and file."""
+    store = _staged(spark, sf)
+    out = jobs.prepare_staged(spark, store, _scratch(spark, "staged"), keys=LINE_KEYS, drop=[*LINE_KEYS, "Dst Port"])
+    return out.select(*[F.col(k).cast("long").alias(k) for k in LINE_KEYS], "split", "label", "file_key",
+                      F.round(F.col("features")[0], 6).alias("size"), F.round(F.col("features")[1], 6).alias("rate"))
+
+
 def _in_files(df: DataFrame, order: list, name: str) -> str:
     """Stand-in input: a table as Parquet files that lie in ``order``."""
     path = _scratch(df.sparkSession, name)
@@ -106,9 +173,13 @@ def q_manifest_bitmaps(spark, sf):
 
 
 QUERIES = {
+    "csv_by_name": q_csv_by_name,
     "scaler_merged": q_scaler_merged,
     "scaler_continued": q_scaler_continued,
     "keyed_append": q_keyed_append,
+    "staged_files": q_staged_files,
+    "staged_sample": q_staged_sample,
+    "staged_prepare": q_staged_prepare,
     "file_order_sample": q_file_order_sample,
     "file_order_sequences": q_file_order_sequences,
     "file_order_folds": q_file_order_folds,

@@ -33,9 +33,13 @@ _BUCKET_BITS = 12   # rows of one bitmap: 64 words of 64 rows
 PLACE = ["_file", "_block", "_row"]
 
 
-def scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """The files' rows with their file, the block that holds them and their index in the file."""
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else list(paths)))
+def scan(spark: SparkSession, paths: str | Sequence[str], schema=None, base: str | None = None) -> DataFrame:
+    """The files' rows with their file, the block that holds them and their index in the file.
+
+    ``base``: the folder above partition folders, where ``paths`` are some of these.
+    """
+    reader = spark.read.option("basePath", base) if base else spark.read
+    df = (reader.schema(schema) if schema is not None else reader).parquet(*([paths] if isinstance(paths, str) else list(paths)))
     return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                      F.col("_metadata.row_index").alias("_row"))
 
@@ -43,9 +47,9 @@ def scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 class FileIndex:
     """Where each block's rows stand among all rows; made once, read by many."""
 
-    def __init__(self, spark: SparkSession, paths: str | Sequence[str]):
-        self.spark, self.paths = spark, paths
-        blocks = cut_lineage(scan(spark, paths).groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_low")))
+    def __init__(self, spark: SparkSession, paths: str | Sequence[str], schema=None, base: str | None = None):
+        self.spark, self.paths, self.schema, self.base = spark, paths, schema, base
+        blocks = cut_lineage(self.scan().groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_low")))
         files = blocks.groupBy("_file").agg(F.sum("_n").alias("_rows"))
         # one row a file
         earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,10 +58,13 @@ class FileIndex:
                                                                             (F.col("_offset") + F.col("_low") + F.col("_n") - 1).alias("_last")))
         self.n_blocks, self.total = self.blocks.agg(F.count(F.lit(1)), F.coalesce(F.max("_last") + 1, F.lit(0))).first()
 
+    def scan(self, files: Sequence[str] | None = None) -> DataFrame:
+        return scan(self.spark, self.paths if files is None else files, self.schema, self.base)
+
     def rows(self, pos_col: str = "pos") -> DataFrame:
         """The rows with their position, and the first and last position of their block (_first, _last)."""
         blocks = F.broadcast(self.blocks) if self.n_blocks <= MAX_BLOCKS else self.blocks
-        rows = scan(self.spark, self.paths).join(blocks, ["_file", "_block"], "left")
+        rows = self.scan().join(blocks, ["_file", "_block"], "left")
         # files that have changed, or blocks cut by other session settings, are an error rather than lost rows
         pos = F.when(F.col("_offset").isNull(), F.raise_error(F.concat(F.lit("not in the index: "), F.col("_file"))).cast("long"))
         return rows.withColumn(pos_col, pos.otherwise(F.col("_offset") + F.col("_row")))
@@ -155,7 +162,7 @@ def fetch(index: FileIndex, manifest: DataFrame, parts: Sequence[str], part_col:
     out = None
     for files in groups.values():
         one = bitmaps if len(groups) == 1 else bitmaps.where(F.col("_file").isin(files))
-        rows = scan(index.spark, index.paths if len(groups) == 1 else files)
+        rows = index.scan(None if len(groups) == 1 else files)
         named = (rows.withColumn("_bucket", F.shiftright("_row", _BUCKET_BITS)).join(F.broadcast(one), ["_file", "_bucket"])
                  .withColumn(part_col, F.coalesce(*[F.when(_bit(f"b{i}"), F.lit(p)) for i, p in enumerate(parts)]))
                  .where(F.col(part_col).isNotNull()).drop("_bucket", *[f"b{i}" for i in range(len(parts))]))

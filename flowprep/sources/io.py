@@ -28,36 +28,51 @@ def positional_schema(n_cols: int, string_cols: Sequence[int] = (), prefix: str
                          for i in range(n_cols)])
 
 
-def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Files by their header line; the first line of each file is read on the driver, 16 at a time."""
-    from concurrent.futures import ThreadPoolExecutor
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def files(pattern: str) -> list[str]:
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        fs = path.getFileSystem(conf)
-        found = fs.globStatus(path) or []
-        out = []
-        for status in found:
-            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-            out += [x.getPath().toString() for x in inside if not x.getPath().getName().startswith(("_", "."))]
-        if not out:
-            raise FileNotFoundError(pattern)
-        return out
-
-    def first_line(name: str) -> tuple[str, str]:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
-        try:
-            return reader.readLine() or "", name
-        finally:
-            reader.close()
-
-    groups: dict[str, list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for line, name in pool.map(first_line, [f for p in paths for f in files(p)]):
-            groups.setdefault(line, []).append(name)
-    return groups
+def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path) of every data file under ``paths``; no file is opened."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path")
+
+
+def _first_lines(batches):
+    """Task side: the first line of each file, through the codec that its name tells."""
+    from urllib.parse import urlsplit
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def first_line(uri: str) -> str:
+        parts = urlsplit(uri)
+        if parts.scheme in ("", "file"):
+            store, base = fs.LocalFileSystem(), ""
+        else:
+            store, base = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}/")
+        rest = uri.split(":", 1)[1] if parts.scheme else uri
+        if parts.netloc:
+            rest = rest[len(parts.netloc) + 2 :]
+        rest = "/" + rest.lstrip("/")
+        line = b""
+        with store.open_input_stream(base.rstrip("/") + rest, compression="detect") as stream:
+            while b"\n" not in line:
+                more = stream.read(1 << 16)
+                if not more:
+                    break
+                line += more
+        return line.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace")
+
+    for batch in batches:
+        lines = [first_line(p) for p in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["path", "header"])
+
+
+def header_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, header): the first line of every file, read by tasks."""
+    return list_files(spark, paths).mapInArrow(_first_lines, "path string, header string")
+
+
+def header_names(line: str, sep: str = ",") -> list[str]:
+    """Column names of a header line."""
+    import csv
+    return next(csv.reader([line], delimiter=sep), [])
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], header: bool = True,
@@ -65,26 +80,42 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], header: bool = Tru
              strip_names: bool = False, na_values: Sequence[str] | None = DEFAULT_NA) -> DataFrame:
     """SRC-1/2/3: one or many CSV files as one DataFrame; no schema inference pass.
 
-    With headers, files are united by column *name*: one scan per distinct header line, missing
-    columns as NULL.  Without a schema every column is read as text (convert with
-    ``clean.cast_text_columns``).  ``columns`` is a projection the scan prunes.  Adds ``file_key``,
-    the file's full path.
+    With headers, files are united by column *name*: header lines are read by tasks, there is one scan per
+    distinct header, missing columns are NULL.  A ``schema`` then types columns by name (after ``strip_names``):
+    columns that it does not have are left out, its columns that no file has are NULL.  Without a schema every column is read as
+    text (convert with ``clean.cast_text_columns``).  Without headers columns go by position.
+    ``columns`` is a projection the scan prunes.  Adds ``file_key``, the file's full path.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", header).option("mode", "FAILFAST")
-    if schema is not None:
-        reader = reader.schema(schema)
-        groups = [paths]
-    else:
-        reader = reader.option("inferSchema", False)
-        groups = list(_headers(spark, paths).values()) if header else [paths]
-
-    def scan(files: Sequence[str]) -> DataFrame:
-        df = reader.csv(list(files))
-        df = df.select("*", F.col("_metadata.file_path").alias("file_key"))
-        return df.toDF(*[c.strip() for c in df.columns]) if strip_names else df
 
-    df = union_files([scan(g) for g in groups])
+    def scan(files: Sequence[str], line: str | None) -> DataFrame:
+        if schema is None:
+            df = reader.option("inferSchema", False).csv(list(files))
+            df = df.select("*", F.col("_metadata.file_path").alias("file_key"))
+            return df.toDF(*[c.strip() for c in df.columns]) if strip_names else df
+        if line is None:
+            return reader.schema(schema).csv(list(files)).select("*", F.col("_metadata.file_path").alias("file_key"))
+        names = [n.strip() if strip_names else n for n in header_names(line)]
+        types = {f.name: f.dataType for f in schema.fields}
+        if len(set(names) & set(types)) != len([n for n in names if n in types]):
+            raise ValueError(f"a column stands twice in a header: {line}")
+        # by position under other names, so that columns the schema leaves out may have any name
+        own = T.StructType([T.StructField(f"_{i}", types.get(n, T.StringType())) for i, n in enumerate(names)])
+        df = reader.schema(own).csv(list(files))
+        at = {n: f"_{i}" for i, n in enumerate(names)}
+        return df.select(*[F.col(at[f.name]).alias(f.name) if f.name in at else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in schema.fields], F.col("_metadata.file_path").alias("file_key"))
+
+    if header:
+        groups = {r["header"]: r["paths"] for r in header_table(spark, paths).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
+        if not groups:
+            raise FileNotFoundError(str(paths))
+        # empty files have no header and no rows
+        scans = [scan(sorted(files), line) for line, files in sorted(groups.items()) if line or len(groups) == 1]
+    else:
+        scans = [scan(paths, None)]
+    df = union_files(scans)
     df = df.select(*[c for c in df.columns if c != "file_key"], "file_key")
     if columns is not None:
         df = df.select(*columns, "file_key")

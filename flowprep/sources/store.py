@@ -12,8 +12,8 @@ has brought one of its keys.  An object store needs a file system that renames s
 
 ``path/data/store_attempt=<id>``  rows, partitioned by ``partition_by`` and the key
 ``path/attempts/<id>/keys``   (key, rows)
-``path/attempts/<id>/schema`` the rows' schema as JSON
-``path/log/<number>``         the id of a published attempt
+``path/attempts/<id>/entry``  the attempt's id and its rows' schema, as JSON
+``path/log/<number>``         the entry of a published attempt
 """
 
 from __future__ import annotations
@@ -52,17 +52,21 @@ class KeyedStore:
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
 
+    def _entry(self, name: str) -> dict:
+        path, fs = self._hadoop(name)
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _log(self) -> list[dict]:
+        """Entries (attempt, schema) in the order of their publication: one small file a successful append."""
+        return [self._entry(f"log/{name}") for name in self._entries()]
+
     def attempts(self) -> list[str]:
-        """Ids of the published attempts, in the order of their publication (one a successful append)."""
-        out = []
-        for name in self._entries():
-            path, fs = self._hadoop(f"log/{name}")
-            stream = fs.open(path)
-            try:
-                out.append(bytes(stream.readAllBytes()).decode())
-            finally:
-                stream.close()
-        return out
+        """Ids of the published attempts, in the order of their publication."""
+        return [e["attempt"] for e in self._log()]
 
     def _enter(self, number: int, attempt: str) -> bool:
         """Take a number of the log; False if somebody has it."""
@@ -70,9 +74,6 @@ class KeyedStore:
         target, fs = self._hadoop(f"log/{number:012d}")
         own, _ = self._hadoop(f"attempts/{attempt}/entry")
         fs.mkdirs(target.getParent())
-        stream = fs.create(own, True)
-        stream.write(bytearray(attempt.encode()))
-        stream.close()
         own, target = fs.makeQualified(own), fs.makeQualified(target)
         try:
             if target.toUri().getScheme() == "file":
@@ -90,43 +91,44 @@ class KeyedStore:
 
     # ------------------------------------------------------------ keys
 
-    def _keys_of(self, attempts: Sequence[str]) -> DataFrame:
-        key_type = self._schema(attempts)[self.key].dataType
-        schema = T.StructType([T.StructField(self.key, key_type), T.StructField("rows", T.LongType())])
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/attempts/{a}/keys" for a in attempts])
+    def _keys_of(self, entries: Sequence[dict]) -> DataFrame:
+        schema = T.StructType([T.StructField(self.key, self._schema(entries)[self.key].dataType), T.StructField("rows", T.LongType())])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/attempts/{e['attempt']}/keys" for e in entries])
 
     def committed(self) -> DataFrame | None:
         """(key, rows) of every key in the store; None while it is empty."""
-        attempts = self.attempts()
-        return self._keys_of(attempts) if attempts else None
+        log = self._log()
+        return self._keys_of(log) if log else None
 
     # ------------------------------------------------------------ appending
 
     def write_attempt(self, df: DataFrame) -> str:
         """Write rows where no reader sees them; the attempt's id."""
         attempt = uuid.uuid4().hex
-        folder = f"{self.path}/attempts/{attempt}"
-        (df.write.option("compression", "zstd").partitionBy(*self.partition_by, self.key)
-         .parquet(f"{self.path}/data/{_ATTEMPT}={attempt}"))
-        self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{folder}/schema")
-        self._read([attempt]).groupBy(self.key).agg(F.count(F.lit(1)).alias("rows")).coalesce(1).write.parquet(f"{folder}/keys")
+        entry = {"attempt": attempt, "schema": df.schema.jsonValue()}
+        df.write.option("compression", "zstd").partitionBy(*self.partition_by, self.key).parquet(f"{self.path}/data/{_ATTEMPT}={attempt}")
+        self._scan([entry]).groupBy(self.key).agg(F.count(F.lit(1)).alias("rows")).coalesce(1).write.parquet(f"{self.path}/attempts/{attempt}/keys")
+        path, fs = self._hadoop(f"attempts/{attempt}/entry")
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
         return attempt
 
     def publish(self, attempt: str) -> int:
         """Make an attempt visible; the number of its keys.  Refused if another append has brought one of them."""
-        own = self._keys_of([attempt])
-        n_keys, unnamed = own.agg(F.count(F.lit(1)), F.count(F.when(F.col(self.key).isNull(), 1))).first()
-        if unnamed:
-            raise ValueError(f"rows without {self.key}")
-        while n_keys:
-            before = self.attempts()
-            if before:
-                twice = own.join(self._keys_of(before), self.key, "left_semi").orderBy(self.key).limit(5).collect()
-                if twice:
-                    raise KeyInStore(f"in the store already: {[r[0] for r in twice]}")
-            if self._enter(len(self._entries()), attempt):
-                break
-        return n_keys
+        own = self._keys_of([self._entry(f"attempts/{attempt}/entry")])
+        while True:
+            before = self._log()
+            there = self._keys_of(before).select(self.key, F.lit(1).alias("_there")) if before else None
+            joined = own.join(there, self.key, "left") if before else own.withColumn("_there", F.lit(None).cast("int"))
+            n_keys, unnamed, twice, one = joined.agg(F.count(F.lit(1)), F.count(F.when(F.col(self.key).isNull(), 1)), F.count("_there"),
+                                                     F.max(F.when(F.col("_there") == 1, F.col(self.key).cast("string")))).first()
+            if unnamed:
+                raise ValueError(f"rows without {self.key}")
+            if twice:
+                raise KeyInStore(f"in the store already: {twice} keys, such as {one}")
+            if not n_keys or self._enter(len(before), attempt):
+                return n_keys
 
     def append(self, df: DataFrame, existing: str = "skip") -> int:
         """Add the rows of the keys that are not in the store; how many keys were added.
@@ -142,28 +144,33 @@ class KeyedStore:
 
     # ------------------------------------------------------------ reading
 
-    def _schema(self, attempts: Sequence[str]) -> T.StructType:
+    def _schema(self, entries: Sequence[dict]) -> T.StructType:
         """Columns of all attempts by name, in the order in which they first appear."""
-        texts = self.spark.read.text([f"{self.path}/attempts/{a}/schema" for a in attempts]).distinct().collect()
         fields: dict[str, T.StructField] = {}
-        for (text,) in sorted(texts):
-            for f in T.StructType.fromJson(json.loads(text)).fields:
+        for e in entries:
+            for f in T.StructType.fromJson(e["schema"]).fields:
                 known = fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
                 if known.dataType != f.dataType:
                     raise ValueError(f"column {f.name} is {known.dataType.simpleString()} and {f.dataType.simpleString()}")
         return T.StructType(list(fields.values()))
 
-    def _read(self, attempts: Sequence[str]) -> DataFrame:
-        schema = self._schema(attempts)
-        return (self.spark.read.schema(schema.add(_ATTEMPT, T.StringType())).option("basePath", f"{self.path}/data")
-                .parquet(*[f"{self.path}/data/{_ATTEMPT}={a}" for a in attempts]).drop(_ATTEMPT))
+    def _folders(self, entries: Sequence[dict]) -> list[str]:
+        return [f"{self.path}/data/{_ATTEMPT}={e['attempt']}" for e in entries]
+
+    def _scan(self, entries: Sequence[dict]) -> DataFrame:
+        reader = self.spark.read.schema(self._schema(entries).add(_ATTEMPT, T.StringType())).option("basePath", f"{self.path}/data")
+        return reader.parquet(*self._folders(entries))
+
+    def source(self) -> tuple[DataFrame, list[str]]:
+        """The scan of all published rows, and the folders that it reads (for ``file_order``)."""
+        log = self._log()
+        if not log:
+            raise ValueError(f"nothing has been published in {self.path}")
+        return self._scan(log), self._folders(log)
 
     def read(self, **only: str) -> DataFrame:
         """All rows of the store; ``split="train"`` and the like read one partition."""
-        attempts = self.attempts()
-        if not attempts:
-            raise ValueError(f"nothing has been published in {self.path}")
-        df = self._read(attempts)
+        df = self.source()[0].drop(_ATTEMPT)
         for column, value in only.items():
             df = df.where(F.col(column) == value)
         return df
