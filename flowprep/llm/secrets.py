@@ -7,8 +7,8 @@ a line with a sensitive word, the next line with text if such a line ends with t
 word (and a colon or the like), and the lines of a private key block.  Next to
 an @, mail names and host names are left out; a URL's password is not.
 Its novelty is the number of bytes that it adds to a zstandard frame whose raw
-dictionary holds common identifiers, the words of the whole text and the text around
-it (``AROUND`` characters to each side).  Words, paths and identifiers are in the dictionary or
+dictionary holds common identifiers, the words that stand in it and also elsewhere in the text, and the text around
+it (``AROUND`` characters to each side).  Time is linear in the text.  Words, paths and identifiers are in the dictionary or
 compress; a random string does not: candidates are reported if they add at least ``NOVELTY`` of what a random string of their length
 and alphabet (digits, hex, base32, ... base64) adds without surroundings.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -37,13 +38,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is the same run as one of one or more
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|private[_ -]?key|access[_ -]?key|bearer|authorization", re.I | re.A)
-_ENDS = re.compile(r"""(?:[\w.-]*\w)?["']?\s*[:=>|\\\[({]*\s*["']?\s*$""", re.A)
-_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_RUN = re.compile(r"(?:[\w.-]*\w)?", re.A)
+_OPENERS = ":=>|\\[({"
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----")
+_EDGE = re.compile(r"-----(?:BEGIN|END)")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![A-Za-z0-9+_=.-])/*")
 _WORD = re.compile(r"[A-Za-z]{4,}")
+_BLANKS = re.compile(r"\s*")
 _NAME = re.compile(r"[A-Za-z_.-]+=(?=[^=])")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 AROUND, NOVELTY = 512, 0.8
+SHORT, LONG = 4, 24  # letters of the words looked for inside a candidate
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A candidate's alphabet is the first that has all its characters.
 ALPHABETS = [_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567=", _UPPER.lower() + "234567=", _DIGITS + _UPPER, _DIGITS + _UPPER.lower(),
@@ -105,9 +110,41 @@ def random_bytes(candidate: str) -> int:
     return _random_bytes(next(i for i, a in enumerate(ALPHABETS) if letters <= set(a)), len(candidate))
 
 
+class _Taken:
+    """Do any of the spans overlap a stretch?"""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for s, _, e in spans:
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def overlaps(self, first: int, last: int) -> bool:
+        at = bisect_left(self.starts, last)
+        return at > 0 and self.ends[at - 1] > first
+
+
+def known_words(run: str, words: Counter) -> str:
+    """Words that stand in ``run`` and also elsewhere in the text whose words are counted in ``words``."""
+    runs = _WORD.findall(run.lower())
+    own, known = Counter(runs), {}
+    for r in runs:
+        if words[r] > own[r]:
+            known[r] = None
+        for i in range(len(r) - SHORT + 1):
+            for k in range(i + SHORT, min(i + LONG, len(r)) + 1):
+                part = r[i:k]
+                if part in words and words[part] > own[part]:
+                    known[part] = None
+    return "".join(w + " " for w in known)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], lowered: str, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, 3, end) of incompressible strings in sensitive places, outside ``taken``."""
-    out, words = [], None
+    out, words, base = [], None, _Taken(taken)
     for first, last in sensitive_places(text):
         for m in _CANDIDATE.finditer(text, first, last):
             s, e = m.span()
@@ -120,37 +157,60 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], lowered: str, nove
                 s = host.end()
             if name := _NAME.match(text, s, e):
                 s = name.end()
-            if e - s < 16 or any(a < e and s < b for a, _, b in taken):
+            if e - s < 16 or base.overlaps(s, e):
                 continue
             run = text[s:e]
             if not any(c.isdigit() for c in run):
                 run = run.lower()  # names in any case are known
             if words is None:
                 words = Counter(_WORD.findall(lowered))
-            own = Counter(_WORD.findall(run.lower()))
-            known = "".join(w + " " for w, n in words.items() if n > own[w])
             around = text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]
-            if marginal_bytes(run, around, known) >= novelty * random_bytes(run):
+            if marginal_bytes(run, around, known_words(run, words)) >= novelty * random_bytes(run):
                 out.append((s, 3, e))
     return out
 
 
+def _ends_line(text: str, word_end: int, line_end: int) -> bool:
+    """Is the line over after a sensitive word, but for the rest of its name, a quote, a colon or the like and another quote?"""
+    def blanks(at: int) -> int:
+        while at > word_end and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    at = blanks(line_end)
+    if at > word_end and text[at - 1] in "\"'":
+        at = blanks(at - 1)
+    while at > word_end and text[at - 1] in _OPENERS:
+        at -= 1
+    at = blanks(at)
+    if at > word_end and text[at - 1] in "\"'":
+        at -= 1
+    return _RUN.fullmatch(text, word_end, at) is not None
+
+
 def sensitive_places(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sensitive lines, in order, each place once."""
-    found, line_end = [], -1
-    for word in _SENSITIVE.finditer(text):
-        if word.start() < line_end:
-            if _ENDS.match(text, word.end(), line_end):
-                found.append(_next_line(text, line_end))
-            continue  # this line has been seen
-        line_end = text.find("\n", word.end())
-        line_end = len(text) if line_end < 0 else line_end
-        found.append((text.rfind("\n", 0, word.start()) + 1, line_end))
-        if _ENDS.match(text, word.end(), line_end):
+    found, line_end, last = [], -1, 0
+
+    def close() -> None:
+        if line_end >= 0 and _ends_line(text, last, line_end):
             found.append(_next_line(text, line_end))
-    for m in _BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
-        ends = [x for x in (text.find("-----END", m.end()), text.find("-----BEGIN", m.end())) if x >= 0]
-        found.append((m.end(), min(ends, default=len(text))))
+
+    for word in _SENSITIVE.finditer(text):
+        if word.start() >= line_end:
+            close()  # the line before: its last word is the one that can end it
+            line_end = text.find("\n", word.end())
+            line_end = len(text) if line_end < 0 else line_end
+            found.append((text.rfind("\n", 0, word.start()) + 1, line_end))
+        last = word.end()
+    close()
+    if "PRIVATE KEY" in text:
+        edges = [m.start() for m in _EDGE.finditer(text)]
+        for m in _BEGIN.finditer(text):
+            _, mark, rest = m.group(1).rpartition("PRIVATE KEY")
+            if mark and not any(c.isdigit() for c in rest):
+                at = bisect_left(edges, m.end())
+                found.append((m.end(), edges[at] if at < len(edges) else len(text)))
     out = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -162,7 +222,7 @@ def sensitive_places(text: str) -> list[tuple[int, int]]:
 
 def _next_line(text: str, at: int) -> tuple[int, int]:
     """The next line with text after the line that ends at ``at``."""
-    first = re.compile(r"\s*").match(text, at).end()
+    first = _BLANKS.match(text, at).end()
     end = text.find("\n", first)
     return first, len(text) if end < 0 else end
 
