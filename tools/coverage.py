@@ -31,13 +31,17 @@ QUERY_IDS = {
     "reconstruction_summary": "AGG-11", "multilabel_f1": "AGG-14 FN-11", "exact_match": "AGG-15 FN-11",
     "kfold_accuracy": "WIN-4 AGG-12", "ttest_two_models": "AGG-13 FN-13", "histogram": "AGG-16",
     "fingerprint": "AGG-21", "best_epoch": "WIN-5", "early_stop_epoch": "WIN-6", "goal_epoch": "WIN-7",
-    "spec_params": "SRC-7 CLN-8 FN-8", "prepare_lineitem": "JOB-4 FLT-3 ENC-1 SPL-1 SCL-1 SCL-3 SCL-5",
-    "forest_eval": "ML-1 ML-2 ML-6 ML-7 ML-8", "mlp_eval": "ML-3 ML-7 ML-8",
-    "pca_reconstruct": "ML-4 AGG-11", "encode_classify": "ML-5 SPL-4", "score_rows": "ML-2 ML-10 AGG-22",
+    "spec_params": "SRC-7 CLN-8 FN-8", "prepare_lineitem": "FLT-3 ENC-1 SPL-1 SCL-1 SCL-3 SCL-5",
+    "forest_eval": "ML-1 ML-2 ML-7 ML-8", "mlp_eval": "ML-3 ML-7 ML-8",
+    "pca_reconstruct": "ML-4 AGG-11", "encode_classify": "ML-5 SPL-4", "score_rows": "ML-2",
     "merge_validation": "SPL-6", "score_argmax": "FN-10 FN-11", "strict_cast": "FN-5 CLN-3",
     "model_ttest": "ML-9 WIN-4 AGG-12 AGG-13",
     "split_null_keys": "SPL-1", "category_positions": "ENC-1 ENC-2", "csv_union": "SRC-1 SRC-2 SNK-2",
     "prepared_round_trip": "SRC-4 SRC-5 SNK-1", "keyed_round_trip": "SRC-6 SNK-4", "chunks_round_trip": "SNK-3",
+    "csv_by_name": "SRC-1 SRC-2 SRC-3 FN-1", "scaler_merged": "AGG-19 AGG-20 SCL-4", "scaler_continued": "AGG-20 SCL-3 SCL-4",
+    "keyed_append": "SNK-1 SNK-4 JOB-5", "staged_files": "JOB-5 SNK-1 PRJ-4 CLN-4 FLT-2 FLT-3 SRT-1", "staged_sample": "JOB-7 SMP-1",
+    "staged_prepare": "JOB-6 SPL-3 JOIN-2 AGG-20 SCL-3 SNK-4", "file_order_sample": "SMP-1 SRT-2", "file_order_sequences": "WIN-1 WIN-2",
+    "file_order_folds": "WIN-4", "manifest_bitmaps": "SPL-3 JOIN-2",
     "report_round_trip": "SNK-5", "history_round_trip": "SNK-6", "scaler_round_trip": "SNK-7",
 }
 
