@@ -110,7 +110,7 @@ def _staged(spark, sf) -> KeyedStore:
     year = F.regexp_extract(F.col("file_key"), r"/y=(\d{4})/[^/]*$", 1)
     jobs.stage_ids18(spark, files[:2], f"{path}-store", key=year, order=_LINE_ORDER)
     KeyedStore(spark, f"{path}-store").write_attempt(spark.createDataFrame([("1998", -1)], "file_key string, idx long"))
-    return jobs.stage_ids18(spark, files[2:], f"{path}-store", key=year, order=_LINE_ORDER, files_each=3)
+    return jobs.stage_ids18(spark, files[2:], f"{path}-store", key=year, order=_LINE_ORDER)
 
 
 def q_staged_files(spark, sf):
