@@ -79,11 +79,11 @@ def relevance(y: np.ndarray, at: np.ndarray, size: np.ndarray, n_terms: int) ->
 
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents, over all rows."""
-    place = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    place = docs.sparkSession.sparkContext.broadcast(" ".join(terms))  # terms are letters; a dictionary is larger
     size = len(terms) + 1
 
     def count(batches):
-        known, total = place.value, np.zeros(size, dtype=np.int64)
+        known, total = {t: i for i, t in enumerate(place.value.split(" "))}, np.zeros(size, dtype=np.int64)
         for batch in batches:
             for t in batch.column(0):
                 held = [known[x] for x in set(terms_of(t.as_py())) if x in known]
@@ -116,10 +116,11 @@ class Vectors:
     """Vectors over the terms, of the given weights, as (term indexes, weights) in term order."""
 
     def __init__(self, terms: list[str], weights: np.ndarray):
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.weights = weights
+        self.terms, self.place, self.weights = " ".join(terms), None, weights
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        if self.place is None:  # made by the process that asks
+            self.place = {t: i for i, t in enumerate(self.terms.split(" "))}
         place = self.place
         tf = Counter([place[t] for t in terms_of(text) if t in place])
         at = np.array(sorted(tf), dtype=np.int64)
@@ -245,9 +246,47 @@ def _index_of(term: np.ndarray, weight: np.ndarray, length: np.ndarray, n_terms:
     return index
 
 
+def vote(rows: np.ndarray, cosine: np.ndarray, y: np.ndarray, share: float) -> float:
+    w = cosine**2
+    return float((w @ y[rows] + PRIOR * share) / (w.sum() + PRIOR))
+
+
+def own_votes(index: BlockMaxIndex, y: np.ndarray, share: float, bare: float, first: int, last: int) -> list[float]:
+    """Votes on examples ``first`` to ``last`` by the others; terms that only an example has are unknown to the others."""
+    out = []
+    for g in range(first, last, QUERIES):
+        asked = []
+        for i in range(g, min(g + QUERIES, last)):
+            of = slice(index.first[i], index.first[i] + index.length[i])
+            known = index.size[index.term[of]] > 1
+            w = index.weight[of][known]
+            asked.append((index.term[of][known], w / max(np.linalg.norm(w), 1e-12), i))
+        out += [vote(*found, y, share) if len(q[0]) else bare for q, found in zip(asked, index.nearest_of(asked, NEIGHBOURS))]
+    return out
+
+
+def votes_in_tasks(spark, index: BlockMaxIndex, y: np.ndarray, share: float, bare: float) -> np.ndarray:
+    """``own_votes`` on all examples, worked out by tasks; only the votes come to the driver."""
+    shared, n = spark.sparkContext.broadcast((index, y, share, bare)), index.n
+
+    def run(batches):
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                last = min(g + QUERIES, n)
+                votes = own_votes(*shared.value, g, last)
+                yield pa.RecordBatch.from_arrays([pa.array(range(g, last), pa.int64()), pa.array(votes, pa.float64())], ["i", "vote"])
+
+    out = np.zeros(n)
+    for row in spark.range(0, n, QUERIES).mapInArrow(run, "i bigint, vote double").collect():
+        out[row.i] = row.vote
+    shared.destroy()
+    return out
+
+
 class Model:
-    def __init__(self, terms: list[str], df: np.ndarray, n: int, ids: list[str], y: np.ndarray, at: np.ndarray, tf: np.ndarray, size: np.ndarray):
-        """Example i has ``size[i]`` of the term indexes ``at`` and term counts ``tf``, in term order."""
+    def __init__(self, terms: list[str], df: np.ndarray, n: int, ids: list[str], y: np.ndarray, at: np.ndarray, tf: np.ndarray, size: np.ndarray,
+                 spark=None):
+        """Example i has ``size[i]`` of the term indexes ``at`` and term counts ``tf``, in term order; with ``spark`` they vote in tasks."""
         self.vectors = Vectors(terms, (np.log((n + 1) / (df + 1)) + 1e-9) * relevance(y, at, size, len(terms)))
         self.share = float(y.mean()) if len(y) else 0.0
         weight = (1 + np.log(tf)) * self.vectors.weights[at]
@@ -259,25 +298,13 @@ class Model:
         self.bare_vote = (bare.sum() + PRIOR * self.share) / (len(bare) + PRIOR)
         self.curve = None
         if len(rest) and 0 < self.share < 1:
-            self._calibrate(np.append(self._own_votes(), [self.bare_vote] * len(bare)), np.append(self.y, bare))
+            given = (self.index, self.y, self.share, self.bare_vote)
+            votes = votes_in_tasks(spark, *given) if spark else own_votes(*given, 0, len(rest))
+            self._calibrate(np.append(votes, [self.bare_vote] * len(bare)), np.append(self.y, bare))
         self.index.forget()
 
-    def _own_votes(self) -> list[float]:
-        """Votes on each example by the others; terms that only it has are unknown to them."""
-        index, out = self.index, []
-        for g in range(0, index.n, QUERIES):
-            asked = []
-            for i in range(g, min(g + QUERIES, index.n)):
-                of = slice(index.first[i], index.first[i] + index.length[i])
-                known = index.size[index.term[of]] > 1
-                w = index.weight[of][known]
-                asked.append((index.term[of][known], w / max(np.linalg.norm(w), 1e-12), i))
-            out += [self._vote(*found) if len(q[0]) else self.bare_vote for q, found in zip(asked, index.nearest_of(asked, NEIGHBOURS))]
-        return out
-
     def _vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
-        w = cosine**2
-        return float((w @ self.y[rows] + PRIOR * self.share) / (w.sum() + PRIOR))
+        return vote(rows, cosine, self.y, self.share)
 
     def _calibrate(self, votes: np.ndarray, y: np.ndarray) -> None:
         """Logistic fit of label on log odds of the vote, by Newton steps, slightly damped; the slope stays above zero."""
@@ -336,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     at, tf = rank[np.array(at, dtype=np.int32)[here]], np.array(tf, dtype=np.float32)[here]
     del here, found
     df, n = document_frequencies(docs, terms, text)
-    return Model(terms, df, n, ids, y, at, tf, size)
+    return Model(terms, df, n, ids, y, at, tf, size, docs.sparkSession)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", doc_id: str = "doc_id",
