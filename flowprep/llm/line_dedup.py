@@ -6,8 +6,9 @@ in normal form (lower case, blanks at both ends cut); earlier means smaller
 (doc_id, line number).  Lines shorter than ``min_fuzzy`` characters
 are only compared for equality; blank lines are left alone.
 
-1. Each distinct normal form is reduced to its first place (partial aggregation
-   on a 128-bit digest: the copies of a very common line never meet).
+1. Each distinct normal form is reduced to its first place (within each batch
+   of documents, then by aggregation on a 128-bit digest: the copies of a very
+   common line never meet).
 2. Lines that can have a neighbour are sought, which loses none: an edit leaves
    a line's beginning or its end as it is (cut at a multiple of 16 characters,
    so that lines of neighbouring length are cut alike).  Only lines that share
@@ -36,8 +37,12 @@ Extra columns are carried through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,32 +55,67 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BLANKS = " \t\v\f\r"
 
 
-def normal_form(line: Column) -> Column:
-    return F.lower(F.trim(line, F.lit(_BLANKS)))
-
-
 def has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, row, no, line): one row per non-blank line, in normal form."""
-    return (docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("row"),
-                        F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw"))
-            .where(has_word(F.col("raw"))).select("doc", "row", "no", normal_form(F.col("raw")).alias("line")))
+def normal_form(raw: str) -> str:
+    return raw.strip(_BLANKS).lower()
+
+
+def _cut(n: int) -> int:
+    """Length of the compared beginning and end of a line of ``n`` characters: no more than half of it."""
+    return n // (2 * _GRID) * _GRID if n >= 2 * _GRID else n // 2
 
 
-def _end_keys(line: Column, length: Column) -> Column:
+def end_keys(line: str) -> list[int]:
     """Hashes of the line's beginning and end, of which one edit leaves one as it is, for all lines of its length
     and, where the cut moves with the length, for lines one character shorter."""
-    def cut(n):
-        return F.floor(n / (2 * _GRID)).cast("int") * _GRID + F.least(F.lit(_GRID), F.floor(n / 2).cast("int")) * (n < 2 * _GRID).cast("int")
+    n, out = len(line), []
+    for a in sorted({_cut(n), _cut(n - 1)}):
+        out.append(xxhash.xxh3_64_intdigest(line[:a].encode(), 0) - (1 << 63))
+        out.append(xxhash.xxh3_64_intdigest(line[n - a:].encode(), 1) - (1 << 63))
+    return out
 
-    def keys(a):
-        return F.array(F.xxhash64(F.lit(0), F.substring(line, F.lit(1), a)),
-                       F.xxhash64(F.lit(1), F.substring(line, length - a + 1, a)))
-    own, less = cut(length), cut(length - 1)
-    return F.when(own == less, keys(own)).otherwise(F.concat(keys(own), keys(less)))
+
+def _lines(docs: DataFrame, min_fuzzy: int, doc_id: str, text: str, whole: bool) -> DataFrame:
+    """(key, id, doc, row, no, line or ends): the distinct non-blank lines of each batch of documents, at their first places.
+
+    ``line`` is the normal form (``whole``), ``ends`` its end keys; null for lines shorter than ``min_fuzzy``.
+    """
+    def run(batches):
+        for batch in batches:
+            docs = pa.Table.from_batches([batch])
+            # documents in order, so that the first place met is the earliest
+            order = pc.sort_indices(docs, sort_keys=[("doc", "ascending"), ("row", "ascending")], null_placement="at_start")
+            docs = docs.take(order).combine_chunks()
+            seen: set[bytes] = set()
+            for first in range(0, len(docs), 512):
+                keys, at, places, last = [], [], [], []
+                for i, t in enumerate(docs.column("text").slice(first, 512).to_pylist()):
+                    for no, raw in enumerate(t.split("\n") if t else ()):
+                        line = normal_form(raw)
+                        if not line:
+                            continue
+                        key = hashlib.md5(line.encode(), usedforsecurity=False).digest()
+                        if key in seen:
+                            continue
+                        seen.add(key)
+                        keys.append(key)
+                        at.append(first + i)
+                        places.append(no)
+                        last.append(None if len(line) < min_fuzzy else line if whole else end_keys(line))
+                key = pa.array(keys, pa.binary())
+                ids = pa.array(np.frombuffer(b"".join(keys), dtype="<i8")[::2])
+                yield pa.RecordBatch.from_arrays(
+                    [key, ids, docs.column("doc").take(pa.array(at, pa.int64())).combine_chunks(),
+                     docs.column("row").take(pa.array(at, pa.int64())).combine_chunks(), pa.array(places, pa.int32()),
+                     pa.array(last, pa.string() if whole else pa.list_(pa.int64()))],
+                    ["key", "id", "doc", "row", "no", "line" if whole else "ends"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
+    return given.mapInArrow(run, f"key binary, id bigint, doc {kind}, row bigint, no int, {'line string' if whole else 'ends array<bigint>'}")
 
 
 class _Hashes:
@@ -196,16 +236,14 @@ def near_lines(candidates: DataFrame, segments: int = SEGMENTS) -> DataFrame:
 def line_places(docs: DataFrame, min_fuzzy: int = MIN_FUZZY, doc_id: str = "doc_id", text: str = "text",
                 bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """(doc, row, no, near): place of each distinct line's first occurrence; whether an earlier line is near it."""
-    lines = _lines(docs, doc_id, text)
-    length = F.length("line")
-    first = stored(lines.groupBy(F.unhex(F.md5("line")).alias("key")).agg(
-        F.min(F.struct("doc", "row", "no")).alias("first"), F.first(F.xxhash64("line")).alias("id"),
-        F.first(F.when(length >= min_fuzzy, _end_keys(F.col("line"), length))).alias("ends")), "lines")
+    place = F.min(F.struct("doc", "row", "no")).alias("first")
+    # a key is 128 bits, its first 64 are the id
+    first = stored(_lines(docs, min_fuzzy, doc_id, text, False).groupBy("key").agg(
+        place, F.first("id").alias("id"), F.first("ends").alias("ends")), "lines")
     ends = first.select("id", F.explode("ends").alias("end")).distinct()
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("end")
     wanted = stored(ends.join(shared, "end").select("id").distinct(), "wanted")
-    passed, _ = split_by_ids(lines.where(F.length("line") >= min_fuzzy), F.xxhash64("line"), wanted, bitmap_bits)
-    passed = passed.select(F.unhex(F.md5("line")).alias("key"), "doc", "row", "no", "line")
+    passed, _ = split_by_ids(_lines(docs, min_fuzzy, doc_id, text, True).where("line is not null"), F.col("id"), wanted, bitmap_bits)
     here = F.struct("doc", "row", "no")
     texts = (passed.join(first.join(wanted, "id", "left_semi").select("key", "first"), "key")
              .where(here.eqNullSafe(F.col("first"))).dropDuplicates(["key"]).select("key", "first", "line"))
