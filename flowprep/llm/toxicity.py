@@ -11,7 +11,7 @@ Index: the ``COMMON`` terms of most examples lie in a matrix, cut into blocks of
 ``BLOCK`` examples with each term's largest weight in each block; all others have
 postings.  A query adds up its postings' products, bounds each block by its best
 sum so far plus query weight times block maximum, and visits the blocks whose bound
-reaches the k-th best sum.  The sums in the matrix are of 32 bits: all examples
+reaches the k-th best sum.  These sums are of 32 bits: all examples
 within ``SLACK`` of the k-th best are worked out again in 64.  The k nearest are
 exact, ties by example order.
 
@@ -86,8 +86,8 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
         known, total = {t: i for i, t in enumerate(place.value.split(" "))}, np.zeros(size, dtype=np.int64)
         for batch in batches:
             for t in batch.column(0):
-                held = [known[x] for x in set(terms_of(t.as_py())) if x in known]
-                total[held] += 1
+                held = np.fromiter([known.get(x, -2) for x in set(terms_of(t.as_py()))], np.int64)
+                total[held[held >= 0]] += 1
             total[-1] += len(batch)
         if total[-1]:
             for k, part in enumerate(np.array_split(total, _SLABS)):
@@ -121,10 +121,11 @@ class Vectors:
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if self.place is None:  # made by the process that asks
             self.place = {t: i for i, t in enumerate(self.terms.split(" "))}
-        place = self.place
-        tf = Counter([place[t] for t in terms_of(text) if t in place])
-        at = np.array(sorted(tf), dtype=np.int64)
-        return at, self.of(at, np.array([tf[i] for i in at.tolist()], dtype=float))
+        counts, place = Counter(terms_of(text)), self.place.get
+        at = np.fromiter([place(t, -1) for t in counts], np.int64, len(counts))
+        tf = np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(at)[np.count_nonzero(at < 0):]
+        return at[order], self.of(at[order], tf[order])
 
     def of(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.weights[at]
@@ -174,7 +175,7 @@ class BlockMaxIndex:
         # postings of the others
         rare = np.flatnonzero(column < 0)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
-        self.row, self.value = self.inside[row[rare]], self.weight[rare]
+        self.row, self.value = self.inside[row[rare]].astype(np.int32), self.weight[rare].astype(np.float32)
         edge = np.searchsorted(self.term[rare], np.arange(n_terms + 1))
         self.start, self.postings = edge[:-1], np.diff(edge)
 
@@ -208,7 +209,7 @@ class BlockMaxIndex:
             common[i, column[column >= 0]] = w[column >= 0]
             here = _ranges(self.start[at], size)
             if len(here):
-                sums[i] = np.bincount(self.row[here], self.value[here] * np.repeat(w, size), self.n)
+                sums[i] = np.bincount(self.row[here], self.value[here] * np.repeat(w.astype(np.float32), size), self.n)
             if skip >= 0:
                 sums[i, self.inside[skip]] = -2.0
         # the k-th best block maximum is no more than the k-th best sum
@@ -217,8 +218,11 @@ class BlockMaxIndex:
         visit = (bound > 0) & (bound >= _kth(best, k) - SLACK)
         for b in range(self.blocks):
             who = np.flatnonzero(visit[:, b])
-            if len(who):
-                sums[who, b * BLOCK : (b + 1) * BLOCK] += common[who] @ self.matrix[b * BLOCK : (b + 1) * BLOCK].T
+            block = self.matrix[b * BLOCK : (b + 1) * BLOCK].T
+            if 2 * len(who) > m:  # nearly all: no copy of the queries
+                sums[:, b * BLOCK : (b + 1) * BLOCK] += common @ block
+            elif len(who):
+                sums[who, b * BLOCK : (b + 1) * BLOCK] += common[who] @ block
         query, least = np.zeros(self.n_terms), _kth(np.maximum.reduceat(sums, cut, axis=1), k) - SLACK
         for i, (at, w, _) in enumerate(queries):
             rows = np.flatnonzero(sums[i] >= least[i])

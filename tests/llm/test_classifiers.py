@@ -54,15 +54,18 @@ def test_rare_words_of_the_sample_count(spark, make):
     assert all(r.evidence for r in got.values())
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("n_terms, most", [(40, 6), (3000, 60)])
+def test_nearest_examples_are_exact(n_terms, most):
+    assert (n_terms > toxicity.COMMON) == (most > 6)  # the second case has postings
     rng = random.Random(8)
     vectors = []
     for _ in range(700):
-        at = np.array(sorted(rng.sample(range(40), rng.randrange(1, 6))))
+        # low term numbers are in many examples
+        at = np.array(sorted({int(n_terms * rng.random() ** 2) for _ in range(rng.randrange(1, most))}))
         w = np.array([rng.random() + 0.1 for _ in at])
         vectors.append((at, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((700, 40))
+    index = toxicity.BlockMaxIndex(vectors, n_terms)
+    dense = np.zeros((700, n_terms))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
     for q in range(0, 700, 23):
