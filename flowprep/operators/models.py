@@ -7,9 +7,9 @@ back by a join after scoring.
 
 Divergences from the reference's trainers (documented, not hidden):
 * the forest is single-output multi-class, not a multi-output forest on one-hot y;
-* the feed-forward network is Spark's multilayer perceptron (sigmoid hidden
-  units, L-BFGS): no ReLU, dropout, batch-norm or Adam;
-* the autoencoder becomes centred PCA (linear encoder / decoder).
+* ``ann`` is Spark's multilayer perceptron (sigmoid hidden units, L-BFGS) and ``ae_ann`` codes
+  by centred PCA; ``relu_ann``, ``ae`` and ``relu_ae_ann`` (``neural``) are networks with ReLU,
+  dropout, Adam and early stop, without batch-norm.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .encode import encode_labels, fit_label_codes
 from .metrics import evaluate
+from .neural import Autoencoder, NetworkClassifier, NetworkModel, PretrainedClassifier
 
 
 def with_vector(df: DataFrame, features: str = "features", out: str = "fvec") -> DataFrame:
@@ -94,6 +95,9 @@ MODEL_FACTORIES: dict[str, Callable[..., object]] = {
     "ann": mlp,
     "logistic": logistic,
     "ae_ann": encode_then_classify,
+    "relu_ann": NetworkClassifier,
+    "ae": Autoencoder,
+    "relu_ae_ann": PretrainedClassifier,
 }
 
 
@@ -121,13 +125,13 @@ def create_model(name: str, **params):
 
 
 def load_model(path: str) -> Model:
-    """SNK-7 reload: a saved forest, perceptron, logistic or pipeline model (whichever the folder holds)."""
+    """SNK-7 reload: a saved forest, perceptron, logistic, pipeline or network model (whichever the folder holds)."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import (LogisticRegressionModel, MultilayerPerceptronClassificationModel,
                                            RandomForestClassificationModel)
     errors = []
     for cls in (RandomForestClassificationModel, MultilayerPerceptronClassificationModel, LogisticRegressionModel,
-                PipelineModel):
+                PipelineModel, NetworkModel):
         try:
             return cls.load(path)
         except Exception as e:  # noqa: BLE001  (wrong class for this folder: try the next)

