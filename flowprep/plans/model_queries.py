@@ -146,7 +146,7 @@ def q_relu_eval(spark, sf):
     codes = encode.fit_label_codes(data)
     prepared = models.prepare_labelled(scaled, codes).withColumn("is_val", F.col("l_orderkey") % 10 == 0)
     epochs, patience = 15, 3
-    net = models.create_model("relu_ann", hidden=[16], epochs=epochs, patience=patience, batch_size=32, rate=0.01)
+    net = models.create_model("relu_ann", hidden=[16], epochs=epochs, patience=patience, batch_size=128, rate=0.02)
     model, _ = models.train(net, prepared.where(F.col("split") == "train"))
     hist = history.history_frame(spark, "relu", [h["train_loss"] for h in model.history], [h["val_loss"] for h in model.history])
     numbered = history.number_epochs(hist.withColumnRenamed("epoch", "at"), "run", ["at"], keep_partition=True)
@@ -169,7 +169,7 @@ def q_autoencoder_error(spark, sf):
     """ML-4/6 + AGG-11: autoencoder with a code of two against PCA of two, both fitted on train; ``below_pca``: at most half its error."""
     data = cut_lineage(_waves(spark, sf))
     train = data.where(F.col("split") == "train")
-    net = models.create_model("ae", encoder=[24, 2], decoder=[24], epochs=25, batch_size=16, rate=0.01)
+    net = models.create_model("ae", encoder=[24, 2], decoder=[24], epochs=25, batch_size=48, rate=0.02)
     model, _ = models.train(net, models.with_vector(train))
     error = metrics.reconstruction_error(model.transform(models.with_vector(data)), "features", "recon")
     ours = error.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("sq_error_sum").alias("ours"))
@@ -186,7 +186,7 @@ def q_pretrain_classify(spark, sf):
     roles = split.two_part_roles(train, "label", "o_orderkey", 0.5, seed=SEED).withColumn("is_val", F.lit(False))
     val = data.where(F.col("split") == "val").drop("split").withColumn("role", F.lit("sup")).withColumn("is_val", F.lit(True))
     net = models.create_model("relu_ae_ann", encoder=[24, 2], decoder=[24], hidden=[16], ae_epochs=15, epochs=20, patience=5,
-                              batch_size=16, rate=0.01)
+                              batch_size=32, rate=0.02)
     model, _ = models.train(net, models.prepare_labelled(roles.unionByName(val), codes))
     scored = models.score(model, models.prepare_labelled(data, codes), codes, keep=["split", "label"])
     return _held_out(scored, {"train": 0.9, "val": 0.9, "test": 0.9})
