@@ -34,6 +34,7 @@ QUERY_IDS = {
     "spec_params": "SRC-7 CLN-8 FN-8", "prepare_lineitem": "FLT-3 ENC-1 SPL-1 SCL-1 SCL-3 SCL-5",
     "forest_eval": "ML-1 ML-2 ML-7 ML-8", "mlp_eval": "ML-3 ML-7 ML-8",
     "pca_reconstruct": "ML-4 AGG-11", "encode_classify": "ML-5 SPL-4", "score_rows": "ML-2",
+    "relu_eval": "ML-3 ML-6 WIN-6", "autoencoder_error": "ML-4 ML-6 AGG-11", "pretrain_classify": "ML-5 ML-6 SPL-4",
     "merge_validation": "SPL-6", "score_argmax": "FN-10 FN-11", "strict_cast": "FN-5 CLN-3",
     "model_ttest": "ML-9 WIN-4 AGG-12 AGG-13",
     "split_null_keys": "SPL-1", "category_positions": "ENC-1 ENC-2", "csv_union": "SRC-1 SRC-2 SNK-2",
