@@ -32,14 +32,14 @@ def is_number_text(c: Column | str) -> Column:
 def parse_number(c: Column | str) -> Column:
     """FN-4: number text to double, NULL when it does not parse."""
     x = col_(c)
-    clean = F.regexp_replace(F.trim(x), "_", "")
+    clean = F.replace(F.trim(x), F.lit("_"), F.lit(""))
     return F.when(is_number_text(x), clean.try_cast("double"))
 
 
 def strict_number(c: Column | str, name: str = "value") -> Column:
     """FN-5: number text to double; the job fails on the first bad text."""
     x = col_(c)
-    return F.when(x.isNull() | is_number_text(x), F.regexp_replace(F.trim(x), "_", "").try_cast("double")) \
+    return F.when(x.isNull() | is_number_text(x), F.replace(F.trim(x), F.lit("_"), F.lit("")).try_cast("double")) \
         .otherwise(F.raise_error(F.concat(F.lit(f"not a number in {name}: "), x)))
 
 

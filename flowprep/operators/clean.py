@@ -63,13 +63,18 @@ def keep_numeric_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
+def missing_non_finite(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """FLT-3, first half: +-Infinity and NaN become missing."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    targets = list(cols) if cols is not None else df.columns
+    return df.select(*[non_finite_to_null(c).alias(c) if c in numeric and c in targets else col_(c)
+                       for c in df.columns])
+
+
 def drop_invalid_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """FLT-3: +-Infinity and NaN become missing, then rows with any missing value go."""
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     targets = list(cols) if cols is not None else df.columns
-    out = df.select(*[non_finite_to_null(c).alias(c) if c in numeric and c in targets else col_(c)
-                      for c in df.columns])
-    return out.na.drop("any", subset=targets)
+    return missing_non_finite(df, cols).na.drop("any", subset=targets)
 
 
 def drop_unseen_classes(train: DataFrame, other: DataFrame, label_col: str) -> DataFrame:

@@ -175,9 +175,13 @@ def stage_ids18(spark: SparkSession, paths: Sequence[str], store_path: str, *, k
         df = clean.drop_if_present(df, [c for c in IDS18_DROP if c != "Timestamp"])      # PRJ-4
         df = clean.keep_numeric_text(df, ["Dst Port"])                                   # FLT-2
         df = clean.cast_text_columns(df, skip=["label", "file_key", "Timestamp"])       # CLN-4
-        df = clean.drop_invalid_rows(df)                                                 # FLT-3
-        content = F.md5(F.to_json(F.struct(*[col_(c) for c in df.columns])))
-        df = df.withColumn("_content", content).withColumn("_scan", F.monotonically_increasing_id())
+        df = clean.missing_non_finite(df)                                                # FLT-3: to missing
+        whole = df.columns
+        content = F.md5(F.to_json(F.struct(*[col_(c) for c in whole])))
+        # Text is parsed once: a filter on the parsed values would be pushed below the parsing and repeat it for every
+        # place that it names them, and the range partitioning reads its input twice.
+        df = cut_lineage(df.withColumn("_content", content).withColumn("_scan", F.monotonically_increasing_id()))
+        df = df.na.drop("any", subset=[f"`{c}`" for c in whole])                         # FLT-3: rows with missing values go
         df = group_position(df, "file_key", [*[col_(c) for c in order], F.col("_content"), F.col("_scan")], "idx")
         df = df.withColumn("idx", F.col("idx") - 1)
         store.append(clean.drop_if_present(df, ["Timestamp", "_content", "_scan"]))      # SNK-1 mode a
