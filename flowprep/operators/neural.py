@@ -35,6 +35,8 @@ from ..session import cut_lineage
 
 #: States that one task adds up.
 FAN = 32
+#: Rows of one file of a table to fit on: an epoch is as long as its longest task, so larger tables are dealt evenly.
+ROWS_EACH = 1 << 16
 
 _SUMS = "pid long, rows double, steps double, train_loss double, val_rows double, val_loss double, state binary"
 
@@ -69,11 +71,12 @@ class Layers:
             at += d * k + k
         return out
 
-    def forward(self, flat: np.ndarray, x: np.ndarray, rng=None, upto: int | None = None) -> list[np.ndarray]:
+    def forward(self, flat: np.ndarray, x: np.ndarray, rng=None, upto: int | None = None, parts: list | None = None) -> list[np.ndarray]:
         """Outputs of every layer, the input first; ``rng`` draws dropout masks for hidden layers."""
         outs = [x]
-        for i, (w, b) in enumerate(self.parts(flat)[:upto]):
-            z = outs[-1] @ w + b
+        for i, (w, b) in enumerate((parts or self.parts(flat))[:upto]):
+            z = outs[-1] @ w
+            z += b
             if self.activations[i] == "softmax":
                 e = np.exp(z - z.max(axis=1, keepdims=True))
                 outs.append(e / e.sum(axis=1, keepdims=True))
@@ -90,25 +93,43 @@ class Layers:
             return -np.log(np.maximum(out[np.arange(len(out)), target], 1e-15))
         return ((out - target) ** 2).mean(axis=1)
 
-    def gradient(self, flat: np.ndarray, x: np.ndarray, target: np.ndarray, weight: np.ndarray, rng) -> tuple[float, np.ndarray]:
-        """Weighted sum of the losses, and the gradient of their weighted mean."""
-        outs = self.forward(flat, x, rng)
+    def gradient(self, flat: np.ndarray, x: np.ndarray, target: np.ndarray, weight: np.ndarray, rng, parts: list | None = None,
+                 into: tuple[np.ndarray, list] | None = None) -> tuple[float, np.ndarray]:
+        """Weighted sum of the losses, and the gradient of their weighted mean.
+
+        A loop gives ``parts`` of ``flat``, and ``into``: a vector to be overwritten with the gradient, and its parts.
+        """
+        parts = parts or self.parts(flat)
+        grad, slots = into or (np.empty_like(flat), None)
+        slots = slots or self.parts(grad)
+        outs = self.forward(flat, x, rng, parts=parts)
         share = (weight / weight.sum())[:, None]
         if self.activations[-1] == "softmax":
+            loss = self.losses(outs[-1], target)
             delta = outs[-1].copy()
             delta[np.arange(len(x)), target] -= 1.0
             delta *= share
         else:
-            delta = 2.0 * (outs[-1] - target) / target.shape[1] * share * _SLOPE[self.activations[-1]](outs[-1])
-        grads, parts = [], self.parts(flat)
+            delta = outs[-1] - target
+            loss = np.add.reduce(delta * delta, axis=1) / target.shape[1]
+            delta *= 2.0
+            delta /= target.shape[1]
+            delta *= share
+            if self.activations[-1] != "linear":
+                delta *= _SLOPE[self.activations[-1]](outs[-1])
         for i in range(len(parts) - 1, -1, -1):
-            grads = [(outs[i].T @ delta).ravel(), delta.sum(axis=0), *grads]
+            np.matmul(outs[i].T, delta, out=slots[i][0])
+            np.add.reduce(delta, axis=0, out=slots[i][1])
             if i:
-                slope = _SLOPE[self.activations[i - 1]](outs[i] * (1.0 - self.dropout) if self.dropout else outs[i])
+                act, kept = self.activations[i - 1], outs[i]
+                delta = delta @ parts[i][0].T
                 if self.dropout:  # a masked unit passes nothing back, a kept one passes the mask's factor
-                    slope = slope * (outs[i] != 0) / (1.0 - self.dropout)
-                delta = (delta @ parts[i][0].T) * slope
-        return float((self.losses(outs[-1], target) * weight).sum()), np.concatenate(grads)
+                    delta *= _SLOPE[act](kept * (1.0 - self.dropout)) * (kept != 0) / (1.0 - self.dropout)
+                elif act == "relu":
+                    delta *= kept > 0
+                elif act != "linear":
+                    delta *= _SLOPE[act](kept)
+        return float(loss @ weight), grad
 
     def to_json(self) -> str:
         return json.dumps({"widths": self.widths, "activations": self.activations, "dropout": self.dropout})
@@ -133,6 +154,8 @@ def _epoch(layers: Layers, sent, epoch: int, learn: bool, batch_size: int, rate:
         pid = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, epoch, pid])
         start, (flat, m, v), steps = sent.value[0][0], [a.copy() for a in sent.value[0]], sent.value[1]
+        grad, t, u = np.empty_like(flat), np.empty_like(flat), np.empty_like(flat)
+        parts, into = layers.parts(flat), (grad, layers.parts(grad))
         rows = train_loss = val_rows = val_loss = 0.0
         for batch in batches:
             x, weight = _matrix(batch.column(0), layers.widths[0]), batch.column(2).to_numpy()
@@ -145,14 +168,28 @@ def _epoch(layers: Layers, sent, epoch: int, learn: bool, batch_size: int, rate:
             if not learn:
                 continue
             order = rng.permutation(np.flatnonzero(~val & (weight > 0)))
+            x, target, weight = x[order], target[order], weight[order]
             for at in range(0, len(order), batch_size):
-                some = order[at : at + batch_size]
-                loss, grad = layers.gradient(flat, x[some], target[some], weight[some], rng)
+                some = slice(at, at + batch_size)
+                loss, _ = layers.gradient(flat, x[some], target[some], weight[some], rng, parts, into)
                 steps += 1.0
-                m += 0.1 * (grad - m)
-                v += 0.001 * (grad * grad - v)
-                flat -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
-                rows, train_loss = rows + float(weight[some].sum()), train_loss + loss
+                # Adam, without new vectors: m += 0.1 (g - m), v += 0.001 (g g - v)
+                np.subtract(grad, m, out=t)
+                t *= 0.1
+                m += t
+                np.multiply(grad, grad, out=t)
+                t -= v
+                t *= 0.001
+                v += t
+                np.divide(m, 1 - 0.9**steps, out=t)
+                t *= rate
+                np.divide(v, 1 - 0.999**steps, out=u)
+                np.sqrt(u, out=u)
+                u += 1e-8
+                t /= u
+                flat -= t
+                train_loss += loss
+            rows += float(weight.sum())
         if rows or val_rows:
             state = np.concatenate([flat, m, v]) * rows
             yield _sums([pid], [rows], [steps * rows], [train_loss], [val_rows], [val_loss], [state.tobytes()])
@@ -330,7 +367,9 @@ def _table(df: DataFrame, weight_col: str | None, label: str | None) -> DataFram
     role = F.col("role") if "role" in df.columns else F.lit(None).cast("string")
     y = F.col(label).cast("int") if label else F.lit(0)
     weight = F.when(val, 1.0).otherwise(F.col(weight_col).cast("double")) if weight_col else F.lit(1.0)
-    return cut_lineage(df.select(_features().alias("x"), y.alias("y"), weight.alias("w"), val.alias("val"), role.alias("role")))
+    stored = cut_lineage(df.select(_features().alias("x"), y.alias("y"), weight.alias("w"), val.alias("val"), role.alias("role")))
+    n = stored.count()  # of the files' footers
+    return cut_lineage(stored.repartition(-(-n // ROWS_EACH))) if n > ROWS_EACH else stored
 
 
 class NetworkClassifier(Estimator):
