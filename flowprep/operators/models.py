@@ -23,6 +23,7 @@ from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronC
                                        RandomForestClassifier)
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.wrapper import JavaEstimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,15 +147,34 @@ def prepare_labelled(df: DataFrame, codes: DataFrame, label: str = "label",
     return with_vector(coded.withColumn("label_idx", F.col("_code").cast("double")).drop("_code"), features)
 
 
+#: Rows of one partition to fit on, about: what a task reads of the cached points in each pass does not grow with the table.
+ROWS_EACH = 1 << 19
+
+
+def _used(estimator, df: DataFrame) -> list[str]:
+    """Columns of ``df`` that an estimator reads."""
+    named = {estimator.getOrDefault(p) for p in estimator.params if p.name.endswith("Col") and estimator.isDefined(p)}
+    return [c for c in df.columns if c in named]
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over more partitions if one has more than ``ROWS_EACH`` rows."""
+    sizes = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()  # a row a partition
+    return df.repartition(-(-total // ROWS_EACH)) if most and most > ROWS_EACH else df
+
+
 def train(estimator, train_df: DataFrame, save_path: str | None = None) -> tuple[Model, float]:
     """ML-7: fit with timing; optionally persist (SNK-7).
 
     Estimators pass over their input several times (metadata, split
     candidates, then the bagged trees); the input is persisted for the fit so
     the preparation plan runs once.  A persisted block lost with an executor
-    is recomputed from lineage.
+    is recomputed from lineage.  Spark's own estimators get the columns that they use, in
+    partitions of at most about ``ROWS_EACH`` rows.
     """
-    cached = train_df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = (_dealt(train_df.select(*_used(estimator, train_df))) if isinstance(estimator, JavaEstimator) else train_df)
+    cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
     t0 = time.perf_counter()
     try:
         model = estimator.fit(cached)
