@@ -49,6 +49,8 @@ BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.5
 #: Terms in the matrix; queries worked off together; more than rounding to 32 bits can change a cosine.
 COMMON, QUERIES, SLACK = 768, 256, 1e-4
 _SLABS = 64
+#: Examples that the driver works on together.
+EXAMPLES = 1024
 _TERM = re.compile(r"[^\W\d_]+")
 _LETTERS = "".join(chr(b) if _TERM.match(chr(b)) else " " for b in range(256)).encode("latin-1")
 
@@ -66,21 +68,31 @@ def _sampled(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> Data
     return docs.join(F.broadcast(sample), F.col(f"`{doc_id}`") == F.col("__id")).select("__id", "__y", F.col(f"`{text}`").alias("text"))
 
 
+def _slices(size: np.ndarray):
+    """(examples, their places) of ``EXAMPLES`` at a time, example i having ``size[i]`` places: work on them takes little memory."""
+    end = np.cumsum(size)
+    for k in range(0, len(size), EXAMPLES):
+        rows = slice(k, min(k + EXAMPLES, len(size)))
+        yield rows, slice(int(end[k] - size[k]), int(end[rows.stop - 1]))
+
+
 def relevance(y: np.ndarray, at: np.ndarray, size: np.ndarray, n_terms: int) -> np.ndarray:
     """Each term's weight: root of its chi-square against the label, plus ``FLOOR``; example i holds ``size[i]`` of ``at``."""
     pos, neg = float(y.sum()), float(len(y) - y.sum())
     if not pos or not neg:
         return np.ones(n_terms)
-    either = np.bincount(at, minlength=n_terms).astype(float)
-    a = np.bincount(at, np.repeat(y, size), n_terms)
+    either, a = np.zeros(n_terms), np.zeros(n_terms)
+    for rows, of in _slices(size):
+        either += np.bincount(at[of], minlength=n_terms)
+        a += np.bincount(at[of], np.repeat(y[rows], size[rows]), n_terms)
     chi = (pos + neg) * (a * neg - (either - a) * pos) ** 2 / (pos * neg * np.maximum(either, 1) * np.maximum(pos + neg - either, 1))
     return np.sqrt(chi) + FLOOR
 
 
-def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that hold each term, and documents, over all rows."""
-    place = docs.sparkSession.sparkContext.broadcast(" ".join(terms))  # terms are letters; a dictionary is larger
-    size = len(terms) + 1
+def document_frequencies(docs: DataFrame, terms: str, n_terms: int, text: str = "text") -> tuple[np.ndarray, int]:
+    """Documents that hold each of the terms (joined by spaces), and documents, over all rows."""
+    place = docs.sparkSession.sparkContext.broadcast(terms)  # terms are letters; a dictionary is larger
+    size = n_terms + 1
 
     def count(batches):
         known, total = {t: i for i, t in enumerate(place.value.split(" "))}, np.zeros(size, dtype=np.int64)
@@ -113,10 +125,10 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
 
 
 class Vectors:
-    """Vectors over the terms, of the given weights, as (term indexes, weights) in term order."""
+    """Vectors over the terms (joined by spaces), of the given weights, as (term indexes, weights) in term order."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray):
-        self.terms, self.place, self.weights = " ".join(terms), None, weights
+    def __init__(self, terms: str, weights: np.ndarray):
+        self.terms, self.place, self.weights = terms, None, weights
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if self.place is None:  # made by the process that asks
@@ -288,17 +300,18 @@ def votes_in_tasks(spark, index: BlockMaxIndex, y: np.ndarray, share: float, bar
 
 
 class Model:
-    def __init__(self, terms: list[str], df: np.ndarray, n: int, ids: list[str], y: np.ndarray, at: np.ndarray, tf: np.ndarray, size: np.ndarray,
+    def __init__(self, terms: str, df: np.ndarray, n: int, ids: list[str], y: np.ndarray, at: np.ndarray, tf: np.ndarray, size: np.ndarray,
                  spark=None):
         """Example i has ``size[i]`` of the term indexes ``at`` and term counts ``tf``, in term order; with ``spark`` they vote in tasks."""
-        self.vectors = Vectors(terms, (np.log((n + 1) / (df + 1)) + 1e-9) * relevance(y, at, size, len(terms)))
+        self.vectors = Vectors(terms, (np.log((n + 1) / (df + 1)) + 1e-9) * relevance(y, at, size, len(df)))
         self.share = float(y.mean()) if len(y) else 0.0
-        weight = (1 + np.log(tf)) * self.vectors.weights[at]
-        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        weight /= np.sqrt(np.bincount(row, weight**2, len(size)))[row]
+        weight = np.empty(len(at))
+        for rows, of in _slices(size):
+            w, row = (1 + np.log(tf[of])) * self.vectors.weights[at[of]], np.repeat(np.arange(rows.stop - rows.start), size[rows])
+            weight[of] = w / np.sqrt(np.bincount(row, w**2, rows.stop - rows.start))[row]
         rest, bare = np.flatnonzero(size > 0), y[size == 0]
         self.ids, self.y = [ids[i] for i in rest.tolist()], y[rest]
-        self.index = _index_of(at, weight, size[rest], len(terms))
+        self.index = _index_of(at, weight, size[rest], len(df))
         self.bare_vote = (bare.sum() + PRIOR * self.share) / (len(bare) + PRIOR)
         self.curve = None
         if len(rest) and 0 < self.share < 1:
@@ -361,13 +374,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     terms = sorted(place)
     rank = np.empty(len(terms), dtype=np.int32)
     rank[[place[t] for t in terms]] = np.arange(len(terms))
+    n_terms, terms = len(terms), " ".join(terms)  # the strings themselves take several times as much
     del place
     ids, y, size = [x[0] for x in found], np.array([x[1] for x in found], dtype=float), np.array([x[4] for x in found], dtype=np.int64)
-    here = _ranges(np.array([x[3] for x in found], dtype=np.int64), size).astype(np.int32 if len(at) < 1 << 31 else np.int64)
-    at, tf = rank[np.array(at, dtype=np.int32)[here]], np.array(tf, dtype=np.float32)[here]
-    del here, found
-    df, n = document_frequencies(docs, terms, text)
-    return Model(terms, df, n, ids, y, at, tf, size, docs.sparkSession)
+    in_order, counts, to = np.empty(len(at), dtype=np.int32), np.empty(len(at), dtype=np.float32), 0
+    came, tf = np.array(at, dtype=np.int32), np.array(tf, dtype=np.int32)
+    del at
+    for _, _, _, first, n in found:
+        in_order[to : to + n] = rank[came[first : first + n]]
+        counts[to : to + n] = tf[first : first + n]
+        to += n
+    del came, tf, found, rank
+    df, n = document_frequencies(docs, terms, n_terms, text)
+    return Model(terms, df, n, ids, y, in_order, counts, size, docs.sparkSession)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", doc_id: str = "doc_id",

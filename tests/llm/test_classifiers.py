@@ -108,3 +108,19 @@ def test_odd_rows(spark, make, clashing, rows):
     assert len(toxic) == len(got) and all(0 <= r.score <= 1 for r in toxic)
     empty = make([])
     assert quality_classifier.classify(empty, labels).count() == 0 and toxicity.classify(empty, labels).count() == 0
+
+
+def test_weights_are_worked_out_in_slices():
+    """op6's check: the driver's memory; term weights of the sample take little beside the sample's own arrays."""
+    import tracemalloc
+    rng, each, n = np.random.default_rng(5), 200, 5000
+    at, size, y = rng.integers(0, 1000, each * n).astype(np.int32), np.full(n, each), (np.arange(n) % 3 == 0).astype(float)
+    tracemalloc.start()
+    got = toxicity.relevance(y, at, size, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * each * n  # bytes: the terms themselves
+    either, a = np.bincount(at, minlength=1000).astype(float), np.bincount(at, np.repeat(y, size), 1000)
+    pos, neg = y.sum(), n - y.sum()
+    chi = (pos + neg) * (a * neg - (either - a) * pos) ** 2 / (pos * neg * np.maximum(either, 1) * np.maximum(pos + neg - either, 1))
+    assert np.allclose(got, np.sqrt(chi) + toxicity.FLOOR)
