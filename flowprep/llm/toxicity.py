@@ -35,6 +35,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +97,14 @@ def document_frequencies(docs: DataFrame, terms: str, n_terms: int, text: str =
 
     def count(batches):
         known, total = {t: i for i, t in enumerate(place.value.split(" "))}, np.zeros(size, dtype=np.int64)
+        n_rows = 0
         for batch in batches:
             for t in batch.column(0):
-                held = np.fromiter([known.get(x, -2) for x in set(terms_of(t.as_py()))], np.int64)
-                total[held[held >= 0]] += 1
-            total[-1] += len(batch)
-        if total[-1]:
+                held = set(terms_of(t.as_py()))
+                total[np.fromiter(map(known.get, held, repeat(size - 1)), np.int64, len(held))] += 1  # others: in the last place
+            n_rows += len(batch)
+        total[-1] = n_rows
+        if n_rows:
             for k, part in enumerate(np.array_split(total, _SLABS)):
                 yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "part": [zlib.compress(part.tobytes(), 1)]})
 
@@ -134,7 +137,7 @@ class Vectors:
         if self.place is None:  # made by the process that asks
             self.place = {t: i for i, t in enumerate(self.terms.split(" "))}
         counts, place = Counter(terms_of(text)), self.place.get
-        at = np.fromiter([place(t, -1) for t in counts], np.int64, len(counts))
+        at = np.fromiter(map(place, counts, repeat(-1)), np.int64, len(counts))
         tf = np.fromiter(counts.values(), float, len(counts))
         order = np.argsort(at)[np.count_nonzero(at < 0):]
         return at[order], self.of(at[order], tf[order])
