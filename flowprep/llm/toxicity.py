@@ -9,7 +9,7 @@ is the root of the term's chi-square against the label in the sample plus
 
 Index: the ``COMMON`` terms of most examples lie in a matrix, cut into blocks of
 ``BLOCK`` examples with each term's largest weight in each block; all others have
-postings.  A query adds up its postings' products, bounds each block by its best
+postings.  Only term counts travel; a process works weights out from them.  A query adds up its postings' products, bounds each block by its best
 sum so far plus query weight times block maximum, and visits the blocks whose bound
 reaches the k-th best sum.  These sums are of 32 bits: all examples
 within ``SLACK`` of the k-th best are worked out again in 64.  The k nearest are
@@ -36,6 +36,7 @@ import zlib
 from array import array
 from collections import Counter
 from itertools import repeat
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,14 @@ BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.5
 #: Terms in the matrix; queries worked off together; more than rounding to 32 bits can change a cosine.
 COMMON, QUERIES, SLACK = 768, 256, 1e-4
 _SLABS = 64
+#: Blocks that are multiplied together.
+RUN = 16
 #: Examples that the driver works on together.
 EXAMPLES = 1024
+#: Characters of the terms whose places a process works out together.
+_SLICE = 1 << 18
+#: Terms whose places a process keeps in a dictionary, and those of one more call.
+KNOWN = 1 << 17
 _TERM = re.compile(r"[^\W\d_]+")
 _LETTERS = "".join(chr(b) if _TERM.match(chr(b)) else " " for b in range(256)).encode("latin-1")
 
@@ -90,18 +97,68 @@ def relevance(y: np.ndarray, at: np.ndarray, size: np.ndarray, n_terms: int) ->
     return np.sqrt(chi) + FLOOR
 
 
+class Places:
+    """Places of terms in a string of terms joined by spaces: sorted hashes, as a dictionary takes ten times the memory."""
+
+    def __init__(self, terms: str):
+        self.terms = terms
+        self.end = np.empty(terms.count(" ") + 1, dtype=np.int64)  # where each term's characters end
+        key, first, at = np.empty(len(self.end), dtype=np.int64), 0, 0
+        while first < len(terms):  # a slice of the string at a time
+            cut = terms.find(" ", first + _SLICE)
+            held = terms[first : cut if cut >= 0 else len(terms)].split(" ")
+            size = np.fromiter(map(len, held), np.int64, len(held))
+            self.end[at : at + len(held)] = first + np.cumsum(size + 1) - 1
+            key[at : at + len(held)] = np.fromiter(map(hash, held), np.int64, len(held))
+            first, at = int(self.end[at + len(held) - 1]) + 1, at + len(held)
+        self.place = np.argsort(key[:at], kind="stable").astype(np.int32)  # no term at all: at is 0
+        self.key = key[self.place]
+        self.known: dict[str, int] = {}  # those asked for first, among them the commonest
+
+    def __call__(self, asked: list[str]) -> np.ndarray:
+        """The place of each, or -1."""
+        out = np.fromiter(map(self.known.get, asked, repeat(-2)), np.int64, len(asked))
+        new = np.flatnonzero(out == -2)
+        rest = [asked[i] for i in new.tolist()]
+        out[new] = places = self._look_up(rest)
+        if len(self.known) < KNOWN:
+            self.known.update(zip(rest, places.tolist()))
+        return out
+
+    def _look_up(self, asked: list[str]) -> np.ndarray:
+        """Hashes only point to a place, the characters are compared."""
+        h = np.fromiter(map(hash, asked), np.int64, len(asked))
+        to = np.searchsorted(self.key, h)
+        out = np.full(len(asked), -1, dtype=np.int64)
+        left = np.flatnonzero(to < len(self.key))
+        while len(left):
+            left = left[self.key[to[left]] == h[left]]
+            place = self.place[to[left]]
+            end = self.end[place]
+            begin = np.where(place > 0, self.end[place - 1] + 1, 0)
+            held = map(self.terms.__getitem__, map(slice, begin.tolist(), end.tolist()))
+            same = np.fromiter(map(eq, held, map(asked.__getitem__, left.tolist())), bool, len(left))
+            out[left[same]] = place[same]
+            left = left[~same]  # another term of the same hash: the next one
+            to[left] += 1
+            left = left[to[left] < len(self.key)]
+        return out
+
+
 def document_frequencies(docs: DataFrame, terms: str, n_terms: int, text: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each of the terms (joined by spaces), and documents, over all rows."""
     place = docs.sparkSession.sparkContext.broadcast(terms)  # terms are letters; a dictionary is larger
     size = n_terms + 1
 
     def count(batches):
-        known, total = {t: i for i, t in enumerate(place.value.split(" "))}, np.zeros(size, dtype=np.int64)
+        places, total = Places(place.value), np.zeros(size, dtype=np.int64)
         n_rows = 0
         for batch in batches:
-            for t in batch.column(0):
-                held = set(terms_of(t.as_py()))
-                total[np.fromiter(map(known.get, held, repeat(size - 1)), np.int64, len(held))] += 1  # others: in the last place
+            for k in range(0, len(batch), EXAMPLES):
+                held: Counter = Counter()
+                for t in batch.column(0).slice(k, EXAMPLES):
+                    held.update(set(terms_of(t.as_py())))
+                np.add.at(total, places(list(held)), np.fromiter(held.values(), np.int64, len(held)))  # others: in the last place
             n_rows += len(batch)
         total[-1] = n_rows
         if n_rows:
@@ -133,14 +190,17 @@ class Vectors:
     def __init__(self, terms: str, weights: np.ndarray):
         self.terms, self.place, self.weights = terms, None, weights
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         if self.place is None:  # made by the process that asks
-            self.place = {t: i for i, t in enumerate(self.terms.split(" "))}
-        counts, place = Counter(terms_of(text)), self.place.get
-        at = np.fromiter(map(place, counts, repeat(-1)), np.int64, len(counts))
-        tf = np.fromiter(counts.values(), float, len(counts))
-        order = np.argsort(at)[np.count_nonzero(at < 0):]
-        return at[order], self.of(at[order], tf[order])
+            self.place = Places(self.terms)
+        held = [Counter(terms_of(t)) for t in texts]
+        every, out, first = self.place([t for counts in held for t in counts]), [], 0
+        for counts in held:
+            at, tf = every[first : first + len(counts)], np.fromiter(counts.values(), float, len(counts))
+            order = np.argsort(at)[np.count_nonzero(at < 0):]
+            out.append((at[order], self.of(at[order], tf[order])))
+            first += len(counts)
+        return out
 
     def of(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.weights[at]
@@ -157,50 +217,61 @@ class BlockMaxIndex:
     """Inverted index over example vectors; the commonest terms in a matrix with each term's largest weight per block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         self._set(np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32),
-                  np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0),
                   np.array([len(t) for t, _ in vectors], dtype=np.int64), n_terms)
 
-    def _set(self, term: np.ndarray, weight: np.ndarray, length: np.ndarray, n_terms: int) -> None:
-        self.term, self.weight, self.length, self.n_terms = term, weight, length, n_terms
+    def _set(self, term: np.ndarray, length: np.ndarray, n_terms: int) -> None:
+        self.term, self.length, self.n_terms = term, length, n_terms
         self.n, self.blocks = len(length), -(-len(length) // BLOCK)
         self.first = np.cumsum(self.length) - self.length
-        self.size = np.bincount(self.term, minlength=n_terms)
+        self.size = np.zeros(n_terms, dtype=np.int64)
+        for _, of in _slices(length):
+            self.size += np.bincount(term[of], minlength=n_terms)
         self.matrix = None
 
+    def weights(self, row, of) -> np.ndarray:
+        """Weights at the places ``of``, each of the example in ``row``."""
+        return self.weight[of]
+
     def _build(self) -> None:
-        """The matrix and the postings, when a process first asks for neighbours."""
+        """The matrix and the postings, when a process first asks for neighbours; by slices, beside which little is held."""
         n_terms, held_by = self.n_terms, self.size
         common = np.sort(np.argsort(-held_by, kind="stable")[:COMMON])
         self.column = np.full(n_terms, -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
         # examples of one heaviest common term lie together
-        row, column = np.repeat(np.arange(self.n, dtype=np.int32), self.length), self.column[self.term]
-        held = np.flatnonzero(column >= 0)
         heaviest = np.full(self.n, -1)
-        by = held[np.argsort(self.weight[held], kind="stable")]
-        heaviest[row[by]] = column[by]
+        for rows, of in _slices(self.length):
+            row, column = np.repeat(np.arange(rows.start, rows.stop), self.length[rows]), self.column[self.term[of]]
+            held, w = np.flatnonzero(column >= 0), self.weights(row, of)
+            by = held[np.argsort(w[held], kind="stable")]
+            heaviest[row[by]] = column[by]
         self.order = np.argsort(heaviest, kind="stable")
         self.inside = np.empty(self.n, dtype=np.int64)
         self.inside[self.order] = np.arange(self.n)
         self.matrix = np.zeros((self.n, len(common)), dtype=np.float32)
-        self.matrix[self.inside[row[held]], column[held]] = self.weight[held]
+        # postings of the others, term by term
+        self.postings = np.where(self.column < 0, held_by, 0)
+        self.start = np.cumsum(self.postings) - self.postings
+        self.row, self.value = (np.empty(self.postings.sum(), dtype=kind) for kind in (np.int32, np.float32))
+        free = self.start.copy()
+        for rows, of in _slices(self.length):
+            row, term = np.repeat(np.arange(rows.start, rows.stop), self.length[rows]), self.term[of]
+            column, w, row = self.column[term], self.weights(row, of), self.inside[row]
+            held, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+            self.matrix[row[held], column[held]] = w[held]
+            rare = rare[np.argsort(term[rare], kind="stable")]
+            own, each = np.unique(term[rare], return_counts=True)
+            to = _ranges(free[own], each)
+            self.row[to], self.value[to] = row[rare], w[rare]
+            free[own] += each
         cut = np.arange(0, self.n, BLOCK)
         self.top = np.maximum.reduceat(self.matrix, cut, axis=0).T.copy() if self.n else np.zeros((len(common), 0), np.float32)
-        # postings of the others
-        rare = np.flatnonzero(column < 0)
-        rare = rare[np.argsort(self.term[rare], kind="stable")]
-        self.row, self.value = self.inside[row[rare]].astype(np.int32), self.weight[rare].astype(np.float32)
-        edge = np.searchsorted(self.term[rare], np.arange(n_terms + 1))
-        self.start, self.postings = edge[:-1], np.diff(edge)
-
-    def __reduce__(self):
-        """Only the examples travel."""
-        return _index_of, (self.term, self.weight, self.length, self.n_terms)
 
     def forget(self) -> None:
         """Frees what ``_build`` made."""
-        self.matrix = self.top = self.row = self.value = None
+        self.matrix = self.top = self.row = self.value = self.column = self.start = self.postings = None
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine (ties: smaller place first), without example ``skip``."""
@@ -224,30 +295,33 @@ class BlockMaxIndex:
             common[i, column[column >= 0]] = w[column >= 0]
             here = _ranges(self.start[at], size)
             if len(here):
-                sums[i] = np.bincount(self.row[here], self.value[here] * np.repeat(w.astype(np.float32), size), self.n)
+                sums[i] = np.bincount(self.row.take(here), self.value.take(here) * np.repeat(w.astype(np.float32), size), self.n)
             if skip >= 0:
                 sums[i, self.inside[skip]] = -2.0
         # the k-th best block maximum is no more than the k-th best sum
         best = np.maximum.reduceat(sums, cut, axis=1)
         bound = best + common @ self.top
         visit = (bound > 0) & (bound >= _kth(best, k) - SLACK)
-        for b in range(self.blocks):
-            who = np.flatnonzero(visit[:, b])
-            block = self.matrix[b * BLOCK : (b + 1) * BLOCK].T
-            if 2 * len(who) > m:  # nearly all: no copy of the queries
-                sums[:, b * BLOCK : (b + 1) * BLOCK] += common @ block
-            elif len(who):
-                sums[who, b * BLOCK : (b + 1) * BLOCK] += common[who] @ block
-        query, least = np.zeros(self.n_terms), _kth(np.maximum.reduceat(sums, cut, axis=1), k) - SLACK
+        nearly = 2 * np.count_nonzero(visit, axis=0) > m  # no copy of the queries; neighbouring blocks at once
+        edge = np.flatnonzero(np.diff(nearly, prepend=False, append=False))
+        for first, last in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            for b in range(first, last, RUN):
+                here = slice(b * BLOCK, min(b + RUN, last) * BLOCK)
+                sums[:, here] += common @ self.matrix[here].T
+        for b in np.flatnonzero(visit.any(axis=0) & ~nearly).tolist():
+            who, here = np.flatnonzero(visit[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            sums[who, here] += common[who] @ self.matrix[here].T
+        query, asked, least = np.zeros(self.n_terms), np.zeros(self.n_terms, dtype=bool), _kth(np.maximum.reduceat(sums, cut, axis=1), k) - SLACK
         for i, (at, w, _) in enumerate(queries):
             rows = np.flatnonzero(sums[i] >= least[i])
             found = sums[i, rows]
             rows = np.sort(self.order[rows[(found > 0) & (found >= _kth(found[None], k) - SLACK)[0]]])
-            query[at] = w
-            size = self.length[rows]
-            of = _ranges(self.first[rows], size)
-            scores = np.round(np.bincount(np.repeat(np.arange(len(rows)), size), query[self.term[of]] * self.weight[of], len(rows)), 12)
-            query[at] = 0
+            query[at], asked[at] = w, True
+            of, row = _ranges(self.first[rows], self.length[rows]), np.repeat(np.arange(len(rows)), self.length[rows])
+            shared = np.flatnonzero(asked.take(self.term.take(of)))
+            of, row = of.take(shared), row.take(shared)
+            scores = np.round(np.bincount(row, query[self.term[of]] * self.weights(rows[row], of), len(rows)), 12)
+            asked[at] = False
             rows, scores = rows[scores > 0], scores[scores > 0]
             best = np.lexsort((rows, -scores))[:k]
             yield rows[best], scores[best]
@@ -259,10 +333,23 @@ def _kth(x: np.ndarray, k: int) -> np.ndarray:
     return np.maximum(np.partition(x, n - k, axis=1)[:, n - k : n - k + 1], 0) if n > k else np.zeros((len(x), 1))
 
 
-def _index_of(term: np.ndarray, weight: np.ndarray, length: np.ndarray, n_terms: int) -> BlockMaxIndex:
-    index = BlockMaxIndex.__new__(BlockMaxIndex)
-    index._set(term, weight, length, n_terms)
-    return index
+class CountIndex(BlockMaxIndex):
+    """The same over term counts: an example's weights are worked out whenever they are asked for."""
+
+    def __init__(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray, by_term: np.ndarray, norm: np.ndarray | None = None):
+        self.tf, self.by_term, self.norm = tf, by_term, np.ones(len(length)) if norm is None else norm
+        self._set(term, length, len(by_term))
+        if norm is None:
+            for rows, of in _slices(length):
+                row = np.repeat(np.arange(rows.start, rows.stop), length[rows])
+                self.norm[rows] = np.sqrt(np.bincount(row - rows.start, self.weights(row, of) ** 2, rows.stop - rows.start))
+
+    def weights(self, row, of) -> np.ndarray:
+        return (1 + np.log(self.tf[of].astype(np.float32))) * self.by_term[self.term[of]] / self.norm[row]
+
+    def __reduce__(self):
+        """Only the examples travel."""
+        return CountIndex, (self.term, self.tf, self.length, self.by_term, self.norm)
 
 
 def vote(rows: np.ndarray, cosine: np.ndarray, y: np.ndarray, share: float) -> float:
@@ -278,7 +365,7 @@ def own_votes(index: BlockMaxIndex, y: np.ndarray, share: float, bare: float, fi
         for i in range(g, min(g + QUERIES, last)):
             of = slice(index.first[i], index.first[i] + index.length[i])
             known = index.size[index.term[of]] > 1
-            w = index.weight[of][known]
+            w = index.weights(i, of)[known]
             asked.append((index.term[of][known], w / max(np.linalg.norm(w), 1e-12), i))
         out += [vote(*found, y, share) if len(q[0]) else bare for q, found in zip(asked, index.nearest_of(asked, NEIGHBOURS))]
     return out
@@ -308,13 +395,9 @@ class Model:
         """Example i has ``size[i]`` of the term indexes ``at`` and term counts ``tf``, in term order; with ``spark`` they vote in tasks."""
         self.vectors = Vectors(terms, (np.log((n + 1) / (df + 1)) + 1e-9) * relevance(y, at, size, len(df)))
         self.share = float(y.mean()) if len(y) else 0.0
-        weight = np.empty(len(at))
-        for rows, of in _slices(size):
-            w, row = (1 + np.log(tf[of])) * self.vectors.weights[at[of]], np.repeat(np.arange(rows.stop - rows.start), size[rows])
-            weight[of] = w / np.sqrt(np.bincount(row, w**2, rows.stop - rows.start))[row]
         rest, bare = np.flatnonzero(size > 0), y[size == 0]
         self.ids, self.y = [ids[i] for i in rest.tolist()], y[rest]
-        self.index = _index_of(at, weight, size[rest], len(df))
+        self.index = CountIndex(at, tf, size[rest], self.vectors.weights)
         self.bare_vote = (bare.sum() + PRIOR * self.share) / (len(bare) + PRIOR)
         self.curve = None
         if len(rest) and 0 < self.share < 1:
@@ -340,7 +423,7 @@ class Model:
         """Calibrated score of each text, and its nearest examples as (id, cosine, label)."""
         if self.curve is None:
             return [(self.share, [])] * len(texts)
-        asked, out = [(*self.vectors(t), -1) for t in texts], []
+        asked, out = [(*v, -1) for v in self.vectors(texts)], []
         for q, (rows, cosine) in zip(asked, self.index.nearest_of(asked, NEIGHBOURS)):
             vote = self._vote(rows, cosine) if len(q[0]) else self.bare_vote
             z = float(np.clip(_log_odds(np.array([vote]))[0] * self.curve[0] + self.curve[1], -30, 30))
@@ -367,8 +450,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
                 yield pa.RecordBatch.from_pydict({"part": [zlib.compress(blob, 1)]})
 
     place, found, at, tf = {}, [], array("i"), array("i")
-    for part in rows.withColumn("copy", F.xxhash64("text")).mapInArrow(split, "part binary").collect():
-        for i, y, copy, held, counts in pickle.loads(zlib.decompress(part.part)):
+    parts = rows.withColumn("copy", F.xxhash64("text")).mapInArrow(split, "part binary").collect()
+    while parts:  # freed one by one
+        for i, y, copy, held, counts in pickle.loads(zlib.decompress(parts.pop().part)):
             found.append((i, y, copy, len(at), len(counts)))
             at.extend([place.setdefault(t, len(place)) for t in held.split()])
             tf.extend(counts)
@@ -380,8 +464,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     n_terms, terms = len(terms), " ".join(terms)  # the strings themselves take several times as much
     del place
     ids, y, size = [x[0] for x in found], np.array([x[1] for x in found], dtype=float), np.array([x[4] for x in found], dtype=np.int64)
-    in_order, counts, to = np.empty(len(at), dtype=np.int32), np.empty(len(at), dtype=np.float32), 0
-    came, tf = np.array(at, dtype=np.int32), np.array(tf, dtype=np.int32)
+    came, tf = np.frombuffer(at, dtype=np.int32), np.frombuffer(tf, dtype=np.int32)
+    in_order, counts, to = np.empty(len(came), dtype=np.int32), np.empty(len(tf), dtype=np.min_scalar_type(tf.max(initial=0))), 0
     del at
     for _, _, _, first, n in found:
         in_order[to : to + n] = rank[came[first : first + n]]

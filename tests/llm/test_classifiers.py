@@ -124,3 +124,51 @@ def test_weights_are_worked_out_in_slices():
     pos, neg = y.sum(), n - y.sum()
     chi = (pos + neg) * (a * neg - (either - a) * pos) ** 2 / (pos * neg * np.maximum(either, 1) * np.maximum(pos + neg - either, 1))
     assert np.allclose(got, np.sqrt(chi) + toxicity.FLOOR)
+
+
+def test_a_process_holds_little_beside_the_examples():
+    """op6's check: an executor's memory; look-up of terms, matrix and postings take little beside the sample's places."""
+    import pickle
+    import tracemalloc
+    rng, each, n, n_terms = np.random.default_rng(6), 200, 3000, 60_000
+    at = np.concatenate([np.sort(rng.choice(n_terms, each, replace=False)) for _ in range(n)]).astype(np.int32)
+    words = sorted({"".join(w) for w in rng.choice(list("abcdefghijklmnop"), (n_terms + 500, 7))})[:n_terms]
+    tf, y = rng.integers(1, 9, each * n).astype(np.int32), (np.arange(n) % 3 == 0).astype(float)
+    df, size = np.bincount(at, minlength=n_terms).astype(float), np.full(n, each)
+    fitted = toxicity.Model(" ".join(words), df, n, [str(i) for i in range(n)], y, at, tf, size)
+    blob = pickle.dumps(fitted)
+    texts = [" ".join(" ".join([words[t]] * int(c)) for t, c in zip(at[k : k + each], tf[k : k + each])) for k in range(0, 64 * each, each)]
+    tracemalloc.start()
+    got = pickle.loads(blob).scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak bytes a place", peak / (each * n))
+    assert peak < 70 * each * n  # 62; 79 with a dictionary of all terms and 64-bit weights
+    assert all(e[0][0] == str(i) and e[0][1] == 1 for i, (_, e) in enumerate(got))  # each text's nearest is itself
+
+
+@pytest.mark.parametrize("hashed", [hash, len, lambda t: hash(t[:1])])
+def test_places_are_those_of_a_dictionary(monkeypatch, hashed):
+    monkeypatch.setattr(toxicity, "hash", hashed, raising=False)  # terms of one hash, too
+    monkeypatch.setattr(toxicity, "_SLICE", 16)
+    for terms in ([], ["a"], sorted({"ab" * k + c for k in range(4) for c in ("x", "yé", "ж", "語", "zz")})):
+        known = {t: i for i, t in enumerate(terms)}
+        asked = [*terms[::-1], "none", "x" * 40, "a", "", *terms[:3]]
+        assert toxicity.Places(" ".join(terms))(asked).tolist() == [known.get(t, -1) for t in asked]
+    assert toxicity.Places("a b")([]).tolist() == []
+
+
+def test_weights_from_counts_are_those_of_vectors():
+    rng, n_terms = np.random.default_rng(9), 2000
+    assert n_terms > toxicity.COMMON  # some terms have postings
+    size, by_term = rng.integers(1, 60, 1500), rng.random(n_terms) + 0.1
+    at = np.concatenate([np.sort(rng.choice(n_terms, k, replace=False)) for k in size]).astype(np.int32)
+    tf, end = rng.integers(1, 400, len(at)).astype(np.uint16), np.cumsum(size)
+    vectors = []
+    for k, to in zip(size, end):
+        w = (1 + np.log(tf[to - k : to].astype(np.float32))) * by_term[at[to - k : to]]
+        vectors.append((at[to - k : to], w / np.linalg.norm(w)))
+    plain, counted = toxicity.BlockMaxIndex(vectors, n_terms), toxicity.CountIndex(at, tf, size, by_term)
+    for q in range(0, 1500, 97):
+        (rows, cosine), (others, same) = plain.nearest(*vectors[q], 15, skip=q), counted.nearest(*vectors[q], 15, skip=q)
+        assert np.allclose(cosine, same, atol=1e-11) and set(rows[cosine > cosine[-1] + 1e-9]) <= set(others)
