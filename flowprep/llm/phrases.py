@@ -51,8 +51,8 @@ MIN_COUNT, LIMIT, SHARE, SCALE = 30, 2000, 80, 2_000_000
 LONGEST = 4
 #: Bits of each bitmap: 8 MB, whatever the input; a fuller bitmap only makes tasks count more.
 BITMAP_BITS = 26
-_ROWS = 1 << 21         # phrases that a task holds before it counts them
-_WORDS = 1 << 18        # different words that a task holds before it hands them on
+_ROWS = 1 << 19         # phrases that a task holds before it counts them (Spark's partial sums join a task's parts)
+_WORDS = 1 << 16        # different words that a task holds before it hands them on
 _LONG = 64              # bytes; longer words are hashed one by one
 _OUT = 1 << 18
 
@@ -174,9 +174,10 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _counted(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Equal phrases as one with their number, in the order of a hash (phrases that it joins stay apart)."""
+    """Equal phrases as one with their number, in the order of a hash (phrases that it joins stay apart); uses up ``columns``."""
     order = np.argsort(gram_slot(columns, 63), kind="stable")
-    columns = [c[order] for c in columns]
+    for i, c in enumerate(columns):
+        columns[i] = c[order]
     new = np.zeros(len(order), dtype=bool)
     new[0] = True
     for c in columns:
@@ -194,8 +195,13 @@ def count_phrases(texts: DataFrame, n: int, bitmaps: dict[str, Bitmap], wanted,
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
     names = [*_keys(n), "a"]
 
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        whole = np.concatenate(parts)
+        parts.clear()  # else a task holds its phrases twice while it sorts them
+        return whole
+
     def emit(held: list[list[np.ndarray]]):
-        out = _counted([np.concatenate(c) for c in held])
+        out = _counted([joined(parts) for parts in held])
         for k in range(0, len(out[0]), _OUT):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + _OUT].view(np.int64)) for c in out], names)
 

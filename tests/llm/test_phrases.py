@@ -2,7 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +105,28 @@ def test_long_words_do_not_collide():
     reader = P.PhraseReader()
     keys = [k for k, *_ in reader.words(pa.array(["en"]), pa.array([f"{one} {other}"]))]
     assert len(set(np.concatenate(keys).tolist())) == 2
+
+
+@pytest.mark.parametrize("n,most", [(1, 85), (2, 130), (4, 180)])
+def test_a_task_holds_little_memory(make, n, most):
+    """Two tasks share an executor with its heap: what a worker holds of its phrases stays small, and none is lost."""
+    make([])  # a session, for column expressions
+    texts, full = MagicMock(), P.Bitmap(np.full(1 << 6, 255, dtype=np.uint8), 9)
+    texts.sparkSession.sparkContext.broadcast = lambda value: SimpleNamespace(value=value)
+    if n == 1:
+        P.count_words(texts)
+    else:
+        P.count_phrases(texts, n, {"word": full}, lambda maps, words: np.ones(len(words[0]), dtype=bool))
+    run = texts.mapInArrow.call_args.args[0]
+    rng = np.random.default_rng(3)
+    rows, size = (300, 1_000) if n == 1 else (300, 8_000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["en"] * rows), pa.array([" ".join(map(str, rng.integers(0, 1 << 20, size).tolist())) for _ in range(rows)])], ["lang", "text"])
+    tracemalloc.start()
+    try:
+        counted = sum(int(np.sum(out.column(out.num_columns - 1).to_numpy())) for out in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert counted == rows * (size - n + 1)
+    assert peak < most
